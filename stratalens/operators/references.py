@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.common import key128, small
+from stratalens.common import key128
 
 #: Lifetimes held in one array row.
 PACK = 64
@@ -94,6 +94,6 @@ def orphans_by_lifetime(refs: DataFrame, runs: DataFrame) -> DataFrame:
     one matching row for each.
     """
     packed = runs.select(F.col("key").alias("k"), "lo", "hi", "runs")
-    met = refs.join(small(packed), (F.col("key") == F.col("k")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
+    met = refs.join(packed, (F.col("key") == F.col("k")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
     preceding = F.element_at(F.filter("runs", lambda r: r["s"] <= F.col("at")), -1)
     return met.withColumn("run", F.when(F.col("k").isNotNull(), preceding)).where(F.col("run").isNull() | (F.col("at") > F.col("run")["e"])).drop("k", "lo", "hi", "runs", "run")
