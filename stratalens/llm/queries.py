@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalens.common import table
-from stratalens.llm import handwritten, leakage, packing
+from stratalens.llm import handwritten, leakage, packing, quality
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,5 +34,60 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), spans=True)
 
 
-QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans}
-SQL: dict[str, str] = {}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    judged = quality.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return judged.where("outside_share > 0.5").select("doc_id").distinct()
+
+
+def p9_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Distance from prose and what each statistic contributes to it, for every document."""
+    judged = quality.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return judged.select("doc_id", "language", F.round("outside_share", 6).alias("outside_share"), F.round("distance", 3).alias("distance"), "contributions")
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The plain statistics of every document, without leaving the JVM: words, mean word length, symbols, line ends, common words."""
+    # A fixed list; it becomes part of the plan.
+    common = F.lit(sorted(r.word for r in table(spark, d, "common_words").select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().collect()))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.regexp_extract_all("text", F.lit("(\\p{L}+)"), 1)
+    lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
+    out = docs.select(
+        "doc_id",
+        F.transform(words, lambda w: F.lower(w)).alias("words"),
+        lines.alias("lines"),
+        F.length(F.regexp_replace("text", "\\s", "")).alias("chars"),
+        F.length(F.regexp_replace("text", "[\\p{L}\\p{N}\\s]", "")).alias("symbols"),
+    )
+    letters = F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w))
+    n = F.size("words")
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return out.select(
+        "doc_id",
+        n.cast("long").alias("word_count"),
+        share(letters, n).alias("mean_word_length"),
+        share(F.col("symbols"), F.col("chars")).alias("symbol_ratio"),
+        share(F.size(F.filter("lines", lambda x: F.rtrim(x).rlike("[.!?:;,]$"))), F.size("lines")).alias("punctuated_lines"),
+        share(F.size(F.filter("words", lambda w: F.array_contains(common, w))), n).alias("common_word_share"),
+    )
+
+
+P9_STATISTICS_SQL = """
+WITH c AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words),
+t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x)) AS words, common,
+        list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '') AS lines,
+        length(regexp_replace(text, '\\s', '', 'g')) AS chars, length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '', 'g')) AS symbols FROM t, c)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS word_count,
+  round(CASE WHEN len(words) > 0 THEN list_sum(list_transform(words, lambda x: length(x))) / len(words) ELSE 0.0 END, 6) AS mean_word_length,
+  round(CASE WHEN chars > 0 THEN symbols / chars ELSE 0.0 END, 6) AS symbol_ratio,
+  round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(rtrim(x), '[.!?:;,]$'))) / len(lines) ELSE 0.0 END, 6) AS punctuated_lines,
+  round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: list_contains(common, x))) / len(words) ELSE 0.0 END, 6) AS common_word_share
+FROM w
+"""
+
+QUERIES = {
+    "p4_found": p4_found, "p4_reasons": p4_reasons, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans,
+    "p9_found": p9_found, "p9_outliers": p9_outliers, "p9_statistics": p9_statistics,
+}
+SQL: dict[str, str] = {"p9_statistics": P9_STATISTICS_SQL}
