@@ -24,6 +24,7 @@ repeated rows are judged alike; texts are read whole.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -74,8 +75,6 @@ _MARK = re.compile(r"[ \t]*(?:(?://+|#+|\*+|>+|\||;+|--+|•|-|\+)(?:[ \t]+|$))?
 _MARKUP = re.compile(r"[*~`]{1,3}(?=\w)|(?<=[\w.,;:!?)])[*~`]{1,3}|(?<![^\W_])_{1,2}(?=[^\W_])|(?<=[^\W_])_{1,2}(?![^\W_])")
 _ITEM = re.compile(r"\(?\d+[.)]\s|\[[ xX]\]")
 _START = re.compile(r"[.!?][\"”)]?\s+[\"“(]?([^\W\d_])")
-_SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
-_BREAK = re.compile(r"[.,;:!?](?=\s|$)")
 _END = (".", "!", "?", '."', '!"', '?"', ".)", ".”", ":", "…")
 
 
@@ -127,31 +126,58 @@ def segments(text: str) -> Iterator[tuple[int, list[str]]]:
             yield sum(map(len, raw)), lines
 
 
-def word_pairs(text: str) -> list[tuple[str, str]]:
+#: What is known of a token: words in it, word or None if it isn't one, letters, symbols, digits, whether it is bare
+#: of letters and digits, whether it ends a phrase, a sentence. Texts repeat their tokens, so this is looked up.
+_SEEN: dict[str, tuple] = {}
+_BUCKETS: dict[tuple[str, str], int] = {}
+_MOST_SEEN = 100_000
+
+
+def token_facts(token: str) -> tuple:
+    found = _SEEN.get(token)
+    if found is None:
+        words = tuple(w.lower() for w in _WORD.findall(token))
+        whole = None
+        if _TOKEN.fullmatch(token):
+            whole = token.strip(".,;:!?()\"").lower() if "-" in token else words[0]
+        found = (
+            words, whole, sum(map(len, words)), len(re.findall(r"[^\w ]|_", token)), len(re.findall(r"\d", token)), not any(c.isalnum() for c in token),
+            token[-1] in ".,;:!?", token[-1] in ".!?",
+        )
+        if len(token) > 64:
+            return found
+        if len(_SEEN) >= _MOST_SEEN:
+            _SEEN.clear()
+        _SEEN[token] = found
+    return found
+
+
+def word_pairs(facts: list[tuple]) -> list[tuple[str, str]]:
     """Words next to each other in running text; paths, numbers and symbols part them."""
-    out: list[str | None] = []
-    for token in text.split():
-        if not _TOKEN.fullmatch(token):
-            out.append(None)
-        elif "-" in token:
-            out.append(token.strip(".,;:!?()\"").lower())
-        else:
-            out.append(_WORD.search(token).group().lower())
+    out = [f[1] for f in facts]
     return [(a, b) for a, b in zip(out, out[1:]) if a and b]
 
 
 def pair_bucket(a: str, b: str) -> int:
-    return zlib.crc32(f"{a} {b}".encode()) & (PAIR_BUCKETS - 1)
+    found = _BUCKETS.get((a, b))
+    if found is None:
+        found = zlib.crc32(f"{a} {b}".encode()) & (PAIR_BUCKETS - 1)
+        if len(_BUCKETS) >= _MOST_SEEN:
+            _BUCKETS.clear()
+        _BUCKETS[a, b] = found
+    return found
 
 
+@functools.lru_cache(_MOST_SEEN)
 def word_bucket(a: str) -> int:
     return zlib.crc32(a.encode()) & (WORD_BUCKETS - 1)
 
 
-def language(words: list[str], common: dict[str, frozenset[str]]) -> str:
+def language(text: str, common: dict[str, frozenset[str]]) -> str:
     best, most = next(iter(common), ""), 0
+    words = [w for t in text.split() for w in token_facts(t)[0]]
     for lang, known in common.items():
-        n = sum(w in known for w in words)
+        n = sum(map(known.__contains__, words))
         if n > most:
             best, most = lang, n
     return best
@@ -159,34 +185,47 @@ def language(words: list[str], common: dict[str, frozenset[str]]) -> str:
 
 def statistics(lines: list[str], known: frozenset[str], pairs: np.ndarray, singles: np.ndarray) -> list[float]:
     text, flat = "\n".join(lines), " ".join(lines)
-    tokens = flat.split()
-    words = [w.lower() for w in _WORD.findall(flat)]
-    n_words, n_tokens = len(words), max(1, len(tokens))
-    n_common = sum(w in known for w in words)
+    facts = [token_facts(t) for t in flat.split()]
+    words = [w for f in facts for w in f[0]]
+    n_words, n_tokens = len(words), max(1, len(facts))
+    n_common = sum(map(known.__contains__, words))
     chars = max(1, len(flat) - flat.count(" "))
-    width = max(map(len, lines))
-    broken = sum(len(a.split()) < 9 and not _wraps(a, b, width) for a, b in zip(lines, lines[1:])) / max(1, len(lines) - 1)
+    broken = starts = gaps = 0
+    if len(lines) > 1:
+        width = max(map(len, lines))
+        broken = sum(len(a.split()) < 9 and not _wraps(a, b, width) for a, b in zip(lines, lines[1:])) / (len(lines) - 1)
+    if "  " in text or "\t" in text:
+        wide, narrow = len(re.findall(r"(?<=\S)(?: {2,}|\t)(?=\S)", text)), len(re.findall(r"(?<=\S) (?=\S)", text))
+        gaps = wide if 4 * narrow > wide or re.search(r"   |\t", text) else 0  # else it is doubled spacing throughout
+    if len(lines) > 1:
+        gaps += sum(bool(_ITEM.match(x)) for x in lines)
     starts = _START.findall(text)
     triples = list(zip(words, words[1:], words[2:]))
-    wide, narrow = len(re.findall(r"(?<=\S)(?: {2,}|\t)(?=\S)", text)), len(re.findall(r"(?<=\S) (?=\S)", text))
-    gaps = wide if 4 * narrow > wide or re.search(r"   |\t", text) else 0  # else it is doubled spacing throughout
-    gaps += sum(bool(_ITEM.match(x)) for x in lines) if len(lines) > 1 else 0
-    bare = sum(not any(c.isalnum() for c in t) for t in tokens)
-    sentences = sum(bool(_WORD.search(x)) for x in _SENTENCE.split(flat))
-    near = word_pairs(flat)
-    score = sum(max(-7.0, math.log((max(0, int(pairs[pair_bucket(a, b)]) - 1) + 0.02) / (max(0, int(singles[word_bucket(a)]) - 1) + 2))) for a, b in near)
+    sentences, open_ = 0, False
+    for f in facts:
+        open_ = open_ or bool(f[0])
+        if f[7]:
+            sentences += open_
+            open_ = False
+    sentences += open_
+    near = word_pairs(facts)
+    score = 0.0
+    if near:
+        n = np.maximum(0, pairs[[pair_bucket(a, b) for a, b in near]].astype(np.float64) - 1)
+        of = np.maximum(0, singles[[word_bucket(a) for a, _ in near]].astype(np.float64) - 1)
+        score = float(np.maximum(-7.0, np.log((n + 0.02) / (of + 2))).sum())
     return [
         max(n_common / max(1, n_words), 0.5),
-        max(math.log((n_words + 1) / (n_common + len(_BREAK.findall(flat)) + 1)), 0.8),
-        max(abs(sum(map(len, words)) / n_words - 4.6), 0.4) if n_words else 4.0,
-        max(len(re.findall(r"[^\w ]|_", flat)) / chars, 0.05),
-        max(len(re.findall(r"\d", flat)) / chars, 0.03),
+        max(math.log((n_words + 1) / (n_common + sum(f[6] for f in facts) + 1)), 0.8),
+        max(abs(sum(f[2] for f in facts) / n_words - 4.6), 0.4) if n_words else 4.0,
+        max(sum(f[3] for f in facts) / chars, 0.05),
+        max(sum(f[4] for f in facts) / chars, 0.03),
         broken,
         sum(c.islower() for c in starts) / len(starts) if len(starts) > 1 else 0.0,
         max(1 - len(set(triples)) / len(triples), 0.2) if len(triples) > 5 else 0.2,
-        sum(bool(_TOKEN.fullmatch(t)) for t in tokens) / n_tokens,
+        sum(f[1] is not None for f in facts) / n_tokens,
         min(math.log((n_words + 1) / (sentences + 1)), 1.2) if sentences else 0.0,
-        max((bare + gaps) / n_tokens, 0.02),
+        max((sum(f[5] for f in facts) + gaps) / n_tokens, 0.02),
         min((score - 2.0 * 6) / (len(near) + 6), -2.0),
     ]
 
@@ -203,7 +242,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs, singles = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(WORD_BUCKETS, np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            near = set(word_pairs(plain(text)))
+            near = set(word_pairs([token_facts(t) for t in plain(text).split()]))
             if near:
                 np.add.at(pairs, [pair_bucket(a, b) for a, b in near], 1)
                 np.add.at(singles, [word_bucket(a) for a in {a for a, _ in near}], 1)
@@ -231,7 +270,7 @@ def _measure(shared):
             langs, sizes, values = [], [], []
             for text in batch.column(1).to_pylist():
                 text = plain(text)
-                lang = language([w.lower() for w in _WORD.findall(text)], common)
+                lang = language(text, common)
                 size: list[int] = []
                 value: list[float] = []
                 for n, lines in segments(text):
