@@ -18,7 +18,7 @@ from stratalens.common import stage
 MOST_DEPTH = 32
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse: bool = False, state: str | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse: bool = False) -> DataFrame:
     """(key, node, depth) of everything within `depth` steps of the seeds (key, node), seeds at depth 0."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select("key", F.col(near).alias("node"), F.col(far).alias("next")).distinct()
@@ -191,7 +191,9 @@ def locate(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     )
     is_file = F.lower("kind") == "file"
     before = ~is_file & (F.col("line") <= F.col("at"))
-    pick = F.when(before, F.struct(F.lit(0), -F.col("line"), F.col("id"))).when(is_file, F.struct(F.lit(1), F.lit(0), F.col("id"))).otherwise(F.struct(F.lit(2), F.col("line"), F.col("id")))
+    rank = F.when(before, 0).when(is_file, 1).otherwise(2)
+    order = F.when(before, -F.col("line")).when(is_file, 0).otherwise(F.col("line"))
+    pick = F.struct(rank.alias("rank"), order.alias("order"), "id")
     return same.groupBy("repo", F.col("changed").alias("path"), F.col("at").alias("line")).agg(F.min(pick).alias("p")).select("repo", "path", "line", F.col("p.id").alias("id"))
 
 

@@ -1,7 +1,7 @@
 """All registered queries outside the llm subpackage, and their SQL."""
 
-from stratalens.plans import upkeep
+from stratalens.plans import graphs, upkeep
 
 FLAGSHIP = "p2_found"
-QUERIES = {**upkeep.QUERIES}
-SQL = {**upkeep.SQL}
+QUERIES = {**upkeep.QUERIES, **graphs.QUERIES}
+SQL = {**upkeep.SQL, **graphs.SQL}
