@@ -1,7 +1,8 @@
 """All registered queries outside the llm subpackage, and their SQL."""
 
-from stratalens.plans import graphs, upkeep
+from stratalens.plans import graphs, runtime, scores, upkeep
 
 FLAGSHIP = "p2_found"
-QUERIES = {**upkeep.QUERIES, **graphs.QUERIES}
-SQL = {**upkeep.SQL, **graphs.SQL}
+PARTS = (upkeep, graphs, scores, runtime)
+QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
+SQL = {name: q for part in PARTS for name, q in part.SQL.items()}
