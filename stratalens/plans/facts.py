@@ -97,8 +97,8 @@ def commit_risk(spark: SparkSession, d: str) -> DataFrame:
     return history.commit_risk(commits(spark, d)).drop("at")
 
 
-@query(_COMMITS + """, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY "at", id) AS a, row_number() OVER (PARTITION BY repo ORDER BY "at" DESC, id DESC) AS b FROM risky),
-t AS (SELECT repo, count(*) AS commits, max(risk) AS worst, avg(risk) FILTER (b <= 5) - avg(risk) FILTER (a <= 5) AS diff FROM r GROUP BY 1) SELECT repo, commits, worst, CASE WHEN commits < 6 THEN 'stable' WHEN diff > 0.08 THEN 'worsening' WHEN diff < -0.08 THEN 'improving' ELSE 'stable' END AS trend FROM t""")
+@query(_COMMITS + """, rr AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY "at", id) AS a, row_number() OVER (PARTITION BY repo ORDER BY "at" DESC, id DESC) AS b FROM risky),
+t AS (SELECT repo, count(*) AS commits, max(risk) AS worst, avg(risk) FILTER (b <= 5) - avg(risk) FILTER (a <= 5) AS diff FROM rr GROUP BY 1) SELECT repo, commits, worst, CASE WHEN commits < 6 THEN 'stable' WHEN diff > 0.08 THEN 'worsening' WHEN diff < -0.08 THEN 'improving' ELSE 'stable' END AS trend FROM t""")
 def commit_trend(spark: SparkSession, d: str) -> DataFrame:
     return history.trend(history.commit_risk(commits(spark, d)))
 
@@ -364,12 +364,12 @@ def contract_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return c.contract_snapshots(rows)
 
 
-@query(_FILES + """, i AS (SELECT DISTINCT repo, regexp_extract(s.source_name, '^([^/.:]+)', 1) AS package FROM (SELECT repo, unnest(imports) AS s FROM f) WHERE NOT regexp_matches(s.source_name, '^(\\.|/|crate::|self::|super::|@)')),
+@query(_FILES + """, i AS (SELECT DISTINCT repo, regexp_extract(s.source_name, '^([^/.:_]+)', 1) AS package FROM (SELECT repo, unnest(imports) AS s FROM f) WHERE NOT regexp_matches(s.source_name, '^(\\.|/|crate::|self::|super::|@)')),
 own AS (SELECT DISTINCT repo, string_split(path, '/')[2] AS package FROM f WHERE path LIKE '%/%')
 SELECT i.repo AS from_repo, o.repo AS to_repo, i.package FROM i JOIN own o ON o.package = i.package AND o.repo <> i.repo WHERE i.package <> ''""")
 def manifest_links(spark: SparkSession, d: str) -> DataFrame:
-    """Imported packages that another repository has as a top directory, by exact name."""
-    deps = resolve.external_dependencies(import_rows(spark, d)).where("package NOT LIKE '@%'").select(F.col("repo").alias("from_repo"), "package")
+    """Namespaces of imported packages (before '_') that another repository has as a directory, by exact name."""
+    deps = resolve.external_dependencies(import_rows(spark, d)).where("package NOT LIKE '@%'").select(F.col("repo").alias("from_repo"), F.split("package", "_")[0].alias("package")).distinct()
     own = files(spark, d).select(F.col("repo").alias("to_repo"), F.get(F.split("path", "/"), F.lit(1)).alias("package")).where("package IS NOT NULL").distinct()
     return deps.join(own, "package").where("from_repo <> to_repo").select("from_repo", "to_repo", "package")
 
