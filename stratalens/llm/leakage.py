@@ -111,8 +111,7 @@ def automaton(items: list[tuple[int, str]], words: int):
 
 def leaks(text: str, auto, words: int) -> list[tuple[int, int, int, int]]:
     """(item, start, end, words) for every maximal run of leaked words, as offsets in the text."""
-    found = []
-    seen: set[int] = set()
+    found: list[tuple[int, int, int, int]] = []
     for form, loose in readings(text):
         if not any(True for _ in auto.iter(form)):
             continue
@@ -128,15 +127,14 @@ def leaks(text: str, auto, words: int) -> list[tuple[int, int, int, int]]:
             last = index[stop]
             for item in ids:
                 mine = runs.setdefault(item, [])
-                if mine and mine[-1][1] >= last - 1 and mine[-1][1] < last:
+                if mine and mine[-1][1] == last - 1:
                     mine[-1][1] = last
                 else:
                     mine.append([last - words, last])
-        for item, mine in runs.items():
-            if item not in seen:
-                found += [(item, spans[a][0], spans[b - 1][1], b - a) for a, b in mine]
-        seen |= set(runs)
-    return sorted(found)
+        found += [(item, spans[a][0], spans[b - 1][1], b - a) for item, mine in runs.items() for a, b in mine]
+    # what one reading finds inside a span of the other adds nothing
+    found = sorted(set(found))
+    return [x for x in found if not any(y != x and y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and (y[2] - y[1], y[3]) > (x[2] - x[1], x[3]) for y in found)]
 
 
 _CACHE: dict[str, object] = {}
