@@ -47,7 +47,7 @@ STATISTICS = [
     ("digits", 0.02, 0.0, 1.0),  # from 0.03
     ("broken_lines", 0.12, 0.0, 1.0),  # share of ends of short lines that neither punctuation nor wrapping explains
     ("lower_starts", 0.2, 0.0, 1.0),  # share of sentences that begin in lower case
-    ("repetition", 0.12, 0.0, 1.0),  # share of word triples that occurred before, from 0.2
+    ("repetition", 0.12, 0.0, 1.0),  # share of word triples that occurred before in their stretch, from 0.2
     ("word_tokens", 0.05, 0.0, 1.0),  # share of tokens that are words with usual punctuation
     ("sentence_length", 0.15, 0.0, 8.0),  # log words to a sentence, up to 1.2
     ("separators", 0.025, 0.0, 1.0),  # bare symbols, column gaps and item numbers to a token, from 0.02
@@ -62,6 +62,8 @@ WORD_BUCKETS = 1 << 18
 #: Segments that the fit rests on have at least so many characters; shorter ones than SHORT are headings.
 FIT_CHARS, SHORT = 80, 30
 LONG_LINE = 120
+#: Repetition is looked for in stretches of so many words, so that it doesn't grow with the text.
+STRETCH = 200
 ROUNDS = 7
 BINS = 2000
 #: Languages need so many segments for a fit of their own.
@@ -222,7 +224,7 @@ def statistics(lines: list[str], known: frozenset[str], pairs: np.ndarray, singl
         max(sum(f[4] for f in facts) / chars, 0.03),
         broken,
         sum(c.islower() for c in starts) / len(starts) if len(starts) > 1 else 0.0,
-        max(1 - len(set(triples)) / len(triples), 0.2) if len(triples) > 5 else 0.2,
+        max(1 - sum(len(set(triples[i : i + STRETCH])) for i in range(0, len(triples), STRETCH)) / len(triples), 0.2) if len(triples) > 5 else 0.2,
         sum(f[1] is not None for f in facts) / n_tokens,
         min(math.log((n_words + 1) / (sentences + 1)), 1.2) if sentences else 0.0,
         max((sum(f[5] for f in facts) + gaps) / n_tokens, 0.02),

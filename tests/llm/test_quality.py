@@ -48,7 +48,8 @@ def judged(spark):
 
 
 def test_prose_and_junk_part(judged):
-    assert all(judged[i].outside_share < 0.5 for i in [*range(300), *range(3000, 3009), *range(4000, 4004)])
+    wrong = {(i, judged[i].outside_share, max(judged[i].contributions.items(), key=lambda x: x[1])) for i in [*range(300), *range(3000, 3009), *range(4000, 4004)] if judged[i].outside_share >= 0.5}
+    assert not wrong
     missed = {(i, KINDS[i % 7] if i < 2000 else KINDS[(i - 2000) % 3], round(judged[i].distance, 1)) for i in [*range(1000, 1042), *range(2000, 2009)] if judged[i].outside_share <= 0.5}
     assert not missed
 
