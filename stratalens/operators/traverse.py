@@ -18,11 +18,59 @@ from stratalens.common import stage
 MOST_DEPTH = 32
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse: bool = False) -> DataFrame:
-    """(key, node, depth) of everything within `depth` steps of the seeds (key, node), seeds at depth 0."""
+#: Graphs of up to so many edges are solved whole, many to a task.
+GROUP_EDGES = 200_000
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse: bool = False, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """(key, node, depth) of everything within `depth` steps of the seeds (key, node), seeds at depth 0.
+
+    Keys with few edges are walked in bounded groups, all depths in one pass; the others by the frontier loop.
+    """
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select("key", F.col(near).alias("node"), F.col(far).alias("next")).distinct()
-    front = stage(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)), "front")
+    seeds = seeds.select("key", "node").distinct()
+    steps = stage(steps, "steps")
+    sizes = steps.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    parts = []
+    light_steps, light_seeds = steps, seeds
+    if (most or 0) > group_edges:
+        big = stage(sizes.where(F.col("n") > group_edges).select("key"), "big")
+        parts.append(_frontier(steps.join(big, "key", "left_semi"), seeds.join(big, "key", "left_semi"), depth))
+        light_steps, light_seeds = steps.join(big, "key", "left_anti"), seeds.join(big, "key", "left_anti")
+    kinds = dict(steps.dtypes)
+    rows = light_steps.unionByName(light_seeds.withColumn("next", F.lit(None).cast(kinds["next"])))
+    buckets = max(1, -(-(total or 0) // group_edges))
+    got = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).applyInPandas(lambda pdf: _walk(pdf, depth), f"key {kinds['key']}, node {kinds['node']}, depth int")
+    for p in parts:
+        got = got.unionByName(p)
+    return stage(got, "reach")
+
+
+def _walk(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """Breadth first over whole graphs; rows without `next` are seeds."""
+    is_seed = pdf["next"].isna()
+    after: dict = {}
+    for k, a, b in pdf.loc[~is_seed, ["key", "node", "next"]].itertuples(index=False):
+        after.setdefault((k, a), []).append((k, b))
+    seen = {(k, v): 0 for k, v in pdf.loc[is_seed, ["key", "node"]].itertuples(index=False)}
+    front = list(seen)
+    for n in range(1, depth + 1):
+        new = []
+        for at in front:
+            for b in after.get(at, ()):
+                if b not in seen:
+                    seen[b] = n
+                    new.append(b)
+        if not new:
+            break
+        front = new
+    return pd.DataFrame([(k, v, n) for (k, v), n in seen.items()], columns=["key", "node", "depth"])
+
+
+def _frontier(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    front = stage(seeds.withColumn("depth", F.lit(0)), "front")
     seen = front
     for n in range(1, depth + 1):
         new = front.join(steps, ["key", "node"]).select("key", F.col("next").alias("node")).distinct()
@@ -139,7 +187,8 @@ def _colour(links: DataFrame) -> DataFrame:
         inside = links.join(label.select("key", F.col("node").alias("src"), F.col("c").alias("a")), ["key", "src"]).join(label.select("key", F.col("node").alias("dst"), F.col("c").alias("b")), ["key", "dst"]).where("a = b")
         own = inside.select(F.struct("key", "a").alias("key"), "src", "dst")
         roots = label.where("c = node").select(F.struct("key", F.col("c").alias("a")).alias("key"), "node")
-        got = reach(own, roots, depth=1 << 30, reverse=True).select("key.key", "node", F.col("key.a").alias("c"))
+        back = own.select("key", F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
+        got = _frontier(back, roots, 1 << 30).select("key.key", "node", F.col("key.a").alias("c"))
         got = stage(got, "got")
         mates = got.groupBy("key", "c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
         part = stage(got.join(mates, ["key", "c"]).select("key", "node", "component"), "component")
