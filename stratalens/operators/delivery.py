@@ -92,9 +92,10 @@ class RunStore:
         if self.buckets != shuffle_width(self.spark):
             df = df.repartition(self.buckets, *self.keys)
         view = f"run_{uuid.uuid4().hex[:12]}"
+        session = df.sparkSession  # a micro-batch has a session of its own
         df.createOrReplaceTempView(view)
-        self.spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (run_id = {run_id}) SELECT * FROM {view}")
-        self.spark.catalog.dropTempView(view)
+        session.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (run_id = {run_id}) SELECT * FROM {view}")
+        session.catalog.dropTempView(view)
 
     def upsert(self, batch: DataFrame, run_id: int, payload: list[str] | None = None) -> None:
         """Add a batch as sorted run `run_id`, in place of any earlier run of that id."""
