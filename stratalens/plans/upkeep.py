@@ -1,4 +1,4 @@
-"""Queries for the data-upkeep problems: deliveries, snapshots, references, hierarchies, percentiles.
+"""Queries for the data-upkeep problems: deliveries, snapshots, references, hierarchies.
 
 Each has its SQL yardstick beside it where SQL can state it.
 """
@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.common import shuffle_width, small, table
-from stratalens.operators import delivery, references, sketches, snapshots
+from stratalens.operators import delivery, references, snapshots
 from stratalens.operators.hierarchy import hierarchy, normal_spans
 
-#: Relative error of the percentile sketches.
-ERROR = 0.01
-QS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 #: Runs in which a table of past deliveries enters the store.
 WAVES = 3
 SPAN_PAYLOAD = ["end_unix_nano", "received_at", "batch_id", "parent_span_id", "node_id", "name", "start_unix_nano", "duration_ms", "is_error"]
@@ -152,63 +149,11 @@ UNION ALL SELECT t, v, '', CAST(-1 AS BIGINT) FROM n WHERE NOT EXISTS (SELECT 1
 """
 
 
-def _days(spark: SparkSession, d: str) -> DataFrame:
-    """One sketch for each node or pair of nodes and day. A repeated message or observation counts once."""
-    once = delivery.collapse(
-        table(spark, d, "observed_spans"), ["trace_id", "span_id"], ["end_unix_nano", "received_at", "batch_id"],
-        ["end_unix_nano", "received_at", "batch_id", "node_id", "start_unix_nano", "duration_ms"], fold_case=True, keep_unkeyed=True,
-    )
-    nano_day = lambda c: F.date_format(F.timestamp_micros(F.floor(F.col(c) / 1000).cast("long")), "yyyy-MM-dd")
-    spans = once.select(
-        F.lit("observed_spans").alias("source"), F.col("node_id").alias("source_node"), F.lit(None).cast("string").alias("target_node"),
-        nano_day("start_unix_nano").alias("day"), F.col("duration_ms").alias("value"),
-    )
-    edges = table(spark, d, "runtime_edges").distinct().select(
-        F.lit("runtime_edges").alias("source"), "source_node", "target_node", nano_day("last_seen_unix_nano").alias("day"), F.col("total_latency_ms").alias("value")
-    )
-    return sketches.sketch(spans.unionByName(edges), ["source", "source_node", "target_node", "day"], "value", ERROR)
-
-
-def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per node or pair: each day's percentiles, and those of all days (scope 'all') by adding the days' sketches."""
-    days = _days(spark, d)
-    whole = sketches.merge(days, ["source", "source_node", "target_node"])
-    both = days.withColumn("scope", F.lit("day")).unionByName(whole.withColumn("scope", F.lit("all")).withColumn("day", F.lit(None).cast("string")))
-    out = sketches.percentiles(both, ["source", "source_node", "target_node", "scope", "day"], QS, ERROR)
-    return out.select("source", "source_node", "target_node", "scope", "day", "n", *[F.round(q, 6).alias(q) for q in QS])
-
-
-def p6_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """The days' bucket counts themselves, to be kept and added to later ones."""
-    return _days(spark, d)
-
-
-_P6 = """
-WITH m AS (SELECT node_id, start_unix_nano, duration_ms FROM observed_spans WHERE trace_id IS NOT NULL AND span_id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY lower(trace_id), lower(span_id) ORDER BY end_unix_nano DESC NULLS LAST, received_at DESC NULLS LAST,
-  batch_id DESC NULLS LAST, node_id DESC NULLS LAST, start_unix_nano DESC NULLS LAST, duration_ms DESC NULLS LAST) = 1
-  UNION ALL SELECT node_id, start_unix_nano, duration_ms FROM observed_spans WHERE trace_id IS NULL OR span_id IS NULL),
-v AS (SELECT 'observed_spans' AS source, node_id AS source_node, CAST(NULL AS VARCHAR) AS target_node, strftime(make_timestamp(CAST(floor(start_unix_nano / 1000) AS BIGINT)), '%Y-%m-%d') AS day, duration_ms AS x FROM m
-  UNION ALL SELECT 'runtime_edges', source_node, target_node, strftime(make_timestamp(CAST(floor(last_seen_unix_nano / 1000) AS BIGINT)), '%Y-%m-%d'), total_latency_ms FROM (SELECT DISTINCT * FROM runtime_edges)),
-b AS (SELECT source, source_node, target_node, day, CAST(CASE WHEN abs(x) < 2.3e-308 THEN 0 WHEN x > 0 THEN ceil(ln(x) / ln(1.01 / 0.99)) + 4194304 ELSE -(ceil(ln(-x) / ln(1.01 / 0.99)) + 4194304) END AS BIGINT) AS bucket
-  FROM v WHERE x IS NOT NULL AND NOT isnan(x)),
-"""
-P6_SKETCHES_SQL = _P6.rstrip().rstrip(",") + " SELECT source, source_node, target_node, day, bucket, count(*) AS n FROM b GROUP BY ALL"
-P6_PERCENTILES_SQL = _P6 + """
-s AS (SELECT source, source_node, target_node, 'day' AS scope, day, bucket FROM b UNION ALL SELECT source, source_node, target_node, 'all', NULL, bucket FROM b),
-r AS (SELECT source, source_node, target_node, scope, day, list_sort(list(bucket)) AS l, count(*) AS n FROM s GROUP BY ALL),
-q AS (SELECT source, source_node, target_node, scope, day, n, unnest([0.5, 0.9, 0.99]) AS q, unnest(['p50', 'p90', 'p99']) AS name, l FROM r),
-e AS (SELECT source, source_node, target_node, scope, day, n, name, l[CAST(floor(q * (n - 1)) AS BIGINT) + 1] AS k FROM q),
-x AS (SELECT *, CASE WHEN k = 0 THEN 0.0 WHEN k > 0 THEN 2.0 * pow(1.01 / 0.99, k - 4194304) / (1.01 / 0.99 + 1) ELSE -2.0 * pow(1.01 / 0.99, -k - 4194304) / (1.01 / 0.99 + 1) END AS y FROM e)
-SELECT source, source_node, target_node, scope, day, n, round(max(y) FILTER (name = 'p50'), 6) AS p50, round(max(y) FILTER (name = 'p90'), 6) AS p90, round(max(y) FILTER (name = 'p99'), 6) AS p99
-FROM x GROUP BY ALL
-"""
-
 QUERIES = {
     "p1_found": p1_found, "p1_messages": p1_messages, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report,
-    "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p6_percentiles": p6_percentiles, "p6_sketches": p6_sketches,
+    "p5_found": p5_found, "p5_hierarchy": p5_hierarchy,
 }
 SQL = {
     "p1_found": P1_FOUND_SQL, "p1_messages": P1_MESSAGES_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_FOUND_SQL,
-    "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL, "p6_percentiles": P6_PERCENTILES_SQL, "p6_sketches": P6_SKETCHES_SQL,
+    "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL,
 }
