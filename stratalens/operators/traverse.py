@@ -41,7 +41,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse:
         light_steps, light_seeds = steps.join(big, "key", "left_anti"), seeds.join(big, "key", "left_anti")
     kinds = dict(steps.dtypes)
     rows = light_steps.unionByName(light_seeds.withColumn("next", F.lit(None).cast(kinds["next"])))
-    buckets = max(1, -(-(total or 0) // group_edges))
+    buckets = max(1, -(-(total or 0) // max(1, group_edges)))
     got = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).applyInPandas(lambda pdf: _walk(pdf, depth), f"key {kinds['key']}, node {kinds['node']}, depth int")
     for p in parts:
         got = got.unionByName(p)
@@ -113,7 +113,7 @@ def components(edges: DataFrame, group_edges: int = 200_000) -> DataFrame:
     light = links
     if (most or 0) > group_edges:
         light = links.join(big, "key", "left_anti")
-    buckets = max(1, -(-(total or 0) // group_edges))
+    buckets = max(1, -(-(total or 0) // max(1, group_edges)))
     kinds = dict(links.dtypes)
     out = light.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).applyInPandas(_tarjan, f"key {kinds['key']}, node {kinds['src']}, component {kinds['src']}")
     if (most or 0) > group_edges:
