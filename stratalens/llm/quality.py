@@ -75,6 +75,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"[\"'(¿¡“„«`*_]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"')”»`*_]*[.,;:!?…]*[\"')”»`*_]*")
 _MARK = re.compile(r"[ \t]*(?:(?://+|#+|\*+|>+|\||;+|--+|•|-|\+)(?:[ \t]+|$))?")
 _MARKUP = re.compile(r"[*~`]{1,3}(?=\w)|(?<=[\w.,;:!?)])[*~`]{1,3}|(?<![^\W_])_{1,2}(?=[^\W_])|(?<=[^\W_])_{1,2}(?![^\W_])")
+_EMPHASIS = re.compile(r"[*~`]|_")
+_ODD_BLANK = re.compile(r"[^\S\n\t ]")
 _ITEM = re.compile(r"\(?\d+[.)]\s|\[[ xX]\]")
 _START = re.compile(r"[.!?][\"”)]?\s+[\"“(]?([^\W\d_])")
 _END = (".", "!", "?", '."', '!"', '?"', ".)", ".”", ":", "…")
@@ -85,7 +87,9 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    return _MARKUP.sub("", re.sub(r"[^\S\n\t]", " ", text))
+    if not text.isprintable():
+        text = _ODD_BLANK.sub(" ", text)
+    return _MARKUP.sub("", text) if _EMPHASIS.search(text) else text
 
 
 def _mark(line: str) -> str:
@@ -175,9 +179,9 @@ def word_bucket(a: str) -> int:
     return zlib.crc32(a.encode()) & (WORD_BUCKETS - 1)
 
 
-def language(text: str, common: dict[str, frozenset[str]]) -> str:
+def language(facts: list[tuple], common: dict[str, frozenset[str]]) -> str:
     best, most = next(iter(common), ""), 0
-    words = [w for t in text.split() for w in token_facts(t)[0]]
+    words = [w for f in facts for w in f[0]]
     for lang, known in common.items():
         n = sum(map(known.__contains__, words))
         if n > most:
@@ -185,14 +189,15 @@ def language(text: str, common: dict[str, frozenset[str]]) -> str:
     return best
 
 
-def statistics(lines: list[str], known: frozenset[str], pairs: np.ndarray, singles: np.ndarray) -> list[float]:
-    text, flat = "\n".join(lines), " ".join(lines)
-    facts = [token_facts(t) for t in flat.split()]
-    words = [w for f in facts for w in f[0]]
+def statistics(lines: list[str], facts: list[tuple], known: frozenset[str], pairs: np.ndarray, singles: np.ndarray) -> list[float]:
+    """Of one segment; `facts` are those of its tokens."""
+    text = "\n".join(lines)
+    held, whole, letters, symbols, digits, bare, breaks, ends = zip(*facts) if facts else [()] * 8
+    words = [w for ws in held for w in ws]
     n_words, n_tokens = len(words), max(1, len(facts))
     n_common = sum(map(known.__contains__, words))
-    chars = max(1, len(flat) - flat.count(" "))
-    broken = starts = gaps = 0
+    chars = max(1, sum(map(len, lines)) - sum(x.count(" ") for x in lines))
+    broken = gaps = 0
     if len(lines) > 1:
         width = max(map(len, lines))
         broken = sum(len(a.split()) < 9 and not _wraps(a, b, width) for a, b in zip(lines, lines[1:])) / (len(lines) - 1)
@@ -204,13 +209,13 @@ def statistics(lines: list[str], known: frozenset[str], pairs: np.ndarray, singl
     starts = _START.findall(text)
     triples = list(zip(words, words[1:], words[2:]))
     sentences, open_ = 0, False
-    for f in facts:
-        open_ = open_ or bool(f[0])
-        if f[7]:
+    for ws, end in zip(held, ends):
+        open_ = open_ or bool(ws)
+        if end:
             sentences += open_
             open_ = False
     sentences += open_
-    near = word_pairs(facts)
+    near = [(a, b) for a, b in zip(whole, whole[1:]) if a and b]
     score = 0.0
     if near:
         n = np.maximum(0, pairs[[pair_bucket(a, b) for a, b in near]].astype(np.float64) - 1)
@@ -218,16 +223,16 @@ def statistics(lines: list[str], known: frozenset[str], pairs: np.ndarray, singl
         score = float(np.maximum(-7.0, np.log((n + 0.02) / (of + 2))).sum())
     return [
         max(n_common / max(1, n_words), 0.5),
-        max(math.log((n_words + 1) / (n_common + sum(f[6] for f in facts) + 1)), 0.8),
-        max(abs(sum(f[2] for f in facts) / n_words - 4.6), 0.4) if n_words else 4.0,
-        max(sum(f[3] for f in facts) / chars, 0.05),
-        max(sum(f[4] for f in facts) / chars, 0.03),
+        max(math.log((n_words + 1) / (n_common + sum(breaks) + 1)), 0.8),
+        max(abs(sum(letters) / n_words - 4.6), 0.4) if n_words else 4.0,
+        max(sum(symbols) / chars, 0.05),
+        max(sum(digits) / chars, 0.03),
         broken,
         sum(c.islower() for c in starts) / len(starts) if len(starts) > 1 else 0.0,
         max(1 - sum(len(set(triples[i : i + STRETCH])) for i in range(0, len(triples), STRETCH)) / len(triples), 0.2) if len(triples) > 5 else 0.2,
-        sum(f[1] is not None for f in facts) / n_tokens,
+        (len(whole) - whole.count(None)) / n_tokens,
         min(math.log((n_words + 1) / (sentences + 1)), 1.2) if sentences else 0.0,
-        max((sum(f[5] for f in facts) + gaps) / n_tokens, 0.02),
+        max((sum(bare) + gaps) / n_tokens, 0.02),
         min((score - 2.0 * 6) / (len(near) + 6), -2.0),
     ]
 
@@ -271,13 +276,10 @@ def _measure(shared):
         for batch in batches:
             langs, sizes, values = [], [], []
             for text in batch.column(1).to_pylist():
-                text = plain(text)
-                lang = language(text, common)
-                size: list[int] = []
-                value: list[float] = []
-                for n, lines in segments(text):
-                    size.append(n)
-                    value += statistics(lines, common.get(lang, frozenset()), pairs, singles)
+                parts = [(n, lines, [token_facts(t) for x in lines for t in x.split()]) for n, lines in segments(plain(text))]
+                lang = language([f for _, _, facts in parts for f in facts], common)
+                size = [n for n, _, _ in parts]
+                value = [v for _, lines, facts in parts for v in statistics(lines, facts, common.get(lang, frozenset()), pairs, singles)]
                 langs.append(lang)
                 sizes.append(size)
                 values.append(value)
