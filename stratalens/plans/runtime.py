@@ -20,7 +20,7 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = re.sub("@([^@]+)@", lambda m: settle_sql(m[1]), sql)
+            SQL[f.__name__] = re.sub("<<(.+?)>>", lambda m: settle_sql(m[1]), sql)
         return f
 
     return keep
@@ -33,7 +33,7 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.aggregate(spans(spark, d))
 
 
-@query(_MET + " SELECT id, calls, @ms@ AS ms, round(errors, 6) AS errors, hot FROM met")
+@query(_MET + " SELECT id, calls, <<ms>> AS ms, round(errors, 6) AS errors, hot FROM met")
 def span_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics(spark, d).select("id", "calls", settle(F.col("ms")).alias("ms"), F.round("errors", 6).alias("errors"), "hot")
 
@@ -68,7 +68,7 @@ def span_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(SPANS_SQL + """, b AS (SELECT node_id AS id, CAST(floor(start / 86400000000000) AS BIGINT) AS day, count(*) AS calls, avg(greatest(ms, 0)) AS ms, avg(CASE WHEN err THEN 1.0 ELSE 0.0 END) AS errors, count(*) > 500 AS hot FROM spans WHERE node_id IS NOT NULL GROUP BY 1, 2)
-SELECT id, CAST(sum(calls) AS BIGINT) AS calls, @sum(ms * calls) / sum(calls)@ AS ms, round(sum(errors * calls) / sum(calls), 6) AS errors, bool_or(hot) OR sum(calls) > 1000 AS hot FROM b GROUP BY 1""")
+SELECT id, CAST(sum(calls) AS BIGINT) AS calls, <<sum(ms * calls) / sum(calls)>> AS ms, round(sum(errors * calls) / sum(calls), 6) AS errors, bool_or(hot) OR sum(calls) > 1000 AS hot FROM b GROUP BY 1""")
 def span_merge(spark: SparkSession, d: str) -> DataFrame:
     """Each day's metrics merged into one row per identity."""
     rows = spans(spark, d).where("node_id IS NOT NULL").withColumn("day", F.floor(F.col("start") / 86400000000000))
@@ -81,7 +81,7 @@ def span_merge(spark: SparkSession, d: str) -> DataFrame:
 _LINK = SPANS_SQL + """, link AS (SELECT a.node_id AS source, b.node_id AS target, b.t, b.v, b.err, b.ms, b.stop FROM spans b JOIN spans a ON a.t = b.t AND a.v = b.p WHERE a.node_id IS NOT NULL AND b.node_id IS NOT NULL)"""
 
 
-@query(_LINK + " SELECT source, target, count(*) AS calls, count(*) FILTER (err) AS errors, @sum(greatest(ms, 0))@ AS total_ms, max(stop) AS last_seen, arg_max(t, (coalesce(stop, -1), t)) AS last_trace FROM link GROUP BY 1, 2")
+@query(_LINK + " SELECT source, target, count(*) AS calls, count(*) FILTER (err) AS errors, <<sum(greatest(ms, 0))>> AS total_ms, max(stop) AS last_seen, arg_max(t, (coalesce(stop, -1), t)) AS last_trace FROM link GROUP BY 1, 2")
 def runtime_links(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.edges(spans(spark, d)).withColumn("total_ms", settle(F.col("total_ms")))
 
@@ -106,7 +106,7 @@ def trace_retention(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.retained(stage(spans(spark, d), "spans"), 100, 1000).select("t", "v", "pos")
 
 
-@query(GRAPH_SQL + "," + _MET.replace("\nWITH RECURSIVE ", "") + " SELECT n.repo, n.id, m.calls, @m.ms@ AS ms, m.calls IS NOT NULL AS observed FROM nodes n LEFT JOIN met m USING (id)")
+@query(GRAPH_SQL + "," + _MET.replace("\nWITH RECURSIVE ", "") + " SELECT n.repo, n.id, m.calls, <<m.ms>> AS ms, m.calls IS NOT NULL AS observed FROM nodes n LEFT JOIN met m USING (id)")
 def runtime_overlay(spark: SparkSession, d: str) -> DataFrame:
     nodes = graph(spark, d)[0].select("repo", "id")
     return nodes.join(metrics(spark, d).select("id", "calls", settle(F.col("ms")).alias("ms")), "id", "left").withColumn("observed", F.col("calls").isNotNull())
@@ -117,7 +117,7 @@ i AS (SELECT target AS id, count(DISTINCT source) AS seen_in FROM link GROUP BY
 f AS (SELECT id, coalesce(calls, 0) AS calls, coalesce(ms, 0) AS ms, coalesce(errors, 0) AS errors, coalesce(seen_in, 0) AS seen_in, coalesce(seen_out, 0) AS seen_out FROM met FULL JOIN i USING (id) FULL JOIN o USING (id))"""
 
 
-@query(_FUSE + """ SELECT id, calls, @ms@ AS ms, round(errors, 6) AS errors, seen_in, seen_out, array_to_string(list_filter([CASE WHEN calls > 0 THEN 'observed' END, CASE WHEN calls >= 500 THEN 'hot' END, CASE WHEN ms >= 500 THEN 'slow' END, CASE WHEN errors >= 0.05 THEN 'unstable' END,
+@query(_FUSE + """ SELECT id, calls, <<ms>> AS ms, round(errors, 6) AS errors, seen_in, seen_out, array_to_string(list_filter([CASE WHEN calls > 0 THEN 'observed' END, CASE WHEN calls >= 500 THEN 'hot' END, CASE WHEN ms >= 500 THEN 'slow' END, CASE WHEN errors >= 0.05 THEN 'unstable' END,
  CASE WHEN seen_out >= 6 THEN 'high-fan-out' END, CASE WHEN id LIKE 'runtime-unresolved/%' THEN 'unresolved-identity' END], lambda x: x IS NOT NULL), ',') AS signals FROM f""")
 def runtime_fusion(spark: SparkSession, d: str) -> DataFrame:
     s = stage(spans(spark, d), "spans")
@@ -189,7 +189,7 @@ def service_body(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.service_body(_service_calls(spark, d))[0]
 
 
-@query(_CALLS + " SELECT source, target, flow, count(*) AS calls, @sum(greatest(ms, 0))@ AS total_ms FROM ok GROUP BY 1, 2, 3")
+@query(_CALLS + " SELECT source, target, flow, count(*) AS calls, <<sum(greatest(ms, 0))>> AS total_ms FROM ok GROUP BY 1, 2, 3")
 def service_edges(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.service_body(_service_calls(spark, d))[1].withColumn("total_ms", settle(F.col("total_ms")))
 
