@@ -53,8 +53,8 @@ def orphan_keys(parents: DataFrame, refs: DataFrame, blocks: int) -> DataFrame:
     return asof.where(F.col("is_ref") & ~inside).select("h1", "h2")
 
 
-def dangling_edges(edges: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
-    """(snapshot_id, edge_id, ref_field): edge ends without a node of that id in the same snapshot."""
+def dangling_edges(edges: DataFrame, nodes: DataFrame, blocks: int, once: bool = True) -> DataFrame:
+    """(snapshot_id, edge_id, ref_field): edge ends without a node of that id in the same snapshot; with `once`, each once."""
     h = lambda c: [x.alias(n) for x, n in zip(key128("snapshot_id", c), ("h1", "h2"))]
     parents = nodes.where("node_id IS NOT NULL").select(*h("node_id"))
     ends = edges.select(
@@ -63,7 +63,8 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame
     ).select("snapshot_id", "edge_id", "e.ref_field", "e.ref")
     ends = ends.where("ref IS NOT NULL AND trim(ref) <> ''").select("snapshot_id", "edge_id", "ref_field", *h("ref"))
     missing = orphan_keys(parents, ends, blocks)
-    return ends.join(missing, ["h1", "h2"], "left_semi").select("snapshot_id", "edge_id", "ref_field").distinct()
+    found = ends.join(missing, ["h1", "h2"], "left_semi").select("snapshot_id", "edge_id", "ref_field")
+    return found.distinct() if once else found
 
 
 def merged_runs(parents: DataFrame, key: str, start: str, end: str, pack: int = PACK) -> DataFrame:

@@ -86,7 +86,7 @@ P2_REPORT_SQL = _P2 + "SELECT snapshot_id, record_type, change_type, count(*) AS
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    edges = references.dangling_edges(table(spark, d, "snapshot_edges"), table(spark, d, "snapshot_nodes"), 8 * shuffle_width(spark))
+    edges = references.dangling_edges(table(spark, d, "snapshot_edges"), table(spark, d, "snapshot_nodes"), 8 * shuffle_width(spark), once=False)
     days = table(spark, d, "snapshots").groupBy("snapshot_id").agg(day(F.min("taken_at")).alias("period_day"))
     edges = edges.join(small(days), "snapshot_id", "left").select(
         F.lit("snapshot_edges").alias("ref_table"), "period_day", F.col("edge_id").alias("record_id"), "ref_field"
