@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.common import ship
+
 WORDS = 10
 BLOCK_CHARS = 8_000_000
 
@@ -169,6 +171,7 @@ def _scanner(shared, words: int, spans: bool):
 def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, spans: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id) or, with `spans`, (doc_id, item_id, start, stop, n_words) of every leak."""
     spark = documents.sparkSession
+    ship(spark)
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))

@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.common import stage
+from stratalens.common import ship, stage
 
 #: name, tolerance, range for the starting medians
 STATISTICS = [
     ("common_words", 0.06, 0.0, 1.0),  # share of the language's common words, from 0.5
-    ("content_run", 0.3, 0.0, 8.0),  # log words between common words or punctuation, from 0.8
+    ("content_run", 0.45, 0.0, 8.0),  # log words between common words or punctuation, from 0.8
     ("word_length", 0.6, 0.0, 20.0),  # distance of the mean word length from 4.6, from 0.4
     ("symbols", 0.02, 0.0, 1.0),  # share of characters that are neither letters nor digits, from 0.05
     ("digits", 0.02, 0.0, 1.0),  # from 0.03
@@ -50,7 +50,7 @@ STATISTICS = [
     ("repetition", 0.12, 0.0, 1.0),  # share of word triples that occurred before in their stretch, from 0.2
     ("word_tokens", 0.05, 0.0, 1.0),  # share of tokens that are words with usual punctuation
     ("sentence_length", 0.15, 0.0, 8.0),  # log words to a sentence, up to 1.2
-    ("separators", 0.025, 0.0, 1.0),  # bare symbols, column gaps and item numbers to a token, from 0.02
+    ("separators", 0.02, 0.0, 1.0),  # bare symbols, column gaps and item numbers to a token, from 0.02
     ("word_pairs", 0.3, -8.0, 0.0),  # mean log probability of a word after the one before, up to -2
 ]
 NAMES = [s[0] for s in STATISTICS]
@@ -62,6 +62,8 @@ WORD_BUCKETS = 1 << 18
 #: Segments that the fit rests on have at least so many characters; shorter ones than SHORT are headings.
 FIT_CHARS, SHORT = 80, 30
 LONG_LINE = 120
+#: Text isn't wrapped to lines narrower than this.
+NARROW = 36
 #: Repetition is looked for in stretches of so many words, so that it doesn't grow with the text.
 STRETCH = 200
 ROUNDS = 7
@@ -102,7 +104,7 @@ def _is_long(line: str) -> bool:
 
 def _wraps(line: str, following: str, width: int) -> bool:
     """Whether punctuation or the lack of room explains that the line ends here."""
-    return line.endswith(_END) or len(line) + 1 + len(following.split(" ", 1)[0]) > width
+    return line.endswith(_END) or width >= NARROW and len(line) + 1 + len(following.split(" ", 1)[0]) > width
 
 
 def segments(text: str) -> Iterator[tuple[int, list[str]]]:
@@ -425,6 +427,7 @@ def quality(documents: DataFrame, common_words: DataFrame, quantile: float = 0.9
     contributions: what each statistic adds to the squared distance.
     """
     spark = documents.sparkSession
+    ship(spark)
     limit = chi_squared(quantile, K)
     words = common_words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", F.lower("word").alias("word")).distinct()
     if words.limit(MOST_COMMON_WORDS + 1).count() > MOST_COMMON_WORDS:
