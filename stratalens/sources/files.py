@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.common import ship
+
 #: Endings of files that can be parsed, and directories that a walk leaves out.
 EXTENSIONS = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java"}
 SKIPPED = [".git", "node_modules", "target", "dist", "build", ".next", "vendor", "coverage", ".turbo", ".yarn"]
@@ -86,6 +88,7 @@ def unzip(archives: DataFrame, name: str = "path", content: str = "content") ->
                         rows.append((archive, "/".join(parts), z.read(i).decode("utf-8", "replace")))
                 yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
+    ship(archives.sparkSession)
     return archives.select(F.col(name).alias("archive"), F.col(content).alias("blob")).mapInPandas(run, "archive string, path string, content string")
 
 

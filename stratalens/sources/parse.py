@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from stratalens.common import ship
+
 SCHEMA = (
     "path string, language string, nodes array<struct<id:string,kind:string,name:string,line:int,col:int>>, imports array<struct<source:string,symbols:array<string>,kind:string>>, "
     "exports array<struct<name:string,kind:string,exported:boolean,public:boolean>>, calls array<struct<caller:string,callee:string,line:int,col:int>>, relations array<struct<source:string,target:string,kind:string>>"
@@ -243,4 +245,5 @@ def analyse(files: DataFrame) -> DataFrame:
                 "calls": [a.calls for a in got], "relations": [a.relations for a in got],
             })
 
+    ship(files.sparkSession)
     return files.where("path IS NOT NULL AND language IS NOT NULL").select("path", "language", "content").mapInPandas(run, SCHEMA)
