@@ -45,3 +45,11 @@ def test_no_parents_or_references(spark):
     r = spark.createDataFrame([("a", 1, 1)], "key string, at long, ref long")
     assert orphans_by_lifetime(r, merged_runs(p, "id", "born", "gone")).count() == 1
     assert orphans_by_lifetime(r.limit(0), merged_runs(p, "id", "born", "gone")).count() == 0
+
+
+def test_hot_key(spark):
+    """A third of all ends name one node, and another third one that isn't there."""
+    edges = spark.range(6000).selectExpr("'s' AS snapshot_id", "CAST(id AS STRING) AS edge_id", "CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'gone' ELSE CAST(id % 50 AS STRING) END AS from_id", "'hot' AS to_id")
+    nodes = spark.range(50).selectExpr("'s' AS snapshot_id", "CAST(id AS STRING) AS node_id").unionByName(spark.createDataFrame([("s", "hot")], "snapshot_id string, node_id string"))
+    got = dangling_edges(edges, nodes, 8)
+    assert got.count() == 2000 and got.where("ref_field <> 'from_id' OR CAST(edge_id AS INT) % 3 <> 1").count() == 0
