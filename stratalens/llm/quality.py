@@ -24,7 +24,6 @@ repeated rows are judged alike; texts are read whole.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import unicodedata
@@ -134,10 +133,9 @@ def segments(text: str) -> Iterator[tuple[int, list[str]]]:
             yield sum(map(len, raw)), lines
 
 
-#: What is known of a token: words in it, word or None if it isn't one, letters, symbols, digits, whether it is bare
+#: What is known of a token: words in it, a number for it if it is a word and else 0, letters, symbols, digits, whether it is bare
 #: of letters and digits, whether it ends a phrase, a sentence. Texts repeat their tokens, so this is looked up.
 _SEEN: dict[str, tuple] = {}
-_BUCKETS: dict[tuple[str, str], int] = {}
 _MOST_SEEN = 100_000
 
 
@@ -145,9 +143,9 @@ def token_facts(token: str) -> tuple:
     found = _SEEN.get(token)
     if found is None:
         words = tuple(w.lower() for w in _WORD.findall(token))
-        whole = None
+        whole = 0
         if _TOKEN.fullmatch(token):
-            whole = token.strip(".,;:!?()\"").lower() if "-" in token else words[0]
+            whole = zlib.crc32((token.strip(".,;:!?()\"").lower() if "-" in token else words[0]).encode()) or 1
         found = (
             words, whole, sum(map(len, words)), len(re.findall(r"[^\w ]|_", token)), len(re.findall(r"\d", token)), not any(c.isalnum() for c in token),
             token[-1] in ".,;:!?", token[-1] in ".!?",
@@ -160,25 +158,14 @@ def token_facts(token: str) -> tuple:
     return found
 
 
-def word_pairs(facts: list[tuple]) -> list[tuple[str, str]]:
-    """Words next to each other in running text; paths, numbers and symbols part them."""
-    out = [f[1] for f in facts]
-    return [(a, b) for a, b in zip(out, out[1:]) if a and b]
-
-
-def pair_bucket(a: str, b: str) -> int:
-    found = _BUCKETS.get((a, b))
-    if found is None:
-        found = zlib.crc32(f"{a} {b}".encode()) & (PAIR_BUCKETS - 1)
-        if len(_BUCKETS) >= _MOST_SEEN:
-            _BUCKETS.clear()
-        _BUCKETS[a, b] = found
-    return found
-
-
-@functools.lru_cache(_MOST_SEEN)
-def word_bucket(a: str) -> int:
-    return zlib.crc32(a.encode()) & (WORD_BUCKETS - 1)
+def word_pairs(numbers: tuple[int, ...] | list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of pairs of words next to each other in running text, and of their first words; what isn't a word parts them."""
+    n = np.array(numbers, np.uint64)
+    first, second = n[:-1], n[1:]
+    ok = (first > 0) & (second > 0)
+    first, second = first[ok], second[ok]
+    mixed = (first * np.uint64(0x9E3779B1) + second) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40)).astype(np.int64) & (PAIR_BUCKETS - 1), first.astype(np.int64) & (WORD_BUCKETS - 1)
 
 
 def language(facts: list[tuple], common: dict[str, frozenset[str]]) -> str:
@@ -217,12 +204,9 @@ def statistics(lines: list[str], facts: list[tuple], known: frozenset[str], pair
             sentences += open_
             open_ = False
     sentences += open_
-    near = [(a, b) for a, b in zip(whole, whole[1:]) if a and b]
-    score = 0.0
-    if near:
-        n = np.maximum(0, pairs[[pair_bucket(a, b) for a, b in near]].astype(np.float64) - 1)
-        of = np.maximum(0, singles[[word_bucket(a) for a, _ in near]].astype(np.float64) - 1)
-        score = float(np.maximum(-7.0, np.log((n + 0.02) / (of + 2))).sum())
+    near, first = word_pairs(whole)
+    n, of = np.maximum(0, pairs[near].astype(np.float64) - 1), np.maximum(0, singles[first].astype(np.float64) - 1)
+    score = float(np.maximum(-7.0, np.log((n + 0.02) / (of + 2))).sum())
     return [
         max(n_common / max(1, n_words), 0.5),
         max(math.log((n_words + 1) / (n_common + sum(breaks) + 1)), 0.8),
@@ -232,7 +216,7 @@ def statistics(lines: list[str], facts: list[tuple], known: frozenset[str], pair
         broken,
         sum(c.islower() for c in starts) / len(starts) if len(starts) > 1 else 0.0,
         max(1 - sum(len(set(triples[i : i + STRETCH])) for i in range(0, len(triples), STRETCH)) / len(triples), 0.2) if len(triples) > 5 else 0.2,
-        (len(whole) - whole.count(None)) / n_tokens,
+        (len(whole) - whole.count(0)) / n_tokens,
         min(math.log((n_words + 1) / (sentences + 1)), 1.2) if sentences else 0.0,
         max((sum(bare) + gaps) / n_tokens, 0.02),
         min((score - 2.0 * 6) / (len(near) + 6), -2.0),
@@ -251,10 +235,9 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs, singles = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(WORD_BUCKETS, np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            near = set(word_pairs([token_facts(t) for t in plain(text).split()]))
-            if near:
-                np.add.at(pairs, [pair_bucket(a, b) for a, b in near], 1)
-                np.add.at(singles, [word_bucket(a) for a in {a for a, _ in near}], 1)
+            near, first = word_pairs([token_facts(t)[1] for t in plain(text).split()])
+            pairs[np.unique(near)] += 1
+            singles[np.unique(first)] += 1
     for kind, table in enumerate((pairs, singles)):
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["kind", "bucket", "n"])

@@ -73,5 +73,8 @@ def test_empty_and_tiny_tables(spark):
 
 
 def test_hash_of_pairs_is_stable():
-    assert quality.pair_bucket("of", "the") == quality.pair_bucket("of", "the") < quality.PAIR_BUCKETS
+    facts = [quality.token_facts(t)[1] for t in "Of the, (of a/b the) the".split()]
+    near, first = quality.word_pairs(facts)
+    assert facts[0] == facts[2] and facts[3] == 0 and len(near) == 3 and near[0] != near[1] and first[1] == first[2] and max(near) < quality.PAIR_BUCKETS
+    assert len(quality.word_pairs([])[0]) == len(quality.word_pairs([5])[0]) == 0
     assert abs(quality.chi_squared(0.995, 12) - 28.2995) < 0.1
