@@ -7,6 +7,9 @@ folder, so lineage stays one round long and a lost executor costs one round.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +25,11 @@ MOST_DEPTH = 32
 GROUP_EDGES = 200_000
 
 
+def rounds(depth: int | None) -> Iterable[int]:
+    """1, 2, ... up to depth; without end if it is None, for walks that stop when their frontier is empty."""
+    return count(1) if depth is None else range(1, depth + 1)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse: bool = False, group_edges: int = GROUP_EDGES) -> DataFrame:
     """(key, node, depth) of everything within `depth` steps of the seeds (key, node), seeds at depth 0.
 

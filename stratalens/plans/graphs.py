@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.common import table
+from stratalens.common import stage, table
 from stratalens.operators import structure, traverse
 from stratalens.plans.views import CHANGES_SQL, GRAPH_SQL, TWO_GRAPHS_SQL, changes, graph
 
@@ -138,29 +139,63 @@ FROM each r GROUP BY r.repo"""
 
 @query(GRAPH_SQL + _SESSION)
 def session_impact(spark: SparkSession, d: str) -> DataFrame:
-    """All changes of a repository as one session: impact of each to depth 3, then distinct nodes and files, worst and mean risk."""
+    """All changes of a repository as one session: whole impact of each, then distinct nodes and files, worst and mean risk.
+
+    A change without any impact counts as one of risk 0.
+    """
     nodes, edges = graph(spark, d)
-    seeds = traverse.locate(nodes, changes(spark, d)).select(F.concat_ws(" ", "repo", "path").alias("key"), "repo", "id").distinct()
-    # every change walks its repository's edges: the change is the key, the node carries its repository
-    node = lambda c: F.concat_ws("\u0001", "repo", c)
-    walk = seeds.select("key", node("id").alias("node"))
-    links = edges.select(node("src").alias("src"), node("dst").alias("dst"))
-    got = reach_shared(links, walk, 3).where("depth > 0")
+    changed = changes(spark, d)
+    seeds = traverse.locate(nodes, changed).select(F.concat_ws(" ", "repo", "path").alias("key"), "repo", "id").distinct()
+    got = stage(reach_each(edges, seeds).where("depth > 0"), "got")
     risk = F.least((2 * F.count(F.when(F.col("depth") == 1, 1)) + F.count(F.when(F.col("depth") > 1, 1))) / 20 + F.least(0.08 * F.max("depth"), F.lit(0.24)), F.lit(1.0))
-    each = got.groupBy("key").agg(risk.alias("risk"), F.split(F.min("node"), "\u0001")[0].alias("repo"))
-    split = got.select(F.split("node", "\u0001")[0].alias("repo"), F.split("node", "\u0001")[1].alias("id"))
-    wide = split.join(nodes.select("repo", "id", "path"), ["repo", "id"]).groupBy("repo").agg(F.countDistinct("id").alias("nodes"), F.countDistinct("path").alias("files"))
-    return each.groupBy("repo").agg(F.count(F.lit(1)).alias("changes"), F.round(F.max("risk"), 6).alias("max_risk"), F.round(F.avg("risk"), 6).alias("mean_risk")).join(wide, "repo")
-
-
-def reach_shared(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Reverse reach of many keys over one shared set of edges (src, dst), which is not copied for each key."""
-    from stratalens.common import stage
-
+    each = changed.select("repo", F.concat_ws(" ", "repo", "path").alias("key")).join(got.groupBy("key").agg(risk.alias("risk")), "key", "left").fillna(0.0, ["risk"])
+    wide = got.join(nodes.select("repo", "id", "path"), ["repo", "id"]).groupBy("repo").agg(F.countDistinct("id").alias("nodes"), F.countDistinct("path").alias("files"))
+    return each.groupBy("repo").agg(F.count(F.lit(1)).alias("changes"), F.round(F.max("risk"), 6).alias("max_risk"), F.round(F.avg("risk"), 6).alias("mean_risk")).join(wide, "repo", "left").fillna(0, ["nodes", "files"])
+
+
+def reach_each(edges: DataFrame, seeds: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """(repo, key, id, depth): whole reverse reach of each key's seeds (key, repo, id) over its repository's edges, which are not copied for each key.
+
+    Repositories with up to `most` edges times keys are walked whole in one task each, the others by the frontier loop.
+    """
+    links, seeds = stage(edges.select("repo", "src", "dst").distinct(), "links"), stage(seeds, "seeds")
+    cost = seeds.groupBy("repo").agg(F.countDistinct("key").alias("keys")).join(links.groupBy("repo").agg(F.count(F.lit(1)).alias("n")), "repo")
+    big = stage(cost.where(F.col("keys") * F.col("n") > most).select("repo"), "big")
+    light = links.join(big, "repo", "left_anti").groupBy("repo").cogroup(seeds.join(big, "repo", "left_anti").groupBy("repo"))
+    got = light.applyInPandas(_walk_each, "repo string, key string, id string, depth int")
+    if big.isEmpty():
+        return got
+    node = lambda c: F.concat_ws("\u0001", "repo", c)
+    far = reach_shared(links.join(big, "repo", "left_semi").select(node("src").alias("src"), node("dst").alias("dst")), seeds.join(big, "repo", "left_semi").select("key", node("id").alias("node")))
+    return got.unionByName(far.select(F.split("node", "\u0001")[0].alias("repo"), "key", F.split("node", "\u0001")[1].alias("id"), "depth"))
+
+
+def _walk_each(links: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+    before: dict = {}
+    for a, b in zip(links["src"], links["dst"]):
+        before.setdefault(b, []).append(a)
+    rows = []
+    for (repo, key), part in seeds.groupby(["repo", "key"], sort=False):
+        seen = dict.fromkeys(part["id"], 0)
+        front, n = list(seen), 0
+        while front:
+            n, new = n + 1, []
+            for at in front:
+                for b in before.get(at, ()):
+                    if b not in seen:
+                        seen[b] = n
+                        new.append(b)
+            front = new
+        rows += [(repo, key, v, m) for v, m in seen.items()]
+    return pd.DataFrame(rows, columns=["repo", "key", "id", "depth"])
+
+
+def reach_shared(links: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """Reverse reach of many keys over one shared set of edges (src, dst), which is not copied for each key. Without depth, to the end."""
     steps = links.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
     front = stage(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)), "front")
     seen = front
-    for n in range(1, depth + 1):
+    for n in traverse.rounds(depth):
         new = front.join(steps, "node").select("key", F.col("next").alias("node")).distinct().join(seen.select("key", "node"), ["key", "node"], "left_anti")
         front = stage(new.withColumn("depth", F.lit(n)), "front")
         if front.isEmpty():
