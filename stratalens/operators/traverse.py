@@ -30,8 +30,8 @@ def rounds(depth: int | None) -> Iterable[int]:
     return count(1) if depth is None else range(1, depth + 1)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse: bool = False, group_edges: int = GROUP_EDGES) -> DataFrame:
-    """(key, node, depth) of everything within `depth` steps of the seeds (key, node), seeds at depth 0.
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse: bool = False, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """(key, node, depth) of everything within `depth` steps of the seeds (key, node), or at any distance, seeds at depth 0.
 
     Keys with few edges are walked in bounded groups, all depths in one pass; the others by the frontier loop.
     """
@@ -56,7 +56,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, reverse:
     return stage(got, "reach")
 
 
-def _walk(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
+def _walk(pdf: pd.DataFrame, depth: int | None) -> pd.DataFrame:
     """Breadth first over whole graphs; rows without `next` are seeds."""
     is_seed = pdf["next"].isna()
     after: dict = {}
@@ -64,7 +64,7 @@ def _walk(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
         after.setdefault((k, a), []).append((k, b))
     seen = {(k, v): 0 for k, v in pdf.loc[is_seed, ["key", "node"]].itertuples(index=False)}
     front = list(seen)
-    for n in range(1, depth + 1):
+    for n in rounds(depth):
         new = []
         for at in front:
             for b in after.get(at, ()):
@@ -77,10 +77,10 @@ def _walk(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
     return pd.DataFrame([(k, v, n) for (k, v), n in seen.items()], columns=["key", "node", "depth"])
 
 
-def _frontier(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def _frontier(steps: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
     front = stage(seeds.withColumn("depth", F.lit(0)), "front")
     seen = front
-    for n in range(1, depth + 1):
+    for n in rounds(depth):
         new = front.join(steps, ["key", "node"]).select("key", F.col("next").alias("node")).distinct()
         new = new.join(seen.select("key", "node"), ["key", "node"], "left_anti").withColumn("depth", F.lit(n))
         front = stage(new, "front")
@@ -196,7 +196,7 @@ def _colour(links: DataFrame) -> DataFrame:
         own = inside.select(F.struct("key", "a").alias("key"), "src", "dst")
         roots = label.where("c = node").select(F.struct("key", F.col("c").alias("a")).alias("key"), "node")
         back = own.select("key", F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
-        got = _frontier(back, roots, 1 << 30).select("key.key", "node", F.col("key.a").alias("c"))
+        got = _frontier(back, roots, None).select("key.key", "node", F.col("key.a").alias("c"))
         got = stage(got, "got")
         mates = got.groupBy("key", "c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
         part = stage(got.join(mates, ["key", "c"]).select("key", "node", "component"), "component")

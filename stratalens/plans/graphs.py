@@ -88,7 +88,7 @@ def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(keep.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(keep.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst", "kind")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = traverse.MOST_DEPTH) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """What depends on the seeds (repo, id), at which depth, how sure, of which kind. Seeds themselves are left out."""
     keyed = edges.select(F.col("repo").alias("key"), "src", "dst")
     got = traverse.reach(keyed, seeds.select(F.col("repo").alias("key"), F.col("id").alias("node")), depth, reverse=True).where("depth > 0")

@@ -34,3 +34,16 @@ def test_reach_each_both_ways(spark, rows):
     cols = ("key", "repo", "id", "depth")
     want = [("k1", "r", v, i) for i, v in enumerate("abcdef")] + [("k2", "r", "e", 0), ("k2", "r", "f", 1), ("k3", "q", "y", 0), ("k3", "q", "z", 1)]
     assert rows(graphs.reach_each(edges, seeds), *cols) == sorted(want) == rows(graphs.reach_each(edges, seeds, most=0), *cols)
+
+
+def test_impact_is_whole(spark, chain, rows):
+    # both hubs are the least of the nodes that one other depends on
+    far = {(r.repo, r.id): r.depth for r in graphs.impact_bfs(spark, chain).collect()}
+    assert far == {("back", f"n{i:02d}"): i for i in range(1, LONG)} | {("on", "n00"): 1}
+    assert rows(graphs.impact_summary(spark, chain), "repo", "direct", "indirect", "depth") == [("back", 1, LONG - 2, LONG - 1), ("on", 1, 0, 1)]
+
+
+def test_incremental_drift_is_whole(spark, chain, monkeypatch):
+    monkeypatch.setattr(graphs, "GOD", 0)
+    got = {r.id for r in graphs.drift_incremental(spark, chain).where("repo = 'on'").collect()}
+    assert got == {f"n{i:02d}" for i in range(LONG)}
