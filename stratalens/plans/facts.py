@@ -217,6 +217,10 @@ def fact_temporal_diff(spark: SparkSession, d: str) -> DataFrame:
 
 # facts
 
+#: Depths to which flows, flows between systems and impacts are followed: the defaults of the inventory's commands.
+FLOW_DEPTH, FAR_DEPTH, IMPACT_DEPTH = 24, 32, 12
+
+
 def _rel(names: list[str]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
@@ -232,27 +236,28 @@ def _flow_sql(seeds: str, relations: list[str] | None, depth: int, extra: str =
 @query(_flow_sql("kind IN ('api', 'topic', 'queue')", c.DATA_FLOW, 4) + " SELECT * FROM flow")
 def data_flow(spark: SparkSession, d: str) -> DataFrame:
     ent, fac = facts(spark, d)
-    return c.flow(fac, ent.where(F.col("kind").isin("api", "topic", "queue")), c.DATA_FLOW, 4)
+    return c.flow(fac, ent.where(F.col("kind").isin("api", "topic", "queue")), c.DATA_FLOW, FLOW_DEPTH)
 
 
 @query(_flow_sql("kind = 'service'", c.DISTRIBUTED, 4) + " SELECT * FROM flow")
 def distributed_flow(spark: SparkSession, d: str) -> DataFrame:
     ent, fac = facts(spark, d)
-    return c.flow(fac, ent.where("kind = 'service'"), c.DISTRIBUTED, 4)
+    return c.flow(fac, ent.where("kind = 'service'"), c.DISTRIBUTED, FAR_DEPTH)
 
 
 @query(_flow_sql("kind = 'job'", None, 3, "(cond IS NULL OR cond = 'flag:search=on')") + " SELECT * FROM flow")
 def reachable_under(spark: SparkSession, d: str) -> DataFrame:
     """What jobs reach when, of all conditions, only the search flag holds."""
     ent, fac = facts(spark, d)
-    return c.flow(fac.where("cond IS NULL OR cond = 'flag:search=on'"), ent.where("kind = 'job'"), None, 3)
+    return c.flow(fac.where("cond IS NULL OR cond = 'flag:search=on'"), ent.where("kind = 'job'"), None, FLOW_DEPTH)
 
 
 @query(_flow_sql("kind IN ('api', 'topic', 'queue')", c.DATA_FLOW, 4) + " SELECT f.seed, f.id, f.depth, a.repo AS from_repo, b.repo AS to_repo FROM flow f JOIN entities a ON a.id = f.seed JOIN entities b ON b.id = f.id WHERE a.repo <> b.repo")
 def cross_repo(spark: SparkSession, d: str) -> DataFrame:
-    ent, _ = facts(spark, d)
+    ent, fac = facts(spark, d)
     k = ent.select("id", "repo")
-    return data_flow(spark, d).join(k.select(F.col("id").alias("seed"), F.col("repo").alias("from_repo")), "seed").join(k.select("id", F.col("repo").alias("to_repo")), "id").where("from_repo <> to_repo").select("seed", "id", "depth", "from_repo", "to_repo")
+    got = c.flow(fac, ent.where(F.col("kind").isin("api", "topic", "queue")), c.DATA_FLOW, FAR_DEPTH)
+    return got.join(k.select(F.col("id").alias("seed"), F.col("repo").alias("from_repo")), "seed").join(k.select("id", F.col("repo").alias("to_repo")), "id").where("from_repo <> to_repo").select("seed", "id", "depth", "from_repo", "to_repo")
 
 
 _SINKS = "('table', 'column', 'secret')"
@@ -263,7 +268,7 @@ w(source, id, crossed, depth) AS (SELECT id, id, false, 0 FROM entities WHERE ki
 SELECT source, id AS sink, min(depth) AS depth, bool_or(crossed) AS boundary FROM w WHERE depth > 0 AND id IN (SELECT id FROM entities WHERE kind IN {_SINKS}) GROUP BY 1, 2""")
 def taint(spark: SparkSession, d: str) -> DataFrame:
     ent, fac = facts(spark, d)
-    return c.taint(fac, ent.where(F.col("kind").isin("api", "topic")), ent.where(F.col("kind").isin("table", "column", "secret")), 5)
+    return c.taint(fac, ent.where(F.col("kind").isin("api", "topic")), ent.where(F.col("kind").isin("table", "column", "secret")), FLOW_DEPTH)
 
 
 @query("WITH v AS (SELECT DISTINCT event_type AS variable, CASE WHEN user_id % 2 = 0 THEN '==' ELSE '!=' END AS op, CAST(user_id % 3 AS VARCHAR) AS value FROM events), g AS (SELECT variable, count(DISTINCT value) FILTER (op = '==') AS n, min(value) FILTER (op = '==') AS one, list(value) FILTER (op = '!=') AS never FROM v GROUP BY 1) SELECT variable, CASE WHEN n > 1 THEN 'several values' WHEN n = 1 AND list_contains(never, one) THEN 'value excluded' END AS conflict FROM g WHERE n > 1 OR (n = 1 AND list_contains(never, one))")
@@ -304,9 +309,9 @@ def _reach_sql(seeds: str, near: str, far: str, links: str, depth: int) -> str:
 
 @query(_reach_sql("kind IN ('table', 'column')", "dst", "src", "SELECT DISTINCT src, dst FROM facts", 3) + " SELECT n.key AS seed, n.id, e.kind, n.depth FROM near n JOIN entities e USING (id) WHERE n.depth > 0 AND e.kind IN ('symbol', 'api', 'test', 'job', 'service')")
 def schema_impact(spark: SparkSession, d: str) -> DataFrame:
-    """What depends on tables and columns, to three steps."""
+    """What depends on tables and columns."""
     ent, fac = facts(spark, d)
-    got = c.shared_reach(fac, ent.where(F.col("kind").isin("table", "column")), 3, reverse=True).where("depth > 0")
+    got = c.shared_reach(fac, ent.where(F.col("kind").isin("table", "column")), IMPACT_DEPTH, reverse=True).where("depth > 0")
     return got.select(F.col("key").alias("seed"), F.col("node").alias("id"), "depth").join(ent.where(F.col("kind").isin("symbol", "api", "test", "job", "service")).select("id", "kind"), "id").select("seed", "id", "kind", "depth")
 
 
@@ -315,7 +320,7 @@ def tests_for_change(spark: SparkSession, d: str) -> DataFrame:
     """Tests that a change of each config calls for: those that depend on it, and its direct neighbours."""
     ent, fac = facts(spark, d)
     seeds, tests = ent.where("kind = 'config'"), ent.where("kind = 'test'").select("id")
-    far = c.shared_reach(fac, seeds, 3, reverse=True).where("depth > 0").select(F.col("key").alias("seed"), F.col("node").alias("id"))
+    far = c.shared_reach(fac, seeds, IMPACT_DEPTH, reverse=True).where("depth > 0").select(F.col("key").alias("seed"), F.col("node").alias("id"))
     both = fac.select(F.col("src").alias("seed"), F.col("dst").alias("id")).unionByName(fac.select(F.col("dst").alias("seed"), F.col("src").alias("id"))).join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
     return far.unionByName(both).join(tests, "id", "left_semi").select("seed", F.col("id").alias("test")).distinct()
 
@@ -326,7 +331,7 @@ def simulate_change(spark: SparkSession, d: str) -> DataFrame:
     ent, fac = facts(spark, d)
     seeds = ent.where("kind = 'feature_flag'")
     n = lambda *k: F.count(F.when(F.col("kind").isin(*k), 1))
-    got = c.shared_reach(fac, seeds, 3, reverse=True).select(F.col("key").alias("seed"), F.col("node").alias("id")).join(ent.select("id", "kind"), "id")
+    got = c.shared_reach(fac, seeds, IMPACT_DEPTH, reverse=True).select(F.col("key").alias("seed"), F.col("node").alias("id")).join(ent.select("id", "kind"), "id")
     by = got.groupBy("seed").agg(n("symbol", "file").alias("code"), n("test").alias("tests"), n("api").alias("contracts"), n("service", "job").alias("deployments"))
     lost = fac.groupBy(F.col("dst").alias("seed")).agg(F.count(F.lit(1)).alias("lost"))
     return by.join(lost, "seed", "left").fillna(0, ["lost"]).withColumn("evidence", F.lit("predicted"))
@@ -337,7 +342,7 @@ def failure_propagation(spark: SparkSession, d: str) -> DataFrame:
     """What fails when a service fails: its callers against the direction of use, consumers along it."""
     ent, fac = facts(spark, d)
     links = c.linked(fac, c.FAILS_BACK).select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(c.linked(fac, c.FAILS_ON).select("src", "dst"))
-    return c.shared_reach(links, ent.where("kind = 'service'"), 4).select(F.col("key").alias("seed"), F.col("node").alias("id"), "depth")
+    return c.shared_reach(links, ent.where("kind = 'service'"), IMPACT_DEPTH).select(F.col("key").alias("seed"), F.col("node").alias("id"), "depth")
 
 
 @query(FACTS_SQL + " SELECT id, ['validation', 'runtime', 'static'][min(r) + 1] AS evidence, min(conf) AS confidence, count(*) AS facts FROM (SELECT src AS id, conf, CASE ev WHEN 'validation' THEN 0 WHEN 'runtime' THEN 1 ELSE 2 END AS r FROM facts UNION ALL SELECT dst, conf, CASE ev WHEN 'validation' THEN 0 WHEN 'runtime' THEN 1 ELSE 2 END FROM facts WHERE src <> dst) GROUP BY 1")
