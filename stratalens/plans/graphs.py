@@ -208,10 +208,10 @@ def reach_shared(links: DataFrame, seeds: DataFrame, depth: int | None = None) -
 walk(repo, id, depth) AS (SELECT repo, id, 0 FROM hubs UNION SELECT w.repo, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.dst = w.id WHERE w.depth < 4)
 SELECT repo, id, min(depth) AS depth, (id IN (SELECT node_id FROM observed_spans)) AS observed FROM walk GROUP BY repo, id""")
 def failure_cone(spark: SparkSession, d: str) -> DataFrame:
-    """Everything that may fail with the hub, to depth 4, and whether it was ever observed running."""
+    """Everything that may fail with the hub, to the greatest depth of cones, and whether it was ever observed running."""
     nodes, edges = graph(spark, d)
     keyed = edges.select(F.col("repo").alias("key"), "src", "dst")
-    got = traverse.reach(keyed, hubs(nodes, edges).select(F.col("repo").alias("key"), F.col("id").alias("node")), 4, reverse=True)
+    got = traverse.reach(keyed, hubs(nodes, edges).select(F.col("repo").alias("key"), F.col("id").alias("node")), traverse.MOST_DEPTH, reverse=True)
     seen = table(spark, d, "observed_spans").select(F.col("node_id").alias("id")).where("id IS NOT NULL").distinct().withColumn("observed", F.lit(True))
     return got.select(F.col("key").alias("repo"), F.col("node").alias("id"), "depth").join(seen, "id", "left").fillna(False, ["observed"])
 
@@ -222,8 +222,6 @@ EDGE_CONFIDENCE = {"calls": 0.98, "import": 0.96, "extends": 0.99, "implements":
 
 def causal_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """From each source the shortest path to everything within depth: length, confidence (product over its edges) and the path."""
-    from stratalens.common import stage
-
     own = nodes.select("repo", "id", "path")
     base = F.lit(0.94)
     for kind, value in EDGE_CONFIDENCE.items():
@@ -234,12 +232,12 @@ def causal_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth:
     tree = stage(traverse.paths(linked, sources.select(F.col("repo").alias("key"), F.col("id").alias("node")), depth), "tree")
     rows = tree.where("depth = 0").select("key", "node", "depth", F.lit(1.0).alias("confidence"), F.col("node").alias("path"))
     out = rows
-    for n in range(1, depth + 1):
+    for n in range(1, (tree.agg(F.max("depth")).first()[0] or 0) + 1):
         # the tree's edge by its id and target; parallel edges have ids of their own
         level = tree.where(F.col("depth") == n).join(linked.select("key", F.col("dst").alias("node"), F.col("seq").alias("via"), "src", "c"), ["key", "node", "via"])
-        rows = level.join(rows.select("key", F.col("node").alias("src"), F.col("confidence").alias("c0"), F.col("path").alias("above")), ["key", "src"]).select(
+        rows = stage(level.join(rows.select("key", F.col("node").alias("src"), F.col("confidence").alias("c0"), F.col("path").alias("above")), ["key", "src"]).select(
             "key", "node", "depth", (F.col("c0") * F.col("c")).alias("confidence"), F.concat_ws(" > ", "above", "node").alias("path")
-        )
+        ), "level")
         out = out.unionByName(rows)
     return out.select(F.col("key").alias("repo"), F.col("node").alias("id"), "depth", F.round("confidence", 6).alias("confidence"), "path")
 
@@ -255,7 +253,7 @@ pth(repo, id, depth, confidence, path) AS (SELECT repo, id, 0, CAST(1.0 AS DOUBL
 SELECT repo, id, depth, round(confidence, 6) AS confidence, path FROM pth""")
 def causal_path(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = graph(spark, d)
-    return causal_paths(nodes, edges, hubs(nodes, edges, "fan_out"), 6)
+    return causal_paths(nodes, edges, hubs(nodes, edges, "fan_out"), traverse.MOST_DEPTH)
 
 
 def _scc_sql(where: str) -> str:

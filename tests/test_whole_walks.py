@@ -47,3 +47,16 @@ def test_incremental_drift_is_whole(spark, chain, monkeypatch):
     monkeypatch.setattr(graphs, "GOD", 0)
     got = {r.id for r in graphs.drift_incremental(spark, chain).where("repo = 'on'").collect()}
     assert got == {f"n{i:02d}" for i in range(LONG)}
+
+
+def test_cones_and_paths_go_to_32(spark, chain):
+    cone = {r.id: r.depth for r in graphs.failure_cone(spark, chain).where("repo = 'back'").collect()}
+    assert cone == {f"n{i:02d}": i for i in range(33)}
+
+
+def test_paths_go_beyond_six(spark, rows, monkeypatch):
+    ids = [f"n{i}" for i in range(10)]
+    nodes = spark.createDataFrame([("r", i, f"{i}.ts") for i in ids], "repo string, id string, path string")
+    edges = spark.createDataFrame([("r", a, b, "calls", f"e{a}") for a, b in zip(ids, ids[1:])], "repo string, src string, dst string, kind string, eid string")
+    monkeypatch.setattr(graphs, "graph", lambda spark, d: (nodes, edges))
+    assert rows(graphs.causal_path(spark, ""), "id", "depth", "path") == [(v, i, " > ".join(ids[: i + 1])) for i, v in enumerate(ids)]
