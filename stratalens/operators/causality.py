@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.common import stage
+from stratalens.operators import traverse
 
 #: Relations that each traversal follows.
 DATA_FLOW = ["assigns", "derives", "reads", "writes", "returns", "calls", "emits", "consumes", "routes_to"]
@@ -14,6 +15,7 @@ TAINT = DATA_FLOW + ["publishes", "subscribes", "sanitizes", "validates", "trust
 SANITISERS = ["sanitizes", "validates"]
 DISTRIBUTED = ["emits", "consumes", "publishes", "subscribes", "schedules", "routes_to", "retries", "calls", "writes"]
 FAILS_BACK = ["calls", "depends_on", "imports", "reads", "connects_to", "routes_to", "subscribes", "waits_for", "deploys"]
+WAITS = ["waits_for", "acquires"]
 FAILS_ON = ["consumes", "retries", "times_out", "circuit_breaks"]
 OWNS = ["owns", "authored_by", "reviews"]
 
@@ -100,11 +102,13 @@ def constraint_conflicts(constraints: DataFrame) -> DataFrame:
 
 
 def concurrency_hazards(facts: DataFrame, entities: DataFrame, kinds: list[str], locks: list[str]) -> DataFrame:
-    """Resources that several writers write, none of them under a lock."""
+    """(resource, writers, kind): resources that several writers write, none of them under a lock; cycles of waiting, which have no writers."""
     writes = linked(facts, ["writes"]).join(entities.where(F.col("kind").isin(kinds)).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
     locked = linked(facts, locks).select("src").distinct().withColumn("locked", F.lit(1))
     got = writes.join(locked, "src", "left").groupBy(F.col("dst").alias("resource")).agg(F.count(F.lit(1)).alias("writers"), F.sum(F.coalesce("locked", F.lit(0))).alias("guarded"))
-    return got.where("writers > 1 AND guarded = 0").select("resource", "writers")
+    shared = got.where("writers > 1 AND guarded = 0").select("resource", "writers", F.lit("unprotected_multi_writer").alias("kind"))
+    waits = linked(facts, WAITS).select(F.lit("").alias("key"), "src", "dst")
+    return shared.unionByName(traverse.simple_cycles(waits).select(F.col("cycle").alias("resource"), F.lit(0).cast("long").alias("writers"), F.lit("potential_deadlock").alias("kind")))
 
 
 def policy_violations(facts: DataFrame, entities: DataFrame, rules: DataFrame) -> DataFrame:

@@ -280,8 +280,9 @@ def constraint_conflicts(spark: SparkSession, d: str) -> DataFrame:
 @query(FACTS_SQL + """, wr AS (SELECT DISTINCT src, dst FROM facts WHERE rel = 'writes' AND dst IN (SELECT id FROM entities WHERE kind IN ('table', 'queue', 'topic', 'symbol', 'file'))), lk AS (SELECT DISTINCT src FROM facts WHERE rel = 'guards')
 SELECT dst AS resource, count(*) AS writers FROM wr GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER (src IN (SELECT src FROM lk)) = 0""")
 def concurrency_hazards(spark: SparkSession, d: str) -> DataFrame:
+    """Unguarded resources with their writers, and cycles of waiting with none."""
     ent, fac = facts(spark, d)
-    return c.concurrency_hazards(fac, ent, ["table", "queue", "topic", "symbol", "file"], ["guards"])
+    return c.concurrency_hazards(fac, ent, ["table", "queue", "topic", "symbol", "file"], ["guards"]).select("resource", "writers")
 
 
 @query(FACTS_SQL + " SELECT f.fact_id, CASE WHEN f.rel = 'calls' THEN 'no-call-to-file' ELSE 'no-owned-secret' END AS rule, f.src, f.dst FROM facts f JOIN entities a ON a.id = f.src JOIN entities b ON b.id = f.dst WHERE (f.rel = 'calls' AND a.kind = 'symbol' AND b.kind = 'file') OR (f.rel = 'owns' AND b.kind = 'secret')")
