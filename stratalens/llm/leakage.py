@@ -34,7 +34,7 @@ BLOCK_CHARS = 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _LAYOUT = re.compile(
-    r"</?[A-Za-z!][^<>]{0,300}>|&(?:[A-Za-z]{2,8}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+    r"</?[A-Za-z!][^<>]*+>|&(?:[A-Za-z]{2,8}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});"
     r"|(?<=[^\W\d_])[-‐­][ \t]*\r?\n[\s>*#|/;\-]*(?=[^\W\d_])|[­​-‍⁠﻿]"
 )
 
