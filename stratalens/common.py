@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,8 +13,10 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides of a join are broadcast by hint only below this many bytes of plan estimate.
+#: Sides of a join are broadcast by hint only if they are below this many bytes in memory.
 BROADCAST_BYTES = 8 << 20
+#: Bytes in memory for a byte of estimate, at most: estimates of scans are sizes of compressed files.
+EXPANSION = 4
 
 
 _SHIPPED: set[str] = set()
@@ -43,29 +48,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir of the session, else one of our own, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_stratalens_dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='stratalens-')}"
-        spark._stratalens_dir = base
-    return base
+    """Folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a folder of this machine serves sessions that run on this machine alone; elsewhere that is an
+    error, as executors would write to disks of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="stratalens-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return f"file://{_OWN[app]}"
+
+
+def staging_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stratalens/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/stratalens/{label}-{uuid.uuid4().hex[:12]}"
+    """A path of this application's own in the shared folder; `release` and the end of the application remove it."""
+    root = staging_root(spark)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove_at_exit, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def make_dir(spark: SparkSession, path: str) -> None:
+_ROOTS: set[str] = set()
+
+
+def _remove_at_exit(spark: SparkSession, root: str) -> None:
+    local = root.removeprefix("file://")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        remove(spark, root)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything that this application has staged. Frames not yet consumed can't be read afterwards."""
+    remove(spark, staging_root(spark))
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system), as the JVM has them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    where, fs = hadoop_path(spark, path)
+    fs.mkdirs(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = hadoop_path(spark, path)
+    fs.delete(where, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives the loss of executors.
 
     Used where a result is read more than once and recomputing it would cost a shuffle, or where row
-    positions must not move between two readers.
+    positions must not move between two readers. What is staged stays until `release` or the end of the application.
     """
     ship(df.sparkSession)
     path = new_path(df.sparkSession, label)
@@ -79,8 +133,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The frame with a broadcast hint if its estimated size is proven small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    """The frame with a broadcast hint if its size in memory is sure to be small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if plan_bytes(df) * EXPANSION <= limit else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

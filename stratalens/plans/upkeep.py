@@ -13,20 +13,20 @@ from stratalens.operators import delivery, references, snapshots
 from stratalens.operators.hierarchy import hierarchy, normal_spans
 
 #: Runs in which a table of past deliveries enters the store.
-WAVES = 3
+RUNS = 2
 SPAN_PAYLOAD = ["end_unix_nano", "received_at", "batch_id", "parent_span_id", "node_id", "name", "start_unix_nano", "duration_ms", "is_error"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     store = delivery.RunStore(spark, ["trace_id", "span_id"], ["end_unix_nano"], fold_case=True)
-    delivery.load_in_waves(store, table(spark, d, "observed_spans"), "batch_id", WAVES, ["end_unix_nano"])
+    store.load(table(spark, d, "observed_spans"), "batch_id", RUNS, ["end_unix_nano"])
     return store.compact().where("copies > 1").select("trace_id", "span_id", "end_unix_nano")
 
 
 def p1_messages(spark: SparkSession, d: str) -> DataFrame:
     """Every message once, whole row."""
     store = delivery.RunStore(spark, ["trace_id", "span_id"], ["end_unix_nano", "received_at", "batch_id"], fold_case=True)
-    delivery.load_in_waves(store, table(spark, d, "observed_spans"), "batch_id", WAVES, SPAN_PAYLOAD)
+    store.load(table(spark, d, "observed_spans"), "batch_id", RUNS, SPAN_PAYLOAD)
     return store.compact()
 
 
