@@ -2,7 +2,8 @@
 
 Each record's key is windowed by the index of its snapshot within the repository. The lag of the content hash
 reveals changes; gaps in the index reveal removals and later additions. So any number of snapshots takes one
-shuffle by key, not one join for each pair of snapshots.
+shuffle by key, not one join for each pair of snapshots. Copies of a record meet on the map side; what then comes
+together for a key is its snapshots, of each the distinct contents.
 
 Defined results
 * a snapshot listed in several rows counts once, with its least taken_at; snapshots of a repository are ordered
@@ -57,15 +58,19 @@ def snapshot_order(snapshots: DataFrame) -> DataFrame:
 
 
 def snapshot_changes(records: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
-    """(snapshot_id, record_id, change_type) of each record against the repository's previous snapshot."""
+    """(snapshot_id, record_id, change_type) of each record against the repository's previous snapshot.
+
+    Snapshots become numbers before the shuffle. Each map task then holds a record's id once, with the set of its
+    (number, hash) pairs, and the only exchange is the one by key, which the window works on too.
+    """
     order = snapshot_order(snapshots)
     seen = (
         records.where(F.col(key).isNotNull())
         .select("snapshot_id", F.col(key).alias("record_id"), content_hash(records, [key, "snapshot_id"]).alias("h"))
-        # copies of a record meet already on the map side
-        .groupBy("snapshot_id", "record_id")
-        .agg(F.min("h").alias("h0"), F.max("h").alias("h1"))
-        .join(small(order), "snapshot_id")
+        .join(small(order.select("snapshot_id", "repository", "idx", "last")), "snapshot_id")
+        .groupBy("repository", "record_id").agg(F.collect_set(F.struct("idx", "h")).alias("states"), F.max("last").alias("last"))
+        .select("repository", "record_id", "last", F.explode("states").alias("s"))
+        .groupBy("repository", "record_id", F.col("s.idx").alias("idx")).agg(F.min("s.h").alias("h0"), F.max("s.h").alias("h1"), F.max("last").alias("last"))
     )
     w = W.partitionBy("repository", "record_id").orderBy("idx")
     prev, nxt = F.lag("idx").over(w), F.lead("idx").over(w)
