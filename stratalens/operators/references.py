@@ -1,21 +1,19 @@
 """References to records that do not exist.
 
-Parent keys become sorted integers, contiguous integers are compressed into runs, each reference is matched as-of
-to the start of the preceding run, and it is an orphan if there is none or it lies beyond that run's end.
-
-* Text keys have no integers of their own. `orphan_keys` hashes all distinct keys of both sides to 128 bits, splits
-  them by hash into blocks of even size and numbers each block in sorted order. Hashing spreads any hot scope, and
-  keys are made distinct (map-side first) before they are numbered, so a key that a third of all rows refer to is
-  one row here.
-* Lifetimes are runs of integers already, the microseconds from recorded_at to just before deleted_at.
-  `orphans_by_lifetime` merges each parent's overlapping runs, packs them in sorted arrays and matches each
-  reference as-of into its parent's array. Runs of a parent beyond `pack` go to further rows, each holding the
-  range of times it answers for, so a reference still meets just one row.
+A parent exists at whole numbers: the positions of the snapshots that hold it in their repository's sequence, or the
+microseconds of its lifetime. These sorted numbers are compressed into contiguous runs, from the parents alone, so a
+node that lives through forty snapshots is one run. A reference brings a number of its own, whether or not its parent
+exists, is matched as-of to the start of the preceding run, and is an orphan if there is none or its number lies
+beyond that run's end.
+
+Runs of a parent are packed in sorted arrays; runs beyond `pack` go to further rows, each holding the range of numbers
+it answers for, so a reference still meets just one row. A parent to which a third of all rows refer makes many rows
+of the references' side, which the adaptive planner splits; copies of a parent meet on the map side.
 
 Defined results: null or blank references refer to nothing and are no orphans; repeated rows count once; a parent
 without recorded_at never begins; deleted_at at or before recorded_at gives an empty run; a reference without a
-time is an orphan (nothing is known to exist then). Empty tables give empty results, or all references if it is
-the parents that are missing.
+time is an orphan (nothing is known to exist then), as is one without a snapshot. A snapshot that isn't listed is a
+repository of its own. Empty tables give empty results, or all references if it is the parents that are missing.
 """
 
 from __future__ import annotations
@@ -24,77 +22,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.common import key128
+from stratalens.common import key128, small
+from stratalens.operators.snapshots import snapshot_order
 
-#: Lifetimes held in one array row.
+#: Runs held in one array row.
 PACK = 64
 FOREVER = (1 << 63) - 1
 
 
-def orphan_keys(parents: DataFrame, refs: DataFrame, blocks: int) -> DataFrame:
-    """Keys (h1, h2) of `refs` that are not among `parents`; both have columns h1, h2."""
-    keys = parents.select("h1", "h2", F.lit(True).alias("p")).unionAll(refs.select("h1", "h2", F.lit(False).alias("p")))
-    once = keys.groupBy("h1", "h2").agg(F.max("p").alias("is_parent"), (~F.min("p")).alias("is_ref"))
-    w = W.partitionBy("block").orderBy("h1", "h2")
-    # k: the key's integer. Parents next to each other in k form a run.
-    dense = once.withColumn("block", F.pmod(F.shiftright("h1", 17), F.lit(blocks))).withColumn("k", F.row_number().over(w))
-    edge = dense.select(
-        "h1", "h2", "block", "k", "is_ref",
-        F.when(F.col("is_parent") & ~F.coalesce(F.lag("is_parent").over(w), F.lit(False)), F.col("k")).alias("run_start"),
-        F.when(F.col("is_parent") & ~F.coalesce(F.lead("is_parent").over(w), F.lit(False)), F.col("k")).alias("run_end"),
-    )
-    sofar = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    # The preceding run: its start is the last start so far. It ends at the last end so far, unless that end came
-    # before the start, in which case the run is still open here and the key lies inside it.
-    asof = edge.select(
-        "h1", "h2", "k", "is_ref", F.last("run_start", ignorenulls=True).over(sofar).alias("start"), F.last("run_end", ignorenulls=True).over(sofar).alias("end")
-    )
-    inside = F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") < F.col("start")) | (F.col("k") <= F.col("end")))
-    return asof.where(F.col("is_ref") & ~inside).select("h1", "h2")
+def positions(snapshots: DataFrame) -> DataFrame:
+    """(snapshot_id, seq, at): of each listed snapshot its repository's sequence and its place in it."""
+    return snapshot_order(snapshots).select("snapshot_id", F.coalesce("repository", F.lit("")).alias("seq"), F.col("idx").alias("at"))
+
 
+def placed(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows with seq and at; a snapshot that isn't listed has a sequence of its own."""
+    got = rows.join(small(places), "snapshot_id", "left")
+    return got.withColumns({"seq": F.when(F.col("at").isNull(), F.concat(F.lit("?"), "snapshot_id")).otherwise(F.concat(F.lit("="), "seq")), "at": F.coalesce("at", F.lit(0)).cast("long")})
 
-def dangling_edges(edges: DataFrame, nodes: DataFrame, blocks: int, once: bool = True) -> DataFrame:
+
+def dangling_edges(edges: DataFrame, nodes: DataFrame, snapshots: DataFrame, once: bool = True) -> DataFrame:
     """(snapshot_id, edge_id, ref_field): edge ends without a node of that id in the same snapshot; with `once`, each once."""
-    h = lambda c: [x.alias(n) for x, n in zip(key128("snapshot_id", c), ("h1", "h2"))]
-    parents = nodes.where("node_id IS NOT NULL").select(*h("node_id"))
-    ends = edges.select(
-        "snapshot_id", "edge_id",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("ref")) for f in ("from_id", "to_id")])).alias("e"),
-    ).select("snapshot_id", "edge_id", "e.ref_field", "e.ref")
-    ends = ends.where("ref IS NOT NULL AND trim(ref) <> ''").select("snapshot_id", "edge_id", "ref_field", *h("ref"))
-    missing = orphan_keys(parents, ends, blocks)
-    found = ends.join(missing, ["h1", "h2"], "left_semi").select("snapshot_id", "edge_id", "ref_field")
+    places = positions(snapshots)
+    h = lambda c: [x.alias(n) for x, n in zip(key128("seq", c), ("h1", "h2"))]
+    parents = placed(nodes.where("node_id IS NOT NULL AND snapshot_id IS NOT NULL").select("snapshot_id", "node_id"), places).select(*h("node_id"), F.col("at").alias("s"), F.col("at").alias("e"))
+    ends = placed(edges.select("snapshot_id", "edge_id", "from_id", "to_id"), places).select(
+        "snapshot_id", "edge_id", "seq", "at",
+        F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("ref")) for f in ("from_id", "to_id")])).alias("x"),
+    ).where("x.ref IS NOT NULL AND trim(x.ref) <> ''")
+    refs = ends.select("snapshot_id", "edge_id", "x.ref_field", *h("x.ref"), "at")
+    found = orphans(refs, runs_of(parents, ["h1", "h2"]), ["h1", "h2"]).select("snapshot_id", "edge_id", "ref_field")
     return found.distinct() if once else found
 
 
-def merged_runs(parents: DataFrame, key: str, start: str, end: str, pack: int = PACK) -> DataFrame:
-    """Per key, disjoint runs of microseconds, `pack` to a row: (key, lo, hi, runs); a row answers for times in [lo, hi)."""
-    span = parents.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(
-        F.col(key).alias("key"), F.col(start).alias("s"), F.coalesce(F.col(end) - 1, F.lit(FOREVER)).alias("e")
-    ).where("e >= s").groupBy("key", "s").agg(F.max("e").alias("e"))
-    w = W.partitionBy("key").orderBy("s")
-    # a run begins where no earlier lifetime reaches up to just before it
+def lifetimes(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, s, e): first and last microsecond of each lifetime that isn't empty."""
+    return parents.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("key"), F.col(start).alias("s"), F.coalesce(F.col(end) - 1, F.lit(FOREVER)).alias("e")).where("e >= s")
+
+
+def runs_of(parents: DataFrame, keys: list[str], pack: int = PACK) -> DataFrame:
+    """From (keys..., s, e), the numbers s to e at which a parent exists: its disjoint runs, `pack` to a row (keys..., lo, hi, runs); a row answers for numbers in [lo, hi)."""
+    span = parents.groupBy(*keys, "s").agg(F.max("e").alias("e"))
+    w = W.partitionBy(*keys).orderBy("s")
+    # a run begins where nothing before it reaches up to its neighbour
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("s") - 1 > reach), 1).otherwise(0)
     runs = (
         span.withColumn("fresh", fresh)
         .withColumn("run", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+        .groupBy(*keys, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
         .withColumn("chunk", F.floor((F.col("run") - 1) / pack))
     )
-    rows = runs.groupBy("key", "chunk").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
-    by = W.partitionBy("key").orderBy("chunk")
+    rows = runs.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
+    by = W.partitionBy(*keys).orderBy("chunk")
     first = F.col("runs")[0]["s"]
-    return rows.select("key", first.alias("lo"), F.coalesce(F.lead(first).over(by), F.lit(FOREVER)).alias("hi"), "runs")
-
+    return rows.select(*keys, first.alias("lo"), F.coalesce(F.lead(first).over(by), F.lit(FOREVER)).alias("hi"), "runs")
 
-def orphans_by_lifetime(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows of `refs` (key, at, ...) whose key has no run that covers microsecond `at`.
 
-    A hot key's references are many rows of the left side, which the adaptive planner splits; the right side has
-    one matching row for each.
-    """
-    packed = runs.select(F.col("key").alias("k"), "lo", "hi", "runs")
-    met = refs.join(packed, (F.col("key") == F.col("k")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
+def orphans(refs: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `refs` (keys..., at, ...) whose key has no run that holds the number `at`."""
+    packed = runs.select(*[F.col(k).alias(f"__{k}") for k in keys], "lo", "hi", "runs")
+    on = (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    met = refs.join(packed, on, "left")
     preceding = F.element_at(F.filter("runs", lambda r: r["s"] <= F.col("at")), -1)
-    return met.withColumn("run", F.when(F.col("k").isNotNull(), preceding)).where(F.col("run").isNull() | (F.col("at") > F.col("run")["e"])).drop("k", "lo", "hi", "runs", "run")
+    return met.withColumn("run", F.when(F.col("lo").isNotNull(), preceding)).where(F.col("run").isNull() | (F.col("at") > F.col("run")["e"])).select(*refs.columns)

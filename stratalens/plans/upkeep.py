@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.common import shuffle_width, small, table
+from stratalens.common import small, table
 from stratalens.operators import delivery, references, snapshots
 from stratalens.operators.hierarchy import hierarchy, normal_spans
 
@@ -86,7 +86,7 @@ P2_REPORT_SQL = _P2 + "SELECT snapshot_id, record_type, change_type, count(*) AS
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    edges = references.dangling_edges(table(spark, d, "snapshot_edges"), table(spark, d, "snapshot_nodes"), 8 * shuffle_width(spark), once=False)
+    edges = references.dangling_edges(table(spark, d, "snapshot_edges"), table(spark, d, "snapshot_nodes"), table(spark, d, "snapshots"), once=False)
     days = table(spark, d, "snapshots").groupBy("snapshot_id").agg(day(F.min("taken_at")).alias("period_day"))
     edges = edges.join(small(days), "snapshot_id", "left").select(
         F.lit("snapshot_edges").alias("ref_table"), "period_day", F.col("edge_id").alias("record_id"), "ref_field"
@@ -96,7 +96,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "causal_facts").where("to_id IS NOT NULL AND NOT to_id RLIKE '^\\\\s*$'").select(
         F.col("to_id").alias("key"), micros("ingested_at").alias("at"), "fact_id", "ingested_at"
     )
-    lost = references.orphans_by_lifetime(facts, references.merged_runs(lives, "entity_id", "born", "gone"))
+    lost = references.orphans(facts, references.runs_of(references.lifetimes(lives, "entity_id", "born", "gone"), ["key"]), ["key"])
     lost = lost.select(
         F.lit("causal_facts").alias("ref_table"), day("ingested_at").alias("period_day"), F.col("fact_id").cast("string").alias("record_id"), F.lit("to_id").alias("ref_field")
     ).distinct()
@@ -147,6 +147,19 @@ P5_FOUND_SQL = _P5 + """
 SELECT t AS trace_id, v AS span_id, root AS root_span_id, depth FROM w WHERE depth >= 8
 UNION ALL SELECT t, v, '', CAST(-1 AS BIGINT) FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.t = n.t AND w.v = n.v)
 """
+P5_HIERARCHY_SQL = _P5.rstrip() + """,
+z AS (SELECT w.*, n.p FROM w JOIN n USING (t, v)),
+up AS (SELECT t, v, v AS anc FROM w UNION ALL SELECT up.t, up.v, z.p FROM up JOIN z ON z.t = up.t AND z.v = up.anc WHERE z.depth > 0),
+sz AS (SELECT t, anc AS v, count(*) AS size FROM up GROUP BY 1, 2),
+sib AS (SELECT z.t, z.v, CASE WHEN z.depth > 0 THEN z.p END AS p, z.root, z.depth, sz.size, row_number() OVER k = 1 AND z.depth > 0 AS heavy,
+    coalesce(sum(sz.size) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM z JOIN sz USING (t, v) WINDOW k AS (PARTITION BY z.t, CASE WHEN z.depth > 0 THEN z.p END ORDER BY CASE WHEN z.depth > 0 THEN -sz.size ELSE 0 END, z.v)),
+h AS (SELECT t, v, root, depth, size, v AS chain, CAST(0 AS BIGINT) AS chain_pos, CAST(ahead AS BIGINT) AS pre, v AS path FROM sib WHERE p IS NULL
+  UNION ALL SELECT s.t, s.v, s.root, s.depth, s.size, CASE WHEN s.heavy THEN h.chain ELSE s.v END, CASE WHEN s.heavy THEN h.chain_pos + 1 ELSE 0 END, CAST(h.pre + 1 + s.ahead AS BIGINT), h.path || '/' || s.v
+  FROM h JOIN sib s ON s.t = h.t AND s.p = h.v)
+SELECT t AS trace_id, v AS span_id, root AS root_span_id, depth, size, chain, chain_pos, pre, path FROM h
+UNION ALL SELECT t, v, '', CAST(-1 AS BIGINT), NULL, NULL, NULL, NULL, NULL FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.t = n.t AND w.v = n.v)
+"""
 
 
 QUERIES = {
@@ -155,5 +168,5 @@ QUERIES = {
 }
 SQL = {
     "p1_found": P1_FOUND_SQL, "p1_messages": P1_MESSAGES_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_FOUND_SQL,
-    "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL,
+    "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL, "p5_hierarchy": P5_HIERARCHY_SQL,
 }
