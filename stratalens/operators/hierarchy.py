@@ -7,9 +7,12 @@ descendants of a node exactly the nodes of its scope with pre in [pre, pre + siz
 
 Two executions of the same steps:
 * scopes up to `scope_rows` nodes are grouped into buckets of bounded size and solved there with arrays;
-* larger scopes are solved by joins. Pointer doubling gives depth, root and subtree sizes in log2(depth) rounds
-  (after round i each node knows its ancestor 2^i up and how many descendants lie nearer than 2^i), again gives
-  chain heads and preorder numbers; no scope is held in one task.
+* larger scopes are solved by joins. Pointer doubling separates cycles and gives subtree sizes in log2(depth) rounds
+  (after round i each node knows its ancestor 2^i up and how many descendants lie nearer than 2^i), and again gives
+  each node's chain and place in it; no scope is held in one task.
+
+Either way, a chain's head is as deep as the node it hangs on plus one, chains being taken in rounds from the roots
+down, and a node is as deep as its chain's head plus its place in the chain.
 
 Cycle separation comes first: nodes whose parents never reach a root (on a cycle, or below one) get depth -1, an
 empty root, and no path, chain or interval.
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.common import prefix_sum, stage
+from stratalens.common import prefix_sum, shuffle_width, stage
 
 SCOPE_ROWS = 50_000
 BUCKET_ROWS = 100_000
@@ -55,7 +58,7 @@ def hierarchy(nodes: DataFrame, intervals: bool = True, scope_rows: int = SCOPE_
     if (most or 0) > scope_rows:
         light = nodes.join(wide, "t", "left_anti")
         parts.append(_by_joins(nodes.join(wide, "t", "left_semi"), intervals))
-    buckets = max(1, -(-(total or 0) // BUCKET_ROWS))
+    buckets = max(shuffle_width(nodes.sparkSession), -(-(total or 0) // BUCKET_ROWS))
     parts.insert(
         0,
         light.groupBy(F.pmod(F.xxhash64("t"), F.lit(buckets)).alias("b")).applyInPandas(lambda pdf: solve(pdf, intervals), FULL if intervals else BASIC),
@@ -65,6 +68,26 @@ def hierarchy(nodes: DataFrame, intervals: bool = True, scope_rows: int = SCOPE_
     return out
 
 
+def subtree_sizes(parent: np.ndarray) -> np.ndarray:
+    """Nodes in each node's subtree, from the leaves up; 0 for those on cycles, which have no leaf below them that is the last to go."""
+    n = len(parent)
+    size, open_ = np.ones(n, np.int64), np.zeros(n, np.int64)
+    has = parent >= 0
+    np.add.at(open_, parent[has], 1)
+    done = np.zeros(n, bool)
+    leaves = np.flatnonzero(open_ == 0)
+    while len(leaves):
+        done[leaves] = True
+        kids = leaves[parent[leaves] >= 0]
+        up = parent[kids]
+        np.add.at(size, up, size[kids])
+        np.subtract.at(open_, up, 1)
+        up = np.unique(up)
+        leaves = up[open_[up] == 0]
+    size[~done] = 0
+    return size
+
+
 def solve(pdf: pd.DataFrame, intervals: bool) -> pd.DataFrame:
     """Whole scopes in arrays."""
     pdf = pdf.sort_values(["t", "v"], ignore_index=True)
@@ -72,53 +95,74 @@ def solve(pdf: pd.DataFrame, intervals: bool) -> pd.DataFrame:
     at = pd.MultiIndex.from_arrays([pdf["t"], pdf["v"]])
     parent = at.get_indexer(pd.MultiIndex.from_arrays([pdf["t"], pdf["p"]]))
     parent[pdf["p"].isna().to_numpy()] = -1
-    me = np.arange(n)
-    jump, depth = np.where(parent < 0, me, parent), (parent >= 0).astype(np.int64)
-    for _ in range(max(1, n.bit_length() + 1)):
-        depth, jump = depth + depth[jump], jump[jump]
-    done = parent[jump] < 0
-    root = np.where(done, pdf["v"].to_numpy(object)[jump] if n else [], "")
-    depth = np.where(done, depth, -1)
-    out = {"t": pdf["t"], "v": pdf["v"], "root": root, "depth": depth}
-    if not intervals:
-        return pd.DataFrame(out)
-    size = done.astype(np.int64)
-    by_depth = np.argsort(depth, kind="stable")
-    by_depth = by_depth[depth[by_depth] >= 0]
-    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1) if len(by_depth) else []
-    for level in levels[:0:-1]:
-        np.add.at(size, parent[level], size[level])
-    kids = by_depth[depth[by_depth] > 0]
+    me, ids = np.arange(n), pdf["v"].to_numpy(object)
+    size = subtree_sizes(parent)
+    # Chains: the child with the largest subtree goes on with its parent's; ties by id. Nodes on cycles are in none.
+    kids = np.flatnonzero((parent >= 0) & (size > 0))
     kids = kids[np.lexsort((kids, -size[kids], parent[kids]))]
     first = np.ones(len(kids), bool)
     first[1:] = parent[kids][1:] != parent[kids][:-1]
     heavy = np.zeros(n, bool)
     heavy[kids[first]] = True
+    heavy[kids[size[parent[kids]] == 0]] = False  # below a cycle, every child begins a chain
+    head, pos = np.where(heavy, parent, me), heavy.astype(np.int64)
+    while True:
+        nxt = head[head]
+        if (nxt == head).all():
+            break
+        pos, head = pos + pos[head], nxt
+    # Depth of each chain's head, chains that hang on known ones after those; the rest hang on cycles.
+    heads = np.flatnonzero((head == me) & (size > 0))
+    up = parent[heads]
+    base, top = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    roots = heads[up < 0]
+    base[roots], top[roots] = 0, roots
+    levels = [roots]
+    todo = heads[up >= 0]
+    while len(todo):
+        ready = top[head[parent[todo]]] >= 0
+        if not ready.any():
+            break
+        new = todo[ready]
+        above = parent[new]
+        base[new], top[new] = base[head[above]] + pos[above] + 1, top[head[above]]
+        levels.append(new)
+        todo = todo[~ready]
+    done = (size > 0) & (top[head] >= 0)
+    depth = np.where(done, base[head] + pos, -1)
+    root = np.where(done, ids[np.where(done, top[head], 0)], "") if n else ids
+    out = {"t": pdf["t"], "v": pdf["v"], "root": root, "depth": depth}
+    if not intervals:
+        return pd.DataFrame(out)
     ahead = np.zeros(n, np.int64)  # sizes of the siblings that come before
-    cum = np.cumsum(size[kids]) - size[kids]
     if len(kids):
+        cum = np.cumsum(size[kids]) - size[kids]
         ahead[kids] = cum - np.maximum.accumulate(np.where(first, cum, 0))
-    head, pos, pre = me.copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    ids = pdf["v"].to_numpy(object)
-    path = np.where(done, ids, None) if n else ids
-    # A scope's roots come one after the other.
-    roots = levels[0] if levels else by_depth
+    pre = np.zeros(n, np.int64)  # of heads: where their chain begins
     codes = pdf["t"].to_numpy(object)
-    if len(roots):
+    if len(roots):  # a scope's roots come one after the other
         cum = np.cumsum(size[roots]) - size[roots]
         new = np.ones(len(roots), bool)
         new[1:] = codes[roots][1:] != codes[roots][:-1]
         pre[roots] = cum - np.maximum.accumulate(np.where(new, cum, 0))
-    for level in levels[1:]:
-        up = parent[level]
-        pre[level] = pre[up] + 1 + ahead[level]
-        head[level] = np.where(heavy[level], head[up], level)
-        pos[level] = np.where(heavy[level], pos[up] + 1, 0)
-        path[level] = path[up] + "/" + ids[level]
+    # Chains as segments of one text each; a path is what is above the chain and the segment up to the node.
+    order = np.lexsort((pos, head))
+    order = order[done[order]]
+    path = np.full(n, None, object)
+    starts = np.flatnonzero(pos[order] == 0)
+    members = {int(order[a]): order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])}
+    for level in levels:
+        for h in level:
+            own = members[int(h)]
+            segment, lengths = "/".join(ids[own]), np.cumsum([len(x) + 1 for x in ids[own]])
+            above = path[parent[h]] + "/" if parent[h] >= 0 else ""
+            path[own] = [above + segment[: k - 1] for k in lengths]
+        if level is not roots:
+            pre[level] = pre[head[parent[level]]] + pos[parent[level]] + 1 + ahead[level]
     blank = ~done
     out |= {
         "size": np.where(blank, 0, size), "chain": np.where(blank, None, ids[head]) if n else ids, "chain_pos": pd.array(pos, "Int64"),
-        "pre": pd.array(pre, "Int64"), "path": path,
+        "pre": pd.array(pre[head] + pos, "Int64"), "path": path,
     }
     frame = pd.DataFrame(out)
     frame.loc[blank, ["size", "chain_pos", "pre"]] = pd.NA
@@ -157,45 +201,56 @@ def _by_joins(nodes: DataFrame, intervals: bool) -> DataFrame:
     done = _climb(start, "climb", more)
     # The last strides may reach roots exactly: their sizes come from whole trees.
     whole = done.where("fin").groupBy("t", F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("tree"))
-    done = done.join(whole, ["t", "v"], "left").withColumn("s", F.when(F.col("fin") & (F.col("d") == 0), F.col("tree")).otherwise(F.col("s"))).drop("tree")
-    basic = done.select("t", "v", F.when(F.col("fin"), F.col("a")).otherwise(F.lit("")).alias("root"), F.when(F.col("fin"), F.col("d")).otherwise(F.lit(-1)).cast("long").alias("depth"), "p", "s")
-    if not intervals:
-        return basic.select("t", "v", "root", "depth")
-    basic = stage(basic, "basic")
-    tree = basic.where("depth >= 0")
-    kids = tree.where("depth > 0").select("t", "p", "v", "s", (-F.col("s")).alias("o"))
-    best = kids.groupBy("t", "p").agg(F.min(F.struct("o", "v")).alias("b")).select("t", F.col("b.v").alias("v"), F.lit(True).alias("heavy"))
-    kin = tree.select("t", F.coalesce("p", F.lit("")).alias("g"), "v", "s", (-F.col("s")).alias("o"), (F.col("depth") == 0).alias("top"))
-    # roots follow each other by id, children by falling size
-    kin = kin.withColumn("o", F.when(F.col("top"), F.lit(0)).otherwise(F.col("o")))
-    ahead = prefix_sum(kin.drop("top"), ["t", "g"], ["o", "v"], "s", "ahead").select("t", "v", "ahead")
-    linked = tree.join(ahead, ["t", "v"]).join(best, ["t", "v"], "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    # head: chain's first node; off: what preorder adds from pointer `a` down to here
-    start = stage(
-        linked.select("t", "v", "p", "root", "depth", "s", F.when(F.col("heavy"), F.col("p")).otherwise(F.col("v")).alias("head"), F.col("heavy").cast("long").alias("pos"),
-                      F.coalesce("p", F.col("v")).alias("a"), (F.col("ahead") + (F.col("depth") > 0).cast("long")).alias("off"), (F.col("depth") == 0).alias("fin")), "chain"
+    sized = stage(done.join(whole, ["t", "v"], "left").select("t", "v", "p", "fin", F.when(F.col("fin") & (F.col("d") == 0), F.col("tree")).otherwise(F.col("s")).alias("s")), "sizes")
+    tree = sized.where("fin")
+    chains = _chains(tree)
+    heads = _chain_levels(chains, _ahead(tree) if intervals else None)
+    # depth and preorder number go on along a chain from its head
+    full = chains.join(heads, ["t", "chain"]).select(
+        "t", "v", "root", (F.col("base") + F.col("chain_pos")).alias("depth"), F.col("s").alias("size"), "chain", "chain_pos", (F.col("pre") + F.col("chain_pos")).alias("pre"), "p"
     )
+    cyclic = sized.where("NOT fin").select("t", "v", F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"))
+    if not intervals:
+        return full.select("t", "v", "root", "depth").unionByName(cyclic)
+    full = stage(full, "full")
+    named = full.join(_paths(full), ["t", "v"], "left").drop("p")
+    return named.unionByName(cyclic, allowMissingColumns=True).select([c.split()[0] for c in FULL.split(", ")])
+
+
+def _chains(tree: DataFrame) -> DataFrame:
+    """(t, v, p, s, chain, chain_pos): the child with the largest subtree continues its parent's chain; ties by id."""
+    best = tree.where("p IS NOT NULL").groupBy("t", "p").agg(F.min(F.struct((-F.col("s")).alias("o"), "v")).alias("b")).select("t", F.col("b.v").alias("v"), F.lit(True).alias("heavy"))
+    linked = tree.join(best, ["t", "v"], "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    start = linked.select("t", "v", "p", "s", F.when(F.col("heavy"), F.col("p")).otherwise(F.col("v")).alias("chain"), F.col("heavy").cast("long").alias("chain_pos"), (~F.col("heavy")).alias("fin"))
+
+    def more(f: DataFrame) -> DataFrame:
+        up = f.select("t", F.col("v").alias("chain"), F.col("chain").alias("chain2"), F.col("chain_pos").alias("pos2"), F.col("fin").alias("fin2"))
+        moved = f.where("NOT fin").join(up, ["t", "chain"]).select("t", "v", "p", "s", F.col("chain2").alias("chain"), (F.col("chain_pos") + F.col("pos2")).alias("chain_pos"), F.col("fin2").alias("fin"))
+        return f.where("fin").unionByName(moved)
+
+    return _climb(stage(start, "chain"), "chain", more).drop("fin")
+
+
+def _ahead(tree: DataFrame) -> DataFrame:
+    """(t, v, ahead): sizes of the siblings that come before; children by falling size, roots by id."""
+    kin = tree.select("t", F.coalesce("p", F.lit("")).alias("g"), "v", "s", F.when(F.col("p").isNull(), F.lit(0)).otherwise(-F.col("s")).alias("o"))
+    return prefix_sum(kin, ["t", "g"], ["o", "v"], "s", "ahead").select("t", "v", "ahead")
+
 
-    def round_(f: DataFrame) -> DataFrame:
-        up = f.select("t", F.col("v").alias("a"), F.col("a").alias("a2"), F.col("off").alias("off2"), F.col("fin").alias("fin2"))
-        chain = f.select("t", F.col("v").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"))
-        g = f.join(up, ["t", "a"], "left").join(chain, ["t", "head"], "left")
-        return g.select(
-            "t", "v", "p", "root", "depth", "s", F.coalesce("head2", "head").alias("head"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"),
-            F.when(F.col("fin"), F.col("a")).otherwise(F.col("a2")).alias("a"), F.when(F.col("fin"), F.col("off")).otherwise(F.col("off") + F.col("off2")).alias("off"),
-            (F.col("fin") | F.col("fin2")).alias("fin"),
-        )
-
-    # A pointer that has reached the root carries the root's own offset once: `a` = root is final only after adding it.
-    rounds = max(1, int(tree.agg(F.max("depth")).first()[0] or 0).bit_length() + 1)
-    frame = start
-    for _ in range(rounds):
-        frame = stage(round_(frame), "chain")
-    chains = frame.select("t", "v", "root", "depth", F.col("s").alias("size"), F.col("head").alias("chain"), F.col("pos").alias("chain_pos"), F.col("off").alias("pre"), "p")
-    chains = stage(chains, "chains")
-    full = chains.join(_paths(chains), ["t", "v"], "left").drop("p")
-    cyclic = basic.where("depth < 0").select("t", "v", "root", "depth")
-    return full.unionByName(cyclic, allowMissingColumns=True).select([c.split()[0] for c in FULL.split(", ")])
+def _chain_levels(chains: DataFrame, ahead: DataFrame | None) -> DataFrame:
+    """(t, chain, base, root, pre) of each chain's head: chains on roots first, then those that hang on known ones; at most log2(n) rounds over heads alone."""
+    hung = chains.where("chain_pos = 0").select("t", "chain", "p")
+    hung = hung.join(ahead.withColumnRenamed("v", "chain"), ["t", "chain"]) if ahead is not None else hung.withColumn("ahead", F.lit(0).cast("long"))
+    on = chains.select("t", F.col("v").alias("p"), F.col("chain").alias("above"), F.col("chain_pos").alias("at"))
+    hung = stage(hung.join(on, ["t", "p"], "left").select("t", "chain", "p", "ahead", "above", "at"), "hung")
+    front = stage(hung.where("p IS NULL").select("t", "chain", F.lit(0).cast("long").alias("base"), F.col("chain").alias("root"), F.col("ahead").alias("pre")), "heads")
+    known, rest = front, hung.where("p IS NOT NULL")
+    while not front.isEmpty():
+        up = front.select("t", F.col("chain").alias("above"), F.col("base").alias("base0"), "root", F.col("pre").alias("pre0"))
+        step = F.col("at") + 1
+        front = stage(rest.join(up, ["t", "above"]).select("t", "chain", (F.col("base0") + step).alias("base"), "root", (F.col("pre0") + step + F.col("ahead")).alias("pre")), "heads")
+        known = known.unionByName(front)
+    return known
 
 
 def _paths(chains: DataFrame) -> DataFrame:
