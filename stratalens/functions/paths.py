@@ -27,15 +27,20 @@ def directory(path: Column) -> Column:
 
 
 def candidates(path: Column, source: Column) -> Column:
-    """Paths an import may mean, in order: relative ones from the importing file's directory, others from the root, dots as slashes for dotted names."""
-    relative = source.startswith(".")
+    """Paths an import may mean, in order, each as written and with every ending and index file.
+
+    Relative ones lie below the importing file's directory, crate ones below its `src`; others, with dots as slashes if
+    they have no slash, below the root or else below `src`.
+    """
+    file = slashed(path)
     crate = source.rlike("^(crate|self|super)::")
-    base = (
-        F.when(relative, normalise(F.concat_ws("/", directory(path), source)))
-        .when(crate, F.regexp_replace(F.regexp_replace(source, "^(crate|self|super)::", ""), "::", "/"))
-        .when(source.contains("/"), normalise(source)).otherwise(F.regexp_replace(F.regexp_replace(source, "::", "/"), r"\.", "/"))
-    )
-    return F.array(*[F.concat(base, F.lit(s)) for s in SUFFIXES], *[F.concat(base, F.lit("/" + i)) for i in INDEX_FILES])
+    inner = F.regexp_replace(F.regexp_replace(source, "^(crate::)*(self::)*(super::)*", ""), "::", "/")
+    home = F.when(file.contains("/src/"), F.concat(F.substring_index(file, "/src/", 1), F.lit("/src"))).otherwise(F.lit("src"))
+    plain = F.when(source.contains(".") & ~source.contains("/"), F.regexp_replace(source, r"\.", "/")).otherwise(F.regexp_replace(source, "^/+", ""))
+    one = lambda base: F.array(base)
+    bases = F.when(source.startswith("."), one(F.concat_ws("/", directory(path), source))).when(crate, one(F.concat_ws("/", home, inner))).otherwise(F.array(plain, F.concat(F.lit("src/"), plain)))
+    ends = [*SUFFIXES, *("/" + i for i in INDEX_FILES)]
+    return F.flatten(F.transform(bases, lambda b: F.array(*[F.concat(normalise(b), F.lit(e)) for e in ends])))
 
 
 def external_root(source: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.common import stage
+from stratalens.common import small, stage
 from stratalens.operators import traverse
 
 #: Relations that each traversal follows.
@@ -16,6 +16,7 @@ SANITISERS = ["sanitizes", "validates"]
 DISTRIBUTED = ["emits", "consumes", "publishes", "subscribes", "schedules", "routes_to", "retries", "calls", "writes"]
 FAILS_BACK = ["calls", "depends_on", "imports", "reads", "connects_to", "routes_to", "subscribes", "waits_for", "deploys"]
 WAITS = ["waits_for", "acquires"]
+FAILS_FORWARD = ["depends_on", "calls", "routes_to", "consumes", "retries", "times_out", "connects_to"]
 FAILS_ON = ["consumes", "retries", "times_out", "circuit_breaks"]
 OWNS = ["owns", "authored_by", "reviews"]
 
@@ -24,58 +25,46 @@ def linked(facts: DataFrame, relations: list[str] | None = None) -> DataFrame:
     return facts.where(F.col("rel").isin(relations)) if relations else facts
 
 
-def keyed(seeds: DataFrame) -> DataFrame:
-    """Every seed its own question."""
-    return seeds.select(F.col("id").alias("key"), F.col("id").alias("node"))
+def flow(facts: DataFrame, seeds: DataFrame, relations: list[str] | None, depth: int) -> DataFrame:
+    """(id, depth, confidence, source): what any of the seeds leads to, by the shortest way from the nearest, ties by least fact id.
 
+    The confidence is the least on that way. All seeds are one question, so rows grow with the facts, not with seeds times facts.
+    """
+    links = stage(linked(facts, relations).select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("fact_id").alias("seq"), "conf"), "links")
+    front = seeds.select(F.col("id").alias("node"), F.lit(1.0).alias("confidence"), F.col("id").alias("source")).distinct()
+    got = traverse.spread(front, links, ["node"], ["node"], depth, {"confidence": F.least("confidence", "conf")}, F.col("seq"))
+    return got.select(F.col("node").alias("id"), "depth", F.round("confidence", 6).alias("confidence"), "source")
 
-def flow(facts: DataFrame, seeds: DataFrame, relations: list[str] | None, depth: int) -> DataFrame:
-    """(seed, id, depth, confidence): shortest paths by least fact id, with the least confidence on the way."""
-    links = stage(linked(facts, relations).select("src", "dst", F.col("fact_id").alias("seq"), "conf"), "links")
-    front = stage(keyed(seeds).distinct().withColumns({"depth": F.lit(0), "confidence": F.lit(1.0)}), "front")
-    seen = front
-    for n in range(1, depth + 1):
-        new = front.join(links, front["node"] == links["src"]).groupBy("key", F.col("dst").alias("node")).agg(F.min_by(F.least("confidence", "conf"), "seq").alias("confidence"))
-        front = stage(new.join(seen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", F.lit(n).alias("depth"), "confidence"), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen.select(F.col("key").alias("seed"), F.col("node").alias("id"), "depth", F.round("confidence", 6).alias("confidence"))
-
-
-def shared_reach(links: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(key, node, depth): each seed's reach over one shared set of links, which isn't copied for each seed."""
-    near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = links.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
-    front = stage(keyed(seeds).distinct().withColumn("depth", F.lit(0)), "front")
-    seen = front
-    for n in range(1, depth + 1):
-        new = front.join(steps, "node").select("key", F.col("next").alias("node")).distinct().join(seen.select("key", "node"), ["key", "node"], "left_anti")
-        front = stage(new.withColumn("depth", F.lit(n)), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+
+def cross_repository(facts: DataFrame, entities: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(id, depth, source): what seeds lead to by ways that touch more than one repository; entities without one don't count.
+
+    Of the repositories on a way the least and the greatest are carried, which differ if there are several.
+    """
+    home = entities.select(F.col("id").alias("dst"), F.col("repo").alias("home"))
+    links = stage(facts.join(home, "dst").select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("fact_id").alias("seq"), "home"), "links")
+    front = seeds.select(F.col("id").alias("node"), F.col("id").alias("source"), F.col("repo").alias("lo"), F.col("repo").alias("hi")).distinct()
+    got = traverse.spread(front, links, ["node"], ["node"], depth, {"lo": F.least("lo", "home"), "hi": F.greatest("hi", "home")}, F.col("seq"))
+    return got.where("lo <> hi").select(F.col("node").alias("id"), "depth", "source")
+
+
+def reach(links: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+    """(id, depth): what any of the seeds reaches, seeds at depth 0."""
+    got = traverse.reach(links.select(F.lit("").alias("key"), "src", "dst"), seeds.select(F.lit("").alias("key"), F.col("id").alias("node")), depth, reverse)
+    return got.select(F.col("node").alias("id"), "depth")
 
 
 def taint(facts: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
-    """(source, sink, depth, boundary): sinks reached without a sanitiser on the way, walks ending at sinks.
+    """(sink, depth, boundary): sinks that any source reaches without a sanitiser on the way, ways ending at sinks.
 
-    A state is a node with what happened on the way: nothing, a trust boundary, a sanitiser. Sanitised states are not followed.
+    A state is a node and whether a trust boundary was crossed on the way; sanitised ways are not followed.
     """
     open_ = linked(facts, TAINT).where(~F.col("rel").isin(SANITISERS)).join(sinks.select(F.col("id").alias("src")), "src", "left_anti")
-    steps = open_.select(F.col("src").alias("node"), F.col("dst").alias("next"), (F.col("rel") == "trust_boundary").alias("cross")).distinct()
-    front = stage(keyed(sources).distinct().withColumns({"crossed": F.lit(False), "depth": F.lit(0)}), "front")
-    seen = front
-    for n in range(1, depth + 1):
-        new = front.join(steps, "node").select("key", F.col("next").alias("node"), (F.col("crossed") | F.col("cross")).alias("crossed")).distinct()
-        new = new.join(seen.select("key", "node", "crossed"), ["key", "node", "crossed"], "left_anti")
-        front = stage(new.withColumn("depth", F.lit(n)), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    hit = seen.where("depth > 0").join(sinks.select(F.col("id").alias("node")), "node", "left_semi")
-    return hit.groupBy(F.col("key").alias("source"), F.col("node").alias("sink")).agg(F.min("depth").alias("depth"), F.max("crossed").alias("boundary"))
+    steps = stage(open_.select(F.col("src").alias("node"), F.col("dst").alias("next"), (F.col("rel") == "trust_boundary").alias("cross")).distinct(), "steps")
+    front = sources.select(F.col("id").alias("node"), F.lit(False).alias("crossed")).distinct()
+    seen = traverse.spread(front, steps, ["node"], ["node", "crossed"], depth, {"crossed": F.col("crossed") | F.col("cross")})
+    hit = seen.where("depth > 0").join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    return hit.groupBy(F.col("node").alias("sink")).agg(F.min("depth").alias("depth"), F.max("crossed").alias("boundary"))
 
 
 _CONSTRAINT = r"^\s*([^=!<>]+?)\s*(==|!=|>=|<=|=|>|<)\s*(.+?)\s*$"
@@ -115,7 +104,7 @@ def policy_violations(facts: DataFrame, entities: DataFrame, rules: DataFrame) -
     """Facts that a rule (rule, rel, from_kind, to_kind) forbids; a null kind matches any."""
     k = entities.select("id", "kind")
     rows = facts.join(k.select(F.col("id").alias("src"), F.col("kind").alias("a")), "src").join(k.select(F.col("id").alias("dst"), F.col("kind").alias("b")), "dst")
-    r = F.broadcast(rules.withColumnRenamed("rel", "rule_rel"))
+    r = small(rules.withColumnRenamed("rel", "rule_rel"))
     met = rows.join(r, (F.col("rel") == F.col("rule_rel")) & (F.col("from_kind").isNull() | (F.col("from_kind") == F.col("a"))) & (F.col("to_kind").isNull() | (F.col("to_kind") == F.col("b"))))
     return met.select("fact_id", "rule", "src", "dst")
 
@@ -130,18 +119,31 @@ def ownership_risk(facts: DataFrame, entities: DataFrame, subjects: list[str], o
 
 def runtime_hotspots(rows: DataFrame) -> DataFrame:
     """From (id, attributes): how much processor time, memory, latency and errors tell; all-zero ones are left out."""
-    n = lambda k: F.coalesce(F.expr(f"try_cast(attributes['{k}'] AS double)"), F.lit(0.0))
+    n = lambda k: F.coalesce(F.expr(f"try_cast(attributes['runtime.{k}'] AS double)"), F.lit(0.0))
     pos = lambda x: F.when(x > 1, F.log10(x)).otherwise(0.0)
     cpu, mem, lat, err = n("cpu_ms"), n("memory_bytes"), n("latency_ms"), n("error_rate")
     score = pos(cpu) + 0.2 * F.log10(mem + 1) + pos(lat) + 10 * err
     return rows.where((cpu != 0) | (mem != 0) | (lat != 0) | (err != 0)).select("id", F.round(score, 6).alias("score"))
 
 
-def fan(facts: DataFrame) -> DataFrame:
-    """(id, fan_in, fan_out, instability)"""
+def fan(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, fan_in, fan_out, instability) of every entity, also those without facts."""
     ends = facts.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("into")))).alias("e")).select("e.*")
-    got = ends.groupBy("id").agg(F.sum("into").alias("fan_in"), F.sum(1 - F.col("into")).alias("fan_out"))
-    return got.withColumn("instability", F.round(F.col("fan_out") / (F.col("fan_in") + F.col("fan_out")), 6))
+    got = entities.select("id").join(ends.groupBy("id").agg(F.sum("into").alias("fan_in"), F.sum(1 - F.col("into")).alias("fan_out")), "id", "left").fillna(0, ["fan_in", "fan_out"])
+    return got.withColumn("instability", F.when(F.col("fan_in") + F.col("fan_out") > 0, F.round(F.col("fan_out") / (F.col("fan_in") + F.col("fan_out")), 6)).otherwise(0.0))
+
+
+def quality(facts: DataFrame, entities: DataFrame, relations: list[str] | None = None) -> DataFrame:
+    """(metric, value): entities, relations, mean and greatest fan-in and fan-out, groups of entities on cycles.
+
+    Cycles are counted as strongly connected groups; simple cycles, of which there may be exponentially many, are listed by `traverse.simple_cycles`.
+    """
+    n = F.count(F.lit(1)).cast("double")
+    rows = lambda df, *aggs: df.agg(*[a.cast("double").alias(name) for name, a in aggs]).select(F.explode(F.create_map(*[x for name, _ in aggs for x in (F.lit(name), F.col(name))])).alias("metric", "value"))
+    ends = rows(fan(facts, entities), ("entities", n), ("mean_fan_in", F.avg("fan_in")), ("mean_fan_out", F.avg("fan_out")), ("max_fan_in", F.max("fan_in")), ("max_fan_out", F.max("fan_out")))
+    groups = traverse.components(linked(facts, relations).select(F.lit("").alias("key"), "src", "dst")).select("component").distinct()
+    out = ends.unionByName(rows(facts, ("relations", n))).unionByName(rows(groups, ("cyclic_groups", n)))
+    return out.select("metric", F.round("value", 6).alias("value"))
 
 
 def temporal_diff(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.common import small
 from stratalens.operators.traverse import components, degrees
 
 #: Name suffixes and annotations of layers, in the order in which they are tried.
@@ -96,7 +97,7 @@ def rule_table(spark, rules: dict[str, list[str]]) -> DataFrame:
 def forbidden(edges: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
     """Per edge, boundary of its source and token: the target's id contains the token, letter case counting."""
     of = members.withColumnRenamed("id", "src")
-    hit = edges.join(of, ["repo", "src"]).join(F.broadcast(rules), "boundary").where(F.col("dst").contains(F.col("token")))
+    hit = edges.join(of, ["repo", "src"]).join(small(rules), "boundary").where(F.col("dst").contains(F.col("token")))
     return hit.select("repo", "src", "dst", "boundary", "token").distinct()
 
 
@@ -105,7 +106,7 @@ def crossings(edges: DataFrame, members: DataFrame, nodes: DataFrame, rules: Dat
     inside = edges.join(members.withColumnRenamed("id", "src"), ["repo", "src"])
     outside = inside.join(members.withColumnRenamed("id", "dst"), ["repo", "boundary", "dst"], "left_anti")
     text = F.lower(F.concat_ws(" ", "name", "path"))
-    hit = outside.join(nodes.select("repo", F.col("id").alias("dst"), text.alias("text")), ["repo", "dst"]).join(F.broadcast(rules), "boundary").where(F.col("text").contains(F.lower("token")))
+    hit = outside.join(nodes.select("repo", F.col("id").alias("dst"), text.alias("text")), ["repo", "dst"]).join(small(rules), "boundary").where(F.col("text").contains(F.lower("token")))
     return hit.groupBy("repo", "src", "dst", "boundary").agg(F.min_by("token", "ord").alias("token"))
 
 

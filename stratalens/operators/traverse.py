@@ -11,11 +11,12 @@ from collections.abc import Iterable
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.common import stage
+from stratalens.common import shuffle_width, stage
+from stratalens.operators.resolve import suffixes
 
 #: Depth to which paths and cones are followed, at most.
 MOST_DEPTH = 32
@@ -45,11 +46,11 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse:
     light_steps, light_seeds = steps, seeds
     if (most or 0) > group_edges:
         big = stage(sizes.where(F.col("n") > group_edges).select("key"), "big")
-        parts.append(_frontier(steps.join(big, "key", "left_semi"), seeds.join(big, "key", "left_semi"), depth))
+        parts.append(spread(seeds.join(big, "key", "left_semi"), steps.join(big, "key", "left_semi"), ["key", "node"], ["key", "node"], depth))
         light_steps, light_seeds = steps.join(big, "key", "left_anti"), seeds.join(big, "key", "left_anti")
     kinds = dict(steps.dtypes)
     rows = light_steps.unionByName(light_seeds.withColumn("next", F.lit(None).cast(kinds["next"])))
-    buckets = max(1, -(-(total or 0) // max(1, group_edges)))
+    buckets = max(shuffle_width(edges.sparkSession), -(-(total or 0) // max(1, group_edges)))
     got = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).applyInPandas(lambda pdf: _walk(pdf, depth), f"key {kinds['key']}, node {kinds['node']}, depth int")
     for p in parts:
         got = got.unionByName(p)
@@ -77,35 +78,67 @@ def _walk(pdf: pd.DataFrame, depth: int | None) -> pd.DataFrame:
     return pd.DataFrame([(k, v, n) for (k, v), n in seen.items()], columns=["key", "node", "depth"])
 
 
-def _frontier(steps: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
-    front = stage(seeds.withColumn("depth", F.lit(0)), "front")
+def spread(front: DataFrame, steps: DataFrame, on: list[str], state: list[str], depth: int | None = None, move: dict[str, Column] | None = None, best: Column | None = None) -> DataFrame:
+    """`front` and all it leads to, breadth first, each state once, with its depth.
+
+    Rows meet `steps` on the columns `on`; a step goes to its column `next`, which becomes the row's `node`. Columns of
+    the front beyond `state` are carried along; `move` says how a step changes them. Of several ways that reach a
+    state in the same round the one with the least `best` counts. Each round is written to the shared folder.
+    """
+    carried = [c for c in front.columns if c not in state]
+    to = {"node": F.col("next")} | (move or {})
+    front = stage(front.withColumn("depth", F.lit(0)), "front")
     seen = front
     for n in rounds(depth):
-        new = front.join(steps, ["key", "node"]).select("key", F.col("next").alias("node")).distinct()
-        new = new.join(seen.select("key", "node"), ["key", "node"], "left_anti").withColumn("depth", F.lit(n))
-        front = stage(new, "front")
+        rows = front.drop("depth").join(steps, on).select(*[to.get(c, F.col(c)).alias(c) for c in (*state, *carried)], *([best.alias("__order")] if carried else []))
+        new = rows.groupBy(*state).agg(F.min_by(F.struct(*carried), "__order").alias("__c")).select(*state, "__c.*") if carried else rows.distinct()
+        front = stage(new.join(seen.select(*state), state, "left_anti").withColumn("depth", F.lit(n)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def paths(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """(key, node, depth, via): breadth-first trees. `via` is the edge (least seq) by which a node was first reached.
+def path_trees(steps: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """(key, node, depth, confidence, path): breadth-first trees from seeds (key, node) over steps (key, node, next, seq, c).
 
-    Edges have an additional column seq, which orders them.
+    A node's path comes over the edge of least seq among those that reach it first; its confidence is the product of c.
+    Keys with few edges are walked whole, the others round by round, as in `reach`.
     """
-    steps = edges.select("key", F.col("src").alias("node"), F.col("dst").alias("next"), "seq")
-    front = stage(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)).withColumn("via", F.lit(None).cast(dict(edges.dtypes)["seq"])), "front")
-    seen = front
+    steps, seeds = stage(steps.select("key", "node", "next", "seq", "c"), "steps"), seeds.select("key", "node").distinct()
+    sizes = steps.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    big = stage(sizes.where(F.col("n") > group_edges).select("key"), "big") if (most or 0) > group_edges else None
+    few = lambda df: df.join(big, "key", "left_anti") if big is not None else df
+    rows = few(steps).unionByName(few(seeds), allowMissingColumns=True)
+    buckets = max(shuffle_width(steps.sparkSession), -(-(total or 0) // max(1, group_edges)))
+    kinds = dict(steps.dtypes)
+    got = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).applyInPandas(lambda pdf: _walk_paths(pdf, depth), f"key {kinds['key']}, node {kinds['node']}, depth int, confidence double, path string")
+    if big is not None:
+        front = seeds.join(big, "key", "left_semi").select("key", "node", F.lit(1.0).alias("confidence"), F.col("node").alias("path"))
+        move = {"confidence": F.col("confidence") * F.col("c"), "path": F.concat_ws(" > ", "path", "next")}
+        got = got.unionByName(spread(front, steps.join(big, "key", "left_semi"), ["key", "node"], ["key", "node"], depth, move, F.col("seq")).select(*got.columns))
+    return got
+
+
+def _walk_paths(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
+    is_seed = pdf["next"].isna()
+    after: dict = {}
+    for k, a, b, seq, c in pdf.loc[~is_seed, ["key", "node", "next", "seq", "c"]].itertuples(index=False):
+        after.setdefault((k, a), []).append((b, seq, c))
+    seen = {(k, v): (0, 1.0, v) for k, v in pdf.loc[is_seed, ["key", "node"]].itertuples(index=False)}
+    front = list(seen)
     for n in range(1, depth + 1):
-        new = front.select("key", "node").join(steps, ["key", "node"]).groupBy("key", F.col("next").alias("node")).agg(F.min("seq").alias("via"))
-        new = new.join(seen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", F.lit(n).alias("depth"), "via")
-        front = stage(new, "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+        best: dict = {}
+        for at in front:
+            for b, seq, c in after.get(at, ()):
+                to = (at[0], b)
+                if to not in seen and (to not in best or seq < best[to][0]):
+                    best[to] = (seq, at, c)
+        for to, (_, at, c) in best.items():
+            seen[to] = (n, seen[at][1] * c, f"{seen[at][2]} > {to[1]}")
+        front = list(best)
+    return pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["key", "node", "depth", "confidence", "path"])
 
 
 def components(edges: DataFrame, group_edges: int = 200_000) -> DataFrame:
@@ -121,7 +154,7 @@ def components(edges: DataFrame, group_edges: int = 200_000) -> DataFrame:
     light = links
     if (most or 0) > group_edges:
         light = links.join(big, "key", "left_anti")
-    buckets = max(1, -(-(total or 0) // max(1, group_edges)))
+    buckets = max(shuffle_width(edges.sparkSession), -(-(total or 0) // max(1, group_edges)))
     kinds = dict(links.dtypes)
     out = light.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).applyInPandas(_tarjan, f"key {kinds['key']}, node {kinds['src']}, component {kinds['src']}")
     if (most or 0) > group_edges:
@@ -196,7 +229,7 @@ def _colour(links: DataFrame) -> DataFrame:
         own = inside.select(F.struct("key", "a").alias("key"), "src", "dst")
         roots = label.where("c = node").select(F.struct("key", F.col("c").alias("a")).alias("key"), "node")
         back = own.select("key", F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
-        got = _frontier(back, roots, None).select("key.key", "node", F.col("key.a").alias("c"))
+        got = spread(roots, back, ["key", "node"], ["key", "node"]).select("key.key", "node", F.col("key.a").alias("c"))
         got = stage(got, "got")
         mates = got.groupBy("key", "c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
         part = stage(got.join(mates, ["key", "c"]).select("key", "node", "component"), "component")
@@ -241,17 +274,38 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(into, ["repo", "id"], "left").join(out, ["repo", "id"], "left").fillna(0, ["fan_in", "fan_out"])
 
 
+def first_node(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(repo, path, id): the node that stands for a path (repo, path): its file's own node, else the first one in it."""
+    pick = F.struct((F.lower("kind") != "file").alias("o"), "line", "id")
+    return nodes.join(paths.select("repo", "path").distinct(), ["repo", "path"], "left_semi").groupBy("repo", "path").agg(F.min(pick).alias("p")).select("repo", "path", F.col("p.id").alias("id"))
+
+
+def resolve_ids(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, name, id, candidates): nodes whose id is the name or ends in it from a path part on, or files by path in the same way; an id only if there is one."""
+    slashed = lambda c: F.translate(c, "\\", "/")
+    known = nodes.select("repo", "id", slashed("id").alias("path")).unionByName(nodes.where("lower(kind) = 'file' AND path IS NOT NULL").select("repo", "id", slashed("path").alias("path")))
+    parts = F.split("path", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    keys = known.select("repo", "id", F.explode(tails).alias("name")).distinct()
+    asked = names.withColumn("name", slashed("name"))
+    return asked.join(keys, ["repo", "name"]).groupBy("repo", "name").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("id")).select("repo", "name", F.when(F.col("candidates") == 1, F.col("id")).alias("id"), "candidates")
+
+
 def locate(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """(repo, path, line, id): the nearest declaration at or before the line, else the file's own node, else its first one."""
-    same = changes.select("repo", F.col("path").alias("changed"), F.col("line").alias("at")).join(
-        nodes.withColumn("changed", F.col("path")), ["repo", "changed"]
-    )
+    """(repo, path, line, id): the nearest declaration at or before the line, else the file's own node, else its first one.
+
+    A change's path may be the tail of a node's path, from a part on.
+    """
+    slashed = nodes.withColumn("path", F.translate("path", "\\", "/"))
+    asked = changes.select("repo", F.translate("path", "\\", "/").alias("changed"), F.col("path").alias("given"), F.col("line").alias("at"))
+    whole = suffixes(slashed.where("path IS NOT NULL").select("repo", "path").distinct()).withColumnRenamed("suffix", "changed")
+    same = asked.join(whole, ["repo", "changed"]).join(slashed, ["repo", "path"])
     is_file = F.lower("kind") == "file"
     before = ~is_file & (F.col("line") <= F.col("at"))
     rank = F.when(before, 0).when(is_file, 1).otherwise(2)
     order = F.when(before, -F.col("line")).when(is_file, 0).otherwise(F.col("line"))
     pick = F.struct(rank.alias("rank"), order.alias("order"), "id")
-    return same.groupBy("repo", F.col("changed").alias("path"), F.col("at").alias("line")).agg(F.min(pick).alias("p")).select("repo", "path", "line", F.col("p.id").alias("id"))
+    return same.groupBy("repo", F.col("given").alias("path"), F.col("at").alias("line")).agg(F.min(pick).alias("p")).select("repo", "path", "line", F.col("p.id").alias("id"))
 
 
 def last(df: DataFrame, keys: list[str], order: list) -> DataFrame:

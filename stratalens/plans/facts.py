@@ -48,10 +48,11 @@ _IMPORTS = f""", i AS (SELECT DISTINCT repo, path, s.source_name AS source FROM
 kf AS (SELECT repo, path FROM f UNION SELECT repo, path FROM nodes WHERE path IS NOT NULL),
 tail0 AS (SELECT repo, path, string_split(path, '/') AS p FROM kf), tail AS (SELECT repo, path, array_to_string(p[k:len(p)], '/') AS suffix FROM (SELECT *, unnest(generate_series(1, len(p))) AS k FROM tail0)),
 tt AS (SELECT repo, suffix, coalesce(max(path) FILTER (path = suffix), CASE WHEN count(*) = 1 THEN min(path) END) AS target FROM tail GROUP BY 1, 2),
-up AS (SELECT *, len(regexp_extract(source, '^(\\.\\./)*')) // 3 AS ups, string_split(path, '/') AS pp FROM i),
-base AS (SELECT repo, path, source, CASE WHEN source LIKE '.%' THEN array_to_string(list_concat(pp[1:greatest(len(pp) - 1 - ups, 0)], [regexp_replace(source, '^(\\./|\\.\\./)+', '')]), '/')
-  WHEN regexp_matches(source, '^(crate|self|super)::') THEN replace(regexp_replace(source, '^(crate|self|super)::', ''), '::', '/') WHEN contains(source, '/') THEN source ELSE replace(replace(source, '::', '/'), '.', '/') END AS b FROM up),
-cand AS (SELECT repo, path, source, k, b || ({_SUFFIX})[k] AS suffix FROM (SELECT *, unnest(generate_series(1, 15)) AS k FROM base)),
+up AS (SELECT *, len(regexp_extract(source, '^(\\.\\./)*')) // 3 AS ups, string_split(path, '/') AS pp, replace(regexp_replace(source, '^(crate::)*(self::)*(super::)*', ''), '::', '/') AS rust,
+  CASE WHEN contains(source, '.') AND NOT contains(source, '/') THEN replace(source, '.', '/') ELSE ltrim(source, '/') END AS plain FROM i),
+base AS (SELECT repo, path, source, unnest(b) AS b, generate_subscripts(b, 1) AS n FROM (SELECT *, CASE WHEN source LIKE '.%' THEN [array_to_string(list_concat(pp[1:greatest(len(pp) - 1 - ups, 0)], [regexp_replace(source, '^(\\./|\\.\\./)+', '')]), '/')]
+  WHEN regexp_matches(source, '^(crate|self|super)::') THEN [CASE WHEN contains(path, '/src/') THEN split_part(path, '/src/', 1) || '/src/' ELSE 'src/' END || rust] ELSE [plain, 'src/' || plain] END AS b FROM up)),
+cand AS (SELECT repo, path, source, 15 * n + k AS k, b || ({_SUFFIX})[k] AS suffix FROM (SELECT *, unnest(generate_series(1, 15)) AS k FROM base)),
 imp AS (SELECT i.repo, i.path, i.source, arg_min(t.target, c.k) AS target FROM i LEFT JOIN cand c ON c.repo = i.repo AND c.path = i.path AND c.source = i.source LEFT JOIN tt t ON t.repo = c.repo AND t.suffix = c.suffix AND t.target IS NOT NULL
   GROUP BY 1, 2, 3)"""
 _GF = GRAPH_SQL + "," + _FILES.replace("WITH RECURSIVE ", " ")
@@ -225,50 +226,70 @@ def _rel(names: list[str]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
+def _seeds(*kinds: str):
+    return F.col("kind").isin(*kinds)
+
+
 def _flow_sql(seeds: str, relations: list[str] | None, depth: int, extra: str = "true") -> str:
     where = f"rel IN {_rel(relations)}" if relations else "true"
-    levels = [f"l0 AS (SELECT id AS seed, id, 0 AS depth, CAST(1.0 AS DOUBLE) AS confidence FROM entities WHERE {seeds})"]
-    for n in range(1, depth + 1):
-        levels.append(f"l{n} AS (SELECT p.seed, k.dst AS id, {n} AS depth, arg_min(least(p.confidence, k.conf), k.fact_id) AS confidence FROM l{n - 1} p JOIN ok k ON k.src = p.id WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT seed, id FROM l{m}' for m in range(n))}) o WHERE o.seed = p.seed AND o.id = k.dst) GROUP BY 1, 2)")
-    return FACTS_SQL + f", ok AS (SELECT * FROM facts WHERE {where} AND {extra}), " + ", ".join(levels) + ", flow AS (" + " UNION ALL ".join(f"SELECT seed, id, depth, round(confidence, 6) AS confidence FROM l{n}" for n in range(depth + 1)) + ")"
+    return FACTS_SQL + f""", ok AS (SELECT * FROM facts WHERE {where} AND {extra}),
+walk(id, depth) AS (SELECT id, 0 FROM entities WHERE {seeds} UNION SELECT k.dst, w.depth + 1 FROM walk w JOIN ok k ON k.src = w.id WHERE w.depth < {depth}),
+near AS (SELECT id, min(depth) AS depth FROM walk GROUP BY 1),
+via AS (SELECT b.id, b.depth, arg_min(k.src, k.fact_id) AS src, arg_min(k.conf, k.fact_id) AS conf FROM near b JOIN ok k ON k.dst = b.id JOIN near a ON a.id = k.src AND a.depth = b.depth - 1 GROUP BY 1, 2),
+flow(id, depth, confidence, source, lo, hi) AS (SELECT id, 0, CAST(1.0 AS DOUBLE), id, repo, repo FROM entities WHERE {seeds}
+  UNION ALL SELECT v.id, v.depth, least(f.confidence, v.conf), f.source, least(f.lo, e.repo), greatest(f.hi, e.repo) FROM flow f JOIN via v ON v.src = f.id AND v.depth = f.depth + 1 JOIN entities e ON e.id = v.id)"""
+
+
+_FLOW = " SELECT id, CAST(depth AS INT) AS depth, round(confidence, 6) AS confidence, source FROM flow"
+ENTRIES = ("api", "topic", "queue")
 
 
-@query(_flow_sql("kind IN ('api', 'topic', 'queue')", c.DATA_FLOW, 4) + " SELECT * FROM flow")
+@query(_flow_sql("kind IN ('api', 'topic', 'queue')", c.DATA_FLOW, FLOW_DEPTH) + _FLOW)
 def data_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Where data goes from APIs, topics and queues."""
     ent, fac = facts(spark, d)
-    return c.flow(fac, ent.where(F.col("kind").isin("api", "topic", "queue")), c.DATA_FLOW, FLOW_DEPTH)
+    return c.flow(fac, ent.where(_seeds(*ENTRIES)), c.DATA_FLOW, FLOW_DEPTH)
 
 
-@query(_flow_sql("kind = 'service'", c.DISTRIBUTED, 4) + " SELECT * FROM flow")
+@query(_flow_sql("kind = 'service'", c.DISTRIBUTED, FAR_DEPTH) + _FLOW)
 def distributed_flow(spark: SparkSession, d: str) -> DataFrame:
+    """What services set off in other systems."""
     ent, fac = facts(spark, d)
-    return c.flow(fac, ent.where("kind = 'service'"), c.DISTRIBUTED, FAR_DEPTH)
+    return c.flow(fac, ent.where(_seeds("service")), c.DISTRIBUTED, FAR_DEPTH)
 
 
-@query(_flow_sql("kind = 'job'", None, 3, "(cond IS NULL OR cond = 'flag:search=on')") + " SELECT * FROM flow")
+@query(_flow_sql("kind = 'job'", None, FLOW_DEPTH, "(cond IS NULL OR cond = 'flag:search=on')") + _FLOW)
 def reachable_under(spark: SparkSession, d: str) -> DataFrame:
     """What jobs reach when, of all conditions, only the search flag holds."""
     ent, fac = facts(spark, d)
-    return c.flow(fac.where("cond IS NULL OR cond = 'flag:search=on'"), ent.where("kind = 'job'"), None, FLOW_DEPTH)
+    return c.flow(fac.where("cond IS NULL OR cond = 'flag:search=on'"), ent.where(_seeds("job")), None, FLOW_DEPTH)
 
 
-@query(_flow_sql("kind IN ('api', 'topic', 'queue')", c.DATA_FLOW, 4) + " SELECT f.seed, f.id, f.depth, a.repo AS from_repo, b.repo AS to_repo FROM flow f JOIN entities a ON a.id = f.seed JOIN entities b ON b.id = f.id WHERE a.repo <> b.repo")
+@query(_flow_sql("kind IN ('api', 'topic', 'queue')", None, FAR_DEPTH) + " SELECT id, CAST(depth AS INT) AS depth, source FROM flow WHERE lo <> hi")
 def cross_repo(spark: SparkSession, d: str) -> DataFrame:
+    """What APIs, topics and queues lead to across repositories."""
     ent, fac = facts(spark, d)
-    k = ent.select("id", "repo")
-    got = c.flow(fac, ent.where(F.col("kind").isin("api", "topic", "queue")), c.DATA_FLOW, FAR_DEPTH)
-    return got.join(k.select(F.col("id").alias("seed"), F.col("repo").alias("from_repo")), "seed").join(k.select("id", F.col("repo").alias("to_repo")), "id").where("from_repo <> to_repo").select("seed", "id", "depth", "from_repo", "to_repo")
+    return c.cross_repository(fac, ent, ent.where(_seeds(*ENTRIES)), FAR_DEPTH)
 
 
 _SINKS = "('table', 'column', 'secret')"
 
 
 @query(FACTS_SQL + f""", ok AS (SELECT DISTINCT src, dst, rel = 'trust_boundary' AS crossed FROM facts WHERE rel IN {_rel([r for r in c.TAINT if r not in c.SANITISERS])} AND src NOT IN (SELECT id FROM entities WHERE kind IN {_SINKS})),
-w(source, id, crossed, depth) AS (SELECT id, id, false, 0 FROM entities WHERE kind IN ('api', 'topic') UNION SELECT w.source, k.dst, w.crossed OR k.crossed, w.depth + 1 FROM w JOIN ok k ON k.src = w.id WHERE w.depth < 5)
-SELECT source, id AS sink, min(depth) AS depth, bool_or(crossed) AS boundary FROM w WHERE depth > 0 AND id IN (SELECT id FROM entities WHERE kind IN {_SINKS}) GROUP BY 1, 2""")
+w(id, crossed, depth) AS (SELECT id, false, 0 FROM entities WHERE kind IN ('api', 'topic') UNION SELECT k.dst, w.crossed OR k.crossed, w.depth + 1 FROM w JOIN ok k ON k.src = w.id WHERE w.depth < {FLOW_DEPTH})
+SELECT id AS sink, CAST(min(depth) AS INT) AS depth, bool_or(crossed) AS boundary FROM w WHERE depth > 0 AND id IN (SELECT id FROM entities WHERE kind IN {_SINKS}) GROUP BY 1""")
 def taint(spark: SparkSession, d: str) -> DataFrame:
+    """Tables, columns and secrets that APIs and topics reach unsanitised."""
+    ent, fac = facts(spark, d)
+    return c.taint(fac, ent.where(_seeds("api", "topic")), ent.where(_seeds("table", "column", "secret")), FLOW_DEPTH)
+
+
+@query(_flow_sql("kind IN ('api', 'topic')", c.DATA_FLOW, FLOW_DEPTH) + f" SELECT id AS sink, source, CAST(depth AS INT) AS depth, round(confidence, 6) AS confidence FROM flow WHERE depth > 0 AND id IN (SELECT id FROM entities WHERE kind IN {_SINKS})")
+def taint_by_flow(spark: SparkSession, d: str) -> DataFrame:
+    """The older question: sinks at the end of any data flow, which can't see sanitisers or boundaries."""
     ent, fac = facts(spark, d)
-    return c.taint(fac, ent.where(F.col("kind").isin("api", "topic")), ent.where(F.col("kind").isin("table", "column", "secret")), FLOW_DEPTH)
+    got = c.flow(fac, ent.where(_seeds("api", "topic")), c.DATA_FLOW, FLOW_DEPTH).where("depth > 0")
+    return got.join(ent.where(_seeds("table", "column", "secret")).select("id"), "id", "left_semi").select(F.col("id").alias("sink"), "source", "depth", "confidence")
 
 
 @query("WITH v AS (SELECT DISTINCT event_type AS variable, CASE WHEN user_id % 2 = 0 THEN '==' ELSE '!=' END AS op, CAST(user_id % 3 AS VARCHAR) AS value FROM events), g AS (SELECT variable, count(DISTINCT value) FILTER (op = '==') AS n, min(value) FILTER (op = '==') AS one, list(value) FILTER (op = '!=') AS never FROM v GROUP BY 1) SELECT variable, CASE WHEN n > 1 THEN 'several values' WHEN n = 1 AND list_contains(never, one) THEN 'value excluded' END AS conflict FROM g WHERE n > 1 OR (n = 1 AND list_contains(never, one))")
@@ -299,51 +320,100 @@ def ownership_risk(spark: SparkSession, d: str) -> DataFrame:
     return c.ownership_risk(fac, ent, ["service", "file"], ["team", "symbol"])
 
 
-@query(FACTS_SQL + ", d AS (SELECT id, count(*) FILTER (i = 1) AS fan_in, count(*) FILTER (i = 0) AS fan_out FROM (SELECT src AS id, 0 AS i FROM facts UNION ALL SELECT dst, 1 FROM facts) GROUP BY 1) SELECT id, fan_in, fan_out, round(fan_out / (fan_in + fan_out), 6) AS instability FROM d")
+_FAN = FACTS_SQL + """, d AS (SELECT id, count(*) FILTER (i = 1) AS fan_in, count(*) FILTER (i = 0) AS fan_out FROM (SELECT src AS id, 0 AS i FROM facts UNION ALL SELECT dst, 1 FROM facts) GROUP BY 1),
+fan AS (SELECT e.id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM entities e LEFT JOIN d USING (id))"""
+
+
+@query(_FAN + " SELECT id, fan_in, fan_out, CASE WHEN fan_in + fan_out > 0 THEN round(fan_out / (fan_in + fan_out), 6) ELSE 0.0 END AS instability FROM fan")
 def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return c.fan(facts(spark, d)[1])
+    ent, fac = facts(spark, d)
+    return c.fan(fac, ent)
+
+
+#: Relations whose cycles count against quality.
+CYCLIC = ["imports", "depends_on"]
+
+
+@query(_FAN + f""", links AS (SELECT DISTINCT src, dst FROM facts WHERE rel IN {_rel(CYCLIC)}), clo(a, b) AS (SELECT src, dst FROM links UNION SELECT c.a, l.dst FROM clo c JOIN links l ON l.src = c.b),
+scc AS (SELECT x.a AS id, least(min(x.b), x.a) AS component FROM clo x JOIN clo y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a), u AS (SELECT count(*) AS entities, avg(fan_in) AS mean_fan_in, avg(fan_out) AS mean_fan_out, max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out FROM fan)
+SELECT 'entities' AS metric, CAST(entities AS DOUBLE) AS value FROM u UNION ALL SELECT 'mean_fan_in', round(mean_fan_in, 6) FROM u UNION ALL SELECT 'mean_fan_out', round(mean_fan_out, 6) FROM u UNION ALL SELECT 'max_fan_in', max_fan_in FROM u
+UNION ALL SELECT 'max_fan_out', max_fan_out FROM u UNION ALL SELECT 'relations', count(*) FROM facts UNION ALL SELECT 'cyclic_groups', count(DISTINCT component) FROM scc""")
+def quality_summary(spark: SparkSession, d: str) -> DataFrame:
+    ent, fac = facts(spark, d)
+    return c.quality(fac, ent, CYCLIC)
 
 
-def _reach_sql(seeds: str, near: str, far: str, links: str, depth: int) -> str:
-    return FACTS_SQL + f""", ok AS ({links}), w(key, id, depth) AS (SELECT id, id, 0 FROM entities WHERE {seeds} UNION SELECT w.key, k.{far}, w.depth + 1 FROM w JOIN ok k ON k.{near} = w.id WHERE w.depth < {depth}), near AS (SELECT key, id, min(depth) AS depth FROM w GROUP BY 1, 2)"""
+def _reach_sql(seeds: str, near: str, far: str, links: str, depth: int = IMPACT_DEPTH) -> str:
+    return FACTS_SQL + f""", ok AS ({links}), w(id, depth) AS (SELECT id, 0 FROM entities WHERE {seeds} UNION SELECT k.{far}, w.depth + 1 FROM w JOIN ok k ON k.{near} = w.id WHERE w.depth < {depth}), near AS (SELECT id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1)"""
 
 
-@query(_reach_sql("kind IN ('table', 'column')", "dst", "src", "SELECT DISTINCT src, dst FROM facts", 3) + " SELECT n.key AS seed, n.id, e.kind, n.depth FROM near n JOIN entities e USING (id) WHERE n.depth > 0 AND e.kind IN ('symbol', 'api', 'test', 'job', 'service')")
+_LINKS = "SELECT DISTINCT src, dst FROM facts"
+
+
+def _dependents(spark: SparkSession, d: str, seeds: tuple[str, ...], kinds: tuple[str, ...] | None) -> DataFrame:
+    ent, fac = facts(spark, d)
+    found = ent.where(_seeds(*kinds)) if kinds else ent
+    return c.reach(fac, ent.where(_seeds(*seeds)), IMPACT_DEPTH, reverse=True).where("depth > 0").join(found.select("id", "kind"), "id")
+
+
+@query(_reach_sql("kind IN ('table', 'column')", "dst", "src", _LINKS) + " SELECT n.id, n.depth, e.kind FROM near n JOIN entities e USING (id) WHERE n.depth > 0 AND e.kind IN ('symbol', 'api', 'test', 'migration', 'service')")
 def schema_impact(spark: SparkSession, d: str) -> DataFrame:
     """What depends on tables and columns."""
-    ent, fac = facts(spark, d)
-    got = c.shared_reach(fac, ent.where(F.col("kind").isin("table", "column")), IMPACT_DEPTH, reverse=True).where("depth > 0")
-    return got.select(F.col("key").alias("seed"), F.col("node").alias("id"), "depth").join(ent.where(F.col("kind").isin("symbol", "api", "test", "job", "service")).select("id", "kind"), "id").select("seed", "id", "kind", "depth")
+    return _dependents(spark, d, ("table", "column"), ("symbol", "api", "test", "migration", "service"))
+
+
+@query(_reach_sql("kind IN ('queue', 'topic', 'secret')", "dst", "src", _LINKS) + " SELECT n.id, n.depth, e.kind FROM near n JOIN entities e USING (id) WHERE n.depth > 0 AND e.kind IN ('service', 'deployment', 'repository', 'runtime_resource')")
+def infrastructure_impact(spark: SparkSession, d: str) -> DataFrame:
+    """What is deployed on infrastructure."""
+    return _dependents(spark, d, ("queue", "topic", "secret"), ("service", "deployment", "repository", "runtime_resource"))
 
 
-@query(_reach_sql("kind = 'config'", "dst", "src", "SELECT DISTINCT src, dst FROM facts", 3) + ", nb AS (SELECT src AS key, dst AS id FROM facts UNION SELECT dst, src FROM facts) SELECT DISTINCT key AS seed, id AS test FROM (SELECT key, id FROM near WHERE depth > 0 UNION SELECT key, id FROM nb WHERE key IN (SELECT id FROM entities WHERE kind = 'config')) WHERE id IN (SELECT id FROM entities WHERE kind = 'test')")
+@query(_reach_sql("kind IN ('config', 'feature_flag')", "dst", "src", _LINKS) + " SELECT n.id, n.depth, e.kind FROM near n JOIN entities e USING (id) WHERE n.depth > 0")
+def config_dependents(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that depends on configurations and flags."""
+    return _dependents(spark, d, ("config", "feature_flag"), None)
+
+
+@query(_reach_sql("kind = 'config'", "dst", "src", _LINKS) + """, nb AS (SELECT src AS key, dst AS id FROM facts UNION SELECT dst, src FROM facts), close_by AS (SELECT DISTINCT id FROM nb WHERE key IN (SELECT id FROM entities WHERE kind = 'config'))
+SELECT e.id AS test, e.id IN (SELECT id FROM close_by) AS direct FROM entities e WHERE e.kind = 'test' AND (e.id IN (SELECT id FROM near WHERE depth > 0) OR e.id IN (SELECT id FROM close_by))""")
 def tests_for_change(spark: SparkSession, d: str) -> DataFrame:
-    """Tests that a change of each config calls for: those that depend on it, and its direct neighbours."""
+    """Tests that a change of the configurations calls for: those that depend on one, and direct neighbours."""
     ent, fac = facts(spark, d)
-    seeds, tests = ent.where("kind = 'config'"), ent.where("kind = 'test'").select("id")
-    far = c.shared_reach(fac, seeds, IMPACT_DEPTH, reverse=True).where("depth > 0").select(F.col("key").alias("seed"), F.col("node").alias("id"))
+    seeds = ent.where(_seeds("config"))
+    far = c.reach(fac, seeds, IMPACT_DEPTH, reverse=True).where("depth > 0").select("id", F.lit(False).alias("direct"))
     both = fac.select(F.col("src").alias("seed"), F.col("dst").alias("id")).unionByName(fac.select(F.col("dst").alias("seed"), F.col("src").alias("id"))).join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
-    return far.unionByName(both).join(tests, "id", "left_semi").select("seed", F.col("id").alias("test")).distinct()
+    every = far.unionByName(both.select("id", F.lit(True).alias("direct"))).join(ent.where(_seeds("test")).select("id"), "id", "left_semi")
+    return every.groupBy(F.col("id").alias("test")).agg(F.max("direct").alias("direct"))
+
+
+_PARTS = {"symbol": "code", "file": "code", "test": "tests", "api": "contracts", "schema": "contracts", "deployment": "deployments", "service": "deployments", "job": "deployments"}
 
 
-@query(_reach_sql("kind = 'feature_flag'", "dst", "src", "SELECT DISTINCT src, dst FROM facts", 3) + " SELECT n.key AS seed, count(*) FILTER (e.kind IN ('symbol', 'file')) AS code, count(*) FILTER (e.kind = 'test') AS tests, count(*) FILTER (e.kind = 'api') AS contracts, count(*) FILTER (e.kind IN ('service', 'job')) AS deployments, (SELECT count(*) FROM facts f WHERE f.dst = n.key) AS lost, 'predicted' AS evidence FROM near n JOIN entities e USING (id) GROUP BY n.key")
+@query(_reach_sql("kind = 'feature_flag'", "dst", "src", _LINKS) + " SELECT n.id, n.depth, CASE e.kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PARTS.items()) + " ELSE 'other' END AS part, CASE WHEN n.depth = 0 THEN (SELECT count(*) FROM facts f WHERE f.dst = n.id) ELSE 0 END AS lost, 'predicted' AS evidence FROM near n JOIN entities e USING (id)")
 def simulate_change(spark: SparkSession, d: str) -> DataFrame:
-    """Deleting each feature flag: what depends on it, by sort, and the facts that lose their target. A prediction, never an observation."""
+    """Deleting the feature flags: what is affected, by sort, and how many facts lose a flag as their target. A prediction, never an observation."""
     ent, fac = facts(spark, d)
-    seeds = ent.where("kind = 'feature_flag'")
-    n = lambda *k: F.count(F.when(F.col("kind").isin(*k), 1))
-    got = c.shared_reach(fac, seeds, IMPACT_DEPTH, reverse=True).select(F.col("key").alias("seed"), F.col("node").alias("id")).join(ent.select("id", "kind"), "id")
-    by = got.groupBy("seed").agg(n("symbol", "file").alias("code"), n("test").alias("tests"), n("api").alias("contracts"), n("service", "job").alias("deployments"))
-    lost = fac.groupBy(F.col("dst").alias("seed")).agg(F.count(F.lit(1)).alias("lost"))
-    return by.join(lost, "seed", "left").fillna(0, ["lost"]).withColumn("evidence", F.lit("predicted"))
+    part = F.lit("other")
+    for kind, name in _PARTS.items():
+        part = F.when(F.col("kind") == kind, name).otherwise(part)
+    got = c.reach(fac, ent.where(_seeds("feature_flag")), IMPACT_DEPTH, reverse=True).join(ent.select("id", part.alias("part")), "id")
+    lost = fac.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return got.join(lost, "id", "left").select("id", "depth", "part", F.when(F.col("depth") == 0, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("lost"), F.lit("predicted").alias("evidence"))
 
 
-@query(_reach_sql("kind = 'service'", "src", "dst", f"SELECT DISTINCT dst AS src, src AS dst FROM facts WHERE rel IN {_rel(c.FAILS_BACK)} UNION SELECT src, dst FROM facts WHERE rel IN {_rel(c.FAILS_ON)}", 4) + " SELECT key AS seed, id, depth FROM near")
+@query(_reach_sql("kind = 'service'", "src", "dst", f"SELECT DISTINCT dst AS src, src AS dst FROM facts WHERE rel IN {_rel(c.FAILS_BACK)} UNION SELECT src, dst FROM facts WHERE rel IN {_rel(c.FAILS_ON)}") + " SELECT id, depth FROM near")
 def failure_propagation(spark: SparkSession, d: str) -> DataFrame:
-    """What fails when a service fails: its callers against the direction of use, consumers along it."""
+    """What fails when services fail: callers against the direction of use, consumers along it."""
     ent, fac = facts(spark, d)
     links = c.linked(fac, c.FAILS_BACK).select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(c.linked(fac, c.FAILS_ON).select("src", "dst"))
-    return c.shared_reach(links, ent.where("kind = 'service'"), IMPACT_DEPTH).select(F.col("key").alias("seed"), F.col("node").alias("id"), "depth")
+    return c.reach(links, ent.where(_seeds("service")), IMPACT_DEPTH)
+
+
+@query(_reach_sql("kind = 'service'", "src", "dst", f"SELECT DISTINCT src, dst FROM facts WHERE rel IN {_rel(c.FAILS_FORWARD)}") + " SELECT id, depth FROM near")
+def failure_forward(spark: SparkSession, d: str) -> DataFrame:
+    """The older question: what lies ahead of failing services along their own uses."""
+    ent, fac = facts(spark, d)
+    return c.reach(c.linked(fac, c.FAILS_FORWARD), ent.where(_seeds("service")), IMPACT_DEPTH)
 
 
 @query(FACTS_SQL + " SELECT id, ['validation', 'runtime', 'static'][min(r) + 1] AS evidence, min(conf) AS confidence, count(*) AS facts FROM (SELECT src AS id, conf, CASE ev WHEN 'validation' THEN 0 WHEN 'runtime' THEN 1 ELSE 2 END AS r FROM facts UNION ALL SELECT dst, conf, CASE ev WHEN 'validation' THEN 0 WHEN 'runtime' THEN 1 ELSE 2 END FROM facts WHERE src <> dst) GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.common import stage, table
 from stratalens.operators import structure, traverse
-from stratalens.plans.views import CHANGES_SQL, GRAPH_SQL, TWO_GRAPHS_SQL, changes, graph
+from stratalens.plans.views import CHANGES_SQL, GRAPH_SQL, TWO_GRAPHS_SQL, _graph_sql, changes, graph
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,11 +35,23 @@ GOD, UNSTABLE_IN, UNSTABLE = 8, 2, 0.3
 _DEGREE = """,
 deg AS (SELECT n.repo, n.id, n.kind, n.name, n.path, (SELECT count(*) FROM edges e WHERE e.repo = n.repo AND e.dst = n.id) AS fan_in, (SELECT count(*) FROM edges e WHERE e.repo = n.repo AND e.src = n.id) AS fan_out FROM nodes n)"""
 _LOCATED = "," + CHANGES_SQL + """,
-located AS (SELECT c.repo, c.path, c.line, coalesce(arg_min(n.id, (-n.line, n.id)) FILTER (lower(n.kind) <> 'file' AND n.line <= c.line), min(n.id) FILTER (lower(n.kind) = 'file'),
-   arg_min(n.id, (n.line, n.id))) AS id FROM changes c JOIN nodes n ON n.repo = c.repo AND n.path = c.path GROUP BY 1, 2, 3)"""
+at_path AS (SELECT c.repo, c.path, c.line AS wanted, n.id, n.kind, n.line FROM changes c JOIN nodes n ON n.repo = c.repo AND (replace(n.path, chr(92), '/') = c.path OR ends_with(replace(n.path, chr(92), '/'), '/' || c.path))),
+located AS (SELECT repo, path, wanted AS line, coalesce(arg_min(id, (-line, id)) FILTER (lower(kind) <> 'file' AND line <= wanted), min(id) FILTER (lower(kind) = 'file'),
+   arg_min(id, (line, id))) AS id FROM at_path GROUP BY 1, 2, 3)"""
 _HUBS = _DEGREE + ", hubs AS (SELECT repo, id FROM deg QUALIFY row_number() OVER (PARTITION BY repo ORDER BY fan_in DESC, id) = 1), roots AS (SELECT repo, id FROM deg QUALIFY row_number() OVER (PARTITION BY repo ORDER BY fan_out DESC, id) = 1)"
 
 
+# Nothing in the test tables looks like a test by its path, so tests are here what the 'audit' team owns.
+_GAPS = """, t AS (SELECT repo, id, path, kind, coalesce(owner = 'audit', false) AS test FROM nodes),
+g AS (SELECT t.repo, t.id, t.path, count(e.src) AS callers, coalesce(bool_or(s.test), false) AS covered FROM t LEFT JOIN edges e ON e.repo = t.repo AND e.dst = t.id LEFT JOIN t s ON s.repo = e.repo AND s.id = e.src
+  WHERE lower(t.kind) IN ('function', 'method') AND NOT t.test GROUP BY 1, 2, 3),
+gaps AS (SELECT repo, id, path, callers, covered, NOT covered AND (callers >= 2 OR contains(lower(path), 'core') OR contains(lower(path), 'api')) AS critical, CAST(CASE WHEN covered THEN 0.0 ELSE round(least(callers * 0.25 + 0.3, 0.98), 6) END AS DOUBLE) AS risk FROM g)"""
+
+
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    return structure.test_gaps(*graph(spark, d), F.coalesce(F.col("owner") == "audit", F.lit(False)))
+
+
 def hubs(nodes: DataFrame, edges: DataFrame, by: str = "fan_in") -> DataFrame:
     """Each repository's node of the greatest degree."""
     return traverse.last(traverse.degrees(nodes, edges), ["repo"], [F.col(by).desc(), "id"]).select("repo", "id")
@@ -107,8 +119,7 @@ def impact_summary_of(rows: DataFrame, key: str = "repo") -> DataFrame:
 
 
 _IMPACT = _HUBS + """,
-walk(repo, id, depth) AS (SELECT repo, id, 0 FROM hubs UNION SELECT w.repo, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.dst = w.id WHERE w.depth < 32),
-near AS (SELECT repo, id, min(depth) AS depth FROM walk GROUP BY 1, 2),
+near(repo, id, depth) USING KEY (repo, id) AS (SELECT repo, id, 0 FROM hubs UNION SELECT w.repo, e.src, min(w.depth + 1) FROM near w JOIN edges e ON e.repo = w.repo AND e.dst = w.id LEFT JOIN recurring.near o ON o.repo = e.repo AND o.id = e.src WHERE o.id IS NULL GROUP BY 1, 2),
 imp AS (SELECT repo, id, depth, round(greatest(0.95 * pow(0.85, depth - 1), 0.25), 6) AS confidence, CASE WHEN depth = 1 THEN 'compile_break' ELSE 'behavioural' END AS impact_kind FROM near WHERE depth > 0)"""
 _SUMMARY = """ SELECT {key} AS repo, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS indirect, max(depth) AS depth,
  round(least((2 * count(*) FILTER (depth = 1) + count(*) FILTER (depth > 1)) / 20 + least(0.08 * max(depth), 0.24), 1.0), 6) AS risk,
@@ -129,17 +140,17 @@ def impact_summary(spark: SparkSession, d: str) -> DataFrame:
 
 _SESSION = _LOCATED + """,
 seed AS (SELECT DISTINCT repo || ' ' || path AS key, repo, id FROM located),
-walk(key, repo, id, depth) AS (SELECT key, repo, id, 0 FROM seed UNION SELECT w.key, w.repo, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.dst = w.id WHERE w.depth < 3),
-near AS (SELECT key, repo, id, min(depth) AS depth FROM walk GROUP BY 1, 2, 3),
-each AS (SELECT key, any_value(repo) AS repo, least((2 * count(*) FILTER (depth = 1) + count(*) FILTER (depth > 1)) / 20 + least(0.08 * max(depth), 0.24), 1.0) AS risk FROM near WHERE depth > 0 GROUP BY 1)
-SELECT r.repo, count(*) AS changes, (SELECT count(DISTINCT id) FROM near n WHERE n.repo = r.repo AND depth > 0) AS nodes,
- (SELECT count(DISTINCT m.path) FROM near n JOIN nodes m ON m.repo = n.repo AND m.id = n.id WHERE n.repo = r.repo AND n.depth > 0) AS files, round(max(risk), 6) AS max_risk, round(avg(risk), 6) AS mean_risk
-FROM each r GROUP BY r.repo"""
+near(key, repo, id, depth) USING KEY (key, repo, id) AS (SELECT key, repo, id, 0 FROM seed UNION SELECT w.key, w.repo, e.src, min(w.depth + 1) FROM near w JOIN edges e ON e.repo = w.repo AND e.dst = w.id LEFT JOIN recurring.near o ON o.key = w.key AND o.repo = e.repo AND o.id = e.src WHERE o.id IS NULL GROUP BY 1, 2, 3),
+each AS (SELECT key, least((2 * count(*) FILTER (depth = 1) + count(*) FILTER (depth > 1)) / 20 + least(0.08 * max(depth), 0.24), 1.0) AS risk FROM near WHERE depth > 0 GROUP BY 1),
+wide AS (SELECT repo, count(DISTINCT id) AS nodes, count(DISTINCT path) AS files, count(DISTINCT id) FILTER ((repo, id) IN (SELECT g.repo, g.path || '::' || n.name FROM gaps g JOIN nodes n USING (repo, id) WHERE g.critical)) AS untested
+  FROM (SELECT DISTINCT n.repo, n.id, m.path FROM near n JOIN nodes m ON m.repo = n.repo AND m.id = n.id WHERE n.depth > 0) GROUP BY 1)
+SELECT c.repo, count(*) AS changes, coalesce(any_value(w.nodes), 0) AS nodes, coalesce(any_value(w.files), 0) AS files, coalesce(any_value(w.untested), 0) AS untested, round(max(coalesce(r.risk, 0)), 6) AS max_risk, round(avg(coalesce(r.risk, 0)), 6) AS mean_risk
+FROM changes c LEFT JOIN each r ON r.key = c.repo || ' ' || c.path LEFT JOIN wide w ON w.repo = c.repo GROUP BY c.repo"""
 
 
-@query(GRAPH_SQL + _SESSION)
+@query(GRAPH_SQL + _GAPS + _SESSION)
 def session_impact(spark: SparkSession, d: str) -> DataFrame:
-    """All changes of a repository as one session: whole impact of each, then distinct nodes and files, worst and mean risk.
+    """All changes of a repository as one session: whole impact of each, then distinct nodes and files, untested hot paths among them, worst and mean risk.
 
     A change without any impact counts as one of risk 0.
     """
@@ -149,8 +160,10 @@ def session_impact(spark: SparkSession, d: str) -> DataFrame:
     got = stage(reach_each(edges, seeds).where("depth > 0"), "got")
     risk = F.least((2 * F.count(F.when(F.col("depth") == 1, 1)) + F.count(F.when(F.col("depth") > 1, 1))) / 20 + F.least(0.08 * F.max("depth"), F.lit(0.24)), F.lit(1.0))
     each = changed.select("repo", F.concat_ws(" ", "repo", "path").alias("key")).join(got.groupBy("key").agg(risk.alias("risk")), "key", "left").fillna(0.0, ["risk"])
-    wide = got.join(nodes.select("repo", "id", "path"), ["repo", "id"]).groupBy("repo").agg(F.countDistinct("id").alias("nodes"), F.countDistinct("path").alias("files"))
-    return each.groupBy("repo").agg(F.count(F.lit(1)).alias("changes"), F.round(F.max("risk"), 6).alias("max_risk"), F.round(F.avg("risk"), 6).alias("mean_risk")).join(wide, "repo", "left").fillna(0, ["nodes", "files"])
+    risky = _gaps(spark, d).where("critical").join(nodes.select("repo", "id", "name"), ["repo", "id"]).select("repo", F.concat_ws("::", "path", "name").alias("id"), F.lit(True).alias("untested")).distinct()
+    wide = got.select("repo", "id").distinct().join(nodes.select("repo", "id", "path"), ["repo", "id"]).join(risky, ["repo", "id"], "left").groupBy("repo").agg(
+        F.count(F.lit(1)).alias("nodes"), F.countDistinct("path").alias("files"), F.count("untested").alias("untested"))
+    return each.groupBy("repo").agg(F.count(F.lit(1)).alias("changes"), F.round(F.max("risk"), 6).alias("max_risk"), F.round(F.avg("risk"), 6).alias("mean_risk")).join(wide, "repo", "left").fillna(0, ["nodes", "files", "untested"])
 
 
 def reach_each(edges: DataFrame, seeds: DataFrame, most: int = 5_000_000) -> DataFrame:
@@ -193,19 +206,11 @@ def _walk_each(links: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
 def reach_shared(links: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """Reverse reach of many keys over one shared set of edges (src, dst), which is not copied for each key. Without depth, to the end."""
     steps = links.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
-    front = stage(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)), "front")
-    seen = front
-    for n in traverse.rounds(depth):
-        new = front.join(steps, "node").select("key", F.col("next").alias("node")).distinct().join(seen.select("key", "node"), ["key", "node"], "left_anti")
-        front = stage(new.withColumn("depth", F.lit(n)), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    return traverse.spread(seeds.select("key", "node").distinct(), steps, ["node"], ["key", "node"], depth)
 
 
 @query(GRAPH_SQL + _HUBS + """,
-walk(repo, id, depth) AS (SELECT repo, id, 0 FROM hubs UNION SELECT w.repo, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.dst = w.id WHERE w.depth < 4)
+walk(repo, id, depth) AS (SELECT repo, id, 0 FROM hubs UNION SELECT w.repo, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.dst = w.id WHERE w.depth < 32)
 SELECT repo, id, min(depth) AS depth, (id IN (SELECT node_id FROM observed_spans)) AS observed FROM walk GROUP BY repo, id""")
 def failure_cone(spark: SparkSession, d: str) -> DataFrame:
     """Everything that may fail with the hub, to the greatest depth of cones, and whether it was ever observed running."""
@@ -228,22 +233,13 @@ def causal_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth:
         base = F.when(F.col("kind") == kind, value).otherwise(base)
     linked = edges.join(own.withColumnRenamed("id", "src").withColumnRenamed("path", "p1"), ["repo", "src"]).join(own.withColumnRenamed("id", "dst").withColumnRenamed("path", "p2"), ["repo", "dst"])
     sure = F.greatest(F.lit(0.5), F.least(F.lit(1.0), base + F.when(F.col("p1") == F.col("p2"), 0.01).otherwise(0.0)))
-    linked = stage(linked.select(F.col("repo").alias("key"), "src", "dst", F.col("eid").alias("seq"), sure.alias("c")), "linked")
-    tree = stage(traverse.paths(linked, sources.select(F.col("repo").alias("key"), F.col("id").alias("node")), depth), "tree")
-    rows = tree.where("depth = 0").select("key", "node", "depth", F.lit(1.0).alias("confidence"), F.col("node").alias("path"))
-    out = rows
-    for n in range(1, (tree.agg(F.max("depth")).first()[0] or 0) + 1):
-        # the tree's edge by its id and target; parallel edges have ids of their own
-        level = tree.where(F.col("depth") == n).join(linked.select("key", F.col("dst").alias("node"), F.col("seq").alias("via"), "src", "c"), ["key", "node", "via"])
-        rows = stage(level.join(rows.select("key", F.col("node").alias("src"), F.col("confidence").alias("c0"), F.col("path").alias("above")), ["key", "src"]).select(
-            "key", "node", "depth", (F.col("c0") * F.col("c")).alias("confidence"), F.concat_ws(" > ", "above", "node").alias("path")
-        ), "level")
-        out = out.unionByName(rows)
-    return out.select(F.col("key").alias("repo"), F.col("node").alias("id"), "depth", F.round("confidence", 6).alias("confidence"), "path")
+    steps = linked.select(F.col("repo").alias("key"), F.col("src").alias("node"), F.col("dst").alias("next"), F.col("eid").alias("seq"), sure.alias("c"))
+    got = traverse.path_trees(steps, sources.select(F.col("repo").alias("key"), F.col("id").alias("node")), depth)
+    return got.select(F.col("key").alias("repo"), F.col("node").alias("id"), "depth", F.round("confidence", 6).alias("confidence"), "path")
 
 
 @query(GRAPH_SQL + _HUBS + """,
-walk(repo, id, depth) AS (SELECT repo, id, 0 FROM roots UNION SELECT w.repo, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.src = w.id WHERE w.depth < 6),
+walk(repo, id, depth) AS (SELECT repo, id, 0 FROM roots UNION SELECT w.repo, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.src = w.id WHERE w.depth < 32),
 near AS (SELECT repo, id, min(depth) AS depth FROM walk GROUP BY 1, 2),
 via AS (SELECT b.repo, b.id, b.depth, arg_min(e.src, e.eid) AS src, arg_min(e.kind, e.eid) AS kind FROM near b JOIN edges e ON e.repo = b.repo AND e.dst = b.id JOIN near a ON a.repo = e.repo AND a.id = e.src AND a.depth = b.depth - 1 GROUP BY 1, 2, 3),
 pth(repo, id, depth, confidence, path) AS (SELECT repo, id, 0, CAST(1.0 AS DOUBLE), id FROM roots UNION ALL SELECT v.repo, v.id, v.depth, p.confidence * greatest(0.5, least(1.0,
@@ -289,17 +285,18 @@ def decoupling_plan(spark: SparkSession, d: str) -> DataFrame:
     return structure.cycles(edges).join(traverse.degrees(nodes, edges), ["repo", "id"]).select("repo", "component", "id", "fan_in", "fan_out")
 
 
-@query(GRAPH_SQL + """, names AS (SELECT DISTINCT repository AS repo, c.callee_name AS q FROM (SELECT repository, unnest(calls) AS c FROM file_analyses) WHERE c.callee_name IS NOT NULL)
-SELECT q.repo, q.q AS name, CASE WHEN count(n.id) = 1 THEN min(n.id) END AS id, count(n.id) AS candidates FROM names q JOIN nodes n ON n.repo = q.repo AND (n.id = q.q OR n.id LIKE '%::' || q.q) GROUP BY 1, 2""")
+@query(GRAPH_SQL + """, asked AS (SELECT DISTINCT repository AS repo, array_to_string(p[greatest(len(p) - 1, 1):], '/') AS q FROM (SELECT repository, string_split(replace(path, chr(92), '/'), '/') AS p FROM file_analyses WHERE path IS NOT NULL AND repository IS NOT NULL)
+  UNION SELECT repository, array_to_string(p[greatest(len(p) - 1, 1):], '/') || '::' || c.caller_name FROM (SELECT repository, string_split(replace(path, chr(92), '/'), '/') AS p, unnest(calls) AS c FROM file_analyses WHERE path IS NOT NULL AND repository IS NOT NULL) WHERE c.caller_name IS NOT NULL),
+m AS (SELECT repo, id, replace(id, chr(92), '/') AS i, CASE WHEN lower(kind) = 'file' THEN replace(path, chr(92), '/') END AS p FROM nodes)
+SELECT q.repo, q.q AS name, CASE WHEN count(m.id) = 1 THEN min(m.id) END AS id, count(m.id) AS candidates FROM asked q JOIN m ON m.repo = q.repo AND (m.i = q.q OR ends_with(m.i, '/' || q.q) OR m.p = q.q OR ends_with(m.p, '/' || q.q)) GROUP BY 1, 2""")
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names to node ids: an exact id or the last part of one, if only one node has it."""
-    nodes = graph(spark, d)[0]
-    names = table(spark, d, "file_analyses").select(F.col("repository").alias("repo"), F.explode(F.transform("calls", lambda c: c["callee_name"])).alias("name")).where("name IS NOT NULL").distinct()
-    parts = F.split("id", "::")
-    # every suffix of an id that starts after '::', and the id itself
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
-    keys = nodes.select("repo", "id", F.explode(F.array_distinct(ends)).alias("name"))
-    return names.join(keys, ["repo", "name"]).groupBy("repo", "name").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("id")).select("repo", "name", F.when(F.col("candidates") == 1, F.col("id")).alias("id"), "candidates")
+    """Names to node ids: an id or its tail from a path part on, or a file by its path or a tail of it, if only one node has it. Asked are files and callers by their last two path parts."""
+    files = table(spark, d, "file_analyses").where("path IS NOT NULL AND repository IS NOT NULL")
+    parts = F.split(F.translate("path", "\\", "/"), "/")
+    near = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "/")
+    files = files.select(F.col("repository").alias("repo"), near.alias("near"), "calls")
+    callers = files.select("repo", "near", F.explode("calls").alias("c")).where("c.caller_name IS NOT NULL").select("repo", F.concat_ws("::", "near", "c.caller_name").alias("name"))
+    return traverse.resolve_ids(graph(spark, d)[0], files.select("repo", F.col("near").alias("name")).unionByName(callers).distinct())
 
 
 @query(TWO_GRAPHS_SQL + """, a AS (SELECT repo, 'node' AS record, id AS key FROM nodes UNION SELECT repo, 'edge', lower(src || '->' || dst || '/' || kind) FROM edges),
@@ -397,7 +394,7 @@ def drift_circular(spark: SparkSession, d: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph(spark, d)
+    nodes, edges = (stage(x, "graph") for x in graph(spark, d))
     members = structure.path_boundaries(nodes).unionByName(structure.naming_boundaries(nodes, SUFFIXES))
     return structure.all_violations(nodes, edges, members, structure.rule_table(spark, PATH_RULES), LAYER_ORDER, GOD, UNSTABLE_IN, UNSTABLE)
 
@@ -438,29 +435,30 @@ def drift_search(spark: SparkSession, d: str) -> DataFrame:
     return violations(spark, d).where(text.contains("ledger")).select("repo", "kind", "src", "dst")
 
 
-@query(GRAPH_SQL + _LOCATED + f""",
-walk(repo, id, depth) AS (SELECT DISTINCT repo, id, 0 FROM located UNION SELECT w.repo, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.repo = w.repo AND e.src = w.id WHERE w.depth < 32),
-keep AS (SELECT DISTINCT repo, id FROM walk), sub AS (SELECT e.* FROM edges e JOIN keep a ON a.repo = e.repo AND a.id = e.src JOIN keep b ON b.repo = e.repo AND b.id = e.dst),
-deg AS (SELECT k.repo, k.id, (SELECT count(*) FROM sub e WHERE e.repo = k.repo AND e.dst = k.id) AS fan_in, (SELECT count(*) FROM sub e WHERE e.repo = k.repo AND e.src = k.id) AS fan_out FROM keep k)
-SELECT repo, id, fan_in, fan_out FROM deg WHERE fan_in > {GOD} OR fan_out > {GOD}""")
+_INCREMENTAL = "WITH RECURSIVE " + _graph_sql(0, "_all") + "," + CHANGES_SQL + """,
+first AS (SELECT n.repo, arg_min(n.id, (lower(n.kind) <> 'file', n.line, n.id)) AS id FROM nodes_all n JOIN changes c ON c.repo = n.repo AND c.path = n.path GROUP BY n.repo, n.path),
+part(repo, id) AS (SELECT repo, id FROM first UNION SELECT w.repo, e.dst FROM part w JOIN edges_all e ON e.repo = w.repo AND e.src = w.id),
+nodes AS (SELECT n.* FROM nodes_all n JOIN part USING (repo, id)), edges AS (SELECT e.* FROM edges_all e JOIN part a ON a.repo = e.repo AND a.id = e.src JOIN part b ON b.repo = e.repo AND b.id = e.dst)""" + _ALL.replace("replace(path, chr(92), '/') AS path FROM nodes)", "replace(path, chr(92), '/') AS path FROM nodes_all)").replace("END AS boundary FROM nodes), mb", "END AS boundary FROM nodes_all), mb")
+
+
+@query(_INCREMENTAL + " SELECT repo, kind, src, dst, boundary, severity, rank FROM violations")
 def drift_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Rules over only what the changed files lead to: here, too many dependencies within that part."""
+    """All rules over only what the changed files lead to; boundaries are those of the whole."""
     nodes, edges = graph(spark, d)
-    seeds = traverse.locate(nodes, changes(spark, d)).select(F.col("repo").alias("key"), F.col("id").alias("node"))
-    keep = traverse.reach(edges.select(F.col("repo").alias("key"), "src", "dst"), seeds).select(F.col("key").alias("repo"), F.col("node").alias("id"))
-    sub = edges.join(keep.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(keep.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi")
-    return structure.god_objects(keep, sub, GOD)
+    seeds = traverse.first_node(nodes, changes(spark, d)).select(F.col("repo").alias("key"), F.col("id").alias("node"))
+    part = stage(traverse.reach(edges.select(F.col("repo").alias("key"), "src", "dst"), seeds).select(F.col("key").alias("repo"), F.col("node").alias("id")).distinct(), "part")
+    sub = edges.join(part.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(part.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi")
+    members = structure.path_boundaries(nodes).unionByName(structure.naming_boundaries(nodes, SUFFIXES))
+    return structure.all_violations(nodes.join(part, ["repo", "id"], "left_semi"), stage(sub, "sub"), members, structure.rule_table(spark, PATH_RULES), LAYER_ORDER, GOD, UNSTABLE_IN, UNSTABLE)
 
 
-# Nothing in the test tables looks like a test by its path, so tests are here what the 'audit' team owns.
-_GAPS = """, t AS (SELECT repo, id, path, kind, coalesce(owner = 'audit', false) AS test FROM nodes),
-g AS (SELECT t.repo, t.id, t.path, count(e.src) AS callers, coalesce(bool_or(s.test), false) AS covered FROM t LEFT JOIN edges e ON e.repo = t.repo AND e.dst = t.id LEFT JOIN t s ON s.repo = e.repo AND s.id = e.src
-  WHERE lower(t.kind) IN ('function', 'method') AND NOT t.test GROUP BY 1, 2, 3),
-gaps AS (SELECT repo, id, path, callers, covered, NOT covered AND (callers >= 2 OR contains(lower(path), 'core') OR contains(lower(path), 'api')) AS critical, CAST(CASE WHEN covered THEN 0.0 ELSE round(least(callers * 0.25 + 0.3, 0.98), 6) END AS DOUBLE) AS risk FROM g)"""
+@query(GRAPH_SQL + "," + CHANGES_SQL + " SELECT n.repo, n.path, arg_min(n.id, (lower(n.kind) <> 'file', n.line, n.id)) AS id FROM nodes n JOIN changes c ON c.repo = n.repo AND c.path = n.path GROUP BY 1, 2")
+def find_by_path(spark: SparkSession, d: str) -> DataFrame:
+    """The node that stands for each changed file."""
+    return traverse.first_node(graph(spark, d)[0], changes(spark, d))
 
 
-def _gaps(spark: SparkSession, d: str) -> DataFrame:
-    return structure.test_gaps(*graph(spark, d), F.coalesce(F.col("owner") == "audit", F.lit(False)))
+# test gaps and clones
 
 
 @query(GRAPH_SQL + _GAPS + " SELECT * FROM gaps")

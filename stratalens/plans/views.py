@@ -19,30 +19,39 @@ def latest_snapshots(spark: SparkSession, d: str, back: int = 0) -> DataFrame:
 def graph(spark: SparkSession, d: str, back: int = 0) -> tuple[DataFrame, DataFrame]:
     """nodes(repo, id, kind, name, path, line, owner) and edges(repo, src, dst, kind, eid) of the latest snapshots.
 
-    One row per node id, and per edge (src, dst, kind); edges with both ends present.
+    One whole row per node id, and per edge (src, dst, kind); edges with both ends present.
     """
     snap = small(latest_snapshots(spark, d, back))
-    nodes = (
-        table(spark, d, "snapshot_nodes").where("node_id IS NOT NULL").join(snap, "snapshot_id").groupBy("repo", F.col("node_id").alias("id"))
-        .agg(*[F.min(c).alias(c) for c in ("kind", "name", "path")], F.min("line").alias("line"), F.min(F.col("metadata")["owner"]).alias("owner"))
+    nodes = first_rows(
+        table(spark, d, "snapshot_nodes").where("node_id IS NOT NULL").join(snap, "snapshot_id").select("repo", F.col("node_id").alias("id"), "kind", "name", "path", "line", F.col("metadata")["owner"].alias("owner")), ["repo", "id"]
     )
     ends = nodes.select("repo", "id")
-    edges = (
-        table(spark, d, "snapshot_edges").join(snap, "snapshot_id").groupBy("repo", F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lower("kind").alias("kind"))
-        .agg(F.min("edge_id").alias("eid"), F.min(F.col("metadata")["line"]).alias("call_line"))
-        .join(ends.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(ends.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi")
-    )
+    edges = first_rows(
+        table(spark, d, "snapshot_edges").join(snap, "snapshot_id").select("repo", F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lower("kind").alias("kind"), F.col("edge_id").alias("eid"), F.col("metadata")["line"].alias("call_line")),
+        ["repo", "src", "dst", "kind"],
+    ).join(ends.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(ends.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi")
     return nodes, edges
 
 
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One whole row for each key, the first in the order of its other columns, nulls last: copies that contradict each other are never mixed."""
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*[x for c in rest for x in (F.col(c).isNull().alias(f"null_{c}"), F.col(c))])
+    return df.groupBy(*keys).agg(F.min(order).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
+
+
+def _first_sql(keys: str, order: str) -> str:
+    return f"QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {order}) = 1"
+
+
 def _graph_sql(back: int, suffix: str = "") -> str:
     return f"""
 snap{suffix} AS (SELECT snapshot_id, repo FROM (SELECT snapshot_id, min(repository) AS repo, min(taken_at) AS t FROM snapshots GROUP BY 1)
   QUALIFY row_number() OVER (PARTITION BY repo ORDER BY t DESC NULLS LAST, snapshot_id DESC) = {back + 1}),
-nodes{suffix} AS (SELECT repo, node_id AS id, min(kind) AS kind, min(name) AS name, min(path) AS path, min(line) AS line, min(element_at(metadata, 'owner')[1]) AS owner
-  FROM snapshot_nodes JOIN snap{suffix} USING (snapshot_id) WHERE node_id IS NOT NULL GROUP BY 1, 2),
-edges{suffix} AS (SELECT repo, from_id AS src, to_id AS dst, lower(e.kind) AS kind, min(edge_id) AS eid, min(element_at(metadata, 'line')[1]) AS call_line FROM snapshot_edges e JOIN snap{suffix} USING (snapshot_id)
-  WHERE EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = snap{suffix}.repo AND n.id = e.from_id) AND EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = snap{suffix}.repo AND n.id = e.to_id) GROUP BY 1, 2, 3, 4)"""
+nodes{suffix} AS (SELECT repo, node_id AS id, kind, name, path, line, element_at(metadata, 'owner')[1] AS owner FROM snapshot_nodes JOIN snap{suffix} USING (snapshot_id) WHERE node_id IS NOT NULL
+  {_first_sql('repo, node_id', "kind, name, path, line, element_at(metadata, 'owner')[1]")}),
+edges{suffix} AS (SELECT * FROM (SELECT repo, from_id AS src, to_id AS dst, lower(e.kind) AS kind, edge_id AS eid, element_at(metadata, 'line')[1] AS call_line FROM snapshot_edges e JOIN snap{suffix} USING (snapshot_id)) x
+  WHERE EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = x.repo AND n.id = x.src) AND EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = x.repo AND n.id = x.dst) {_first_sql('repo, src, dst, kind', 'eid, call_line')})"""
 
 
 GRAPH_SQL = "WITH RECURSIVE " + _graph_sql(0)
@@ -85,25 +94,22 @@ WITH RECURSIVE spans AS (SELECT lower(trace_id) AS t, lower(span_id) AS v, nulli
 
 
 def facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """entities(id, kind, name, repo, path, attributes) and facts(fact_id, src, dst, rel, ev, conf, cond, ms, metadata), one row per id.
+    """entities(id, kind, name, repo, path) and facts(fact_id, src, dst, rel, ev, conf, cond, ms), one whole row per id.
 
     Facts need a source and target that are known entities and a confidence from 0 to 1.
     """
-    entities = (
-        table(spark, d, "causal_entities").where("entity_id IS NOT NULL").groupBy(F.col("entity_id").alias("id"))
-        .agg(F.min("kind").alias("kind"), F.min("name").alias("name"), F.min("repository").alias("repo"), F.min("path").alias("path"))
-    )
-    rows = (
-        table(spark, d, "causal_facts").where("fact_id IS NOT NULL AND confidence >= 0 AND confidence <= 1").groupBy("fact_id")
-        .agg(F.min("from_id").alias("src"), F.min("to_id").alias("dst"), F.min("relation").alias("rel"), F.min("evidence").alias("ev"), F.min("confidence").alias("conf"), F.min("cond").alias("cond"), F.min("timestamp_ms").alias("ms"))
+    entities = first_rows(table(spark, d, "causal_entities").where("entity_id IS NOT NULL").select(F.col("entity_id").alias("id"), "kind", "name", F.col("repository").alias("repo"), "path"), ["id"])
+    rows = first_rows(
+        table(spark, d, "causal_facts").where("fact_id IS NOT NULL AND confidence >= 0 AND confidence <= 1")
+        .select("fact_id", F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("relation").alias("rel"), F.col("evidence").alias("ev"), F.col("confidence").alias("conf"), "cond", F.col("timestamp_ms").alias("ms")), ["fact_id"]
     )
     known = entities.select("id")
     rows = rows.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return entities, rows
 
 
-FACTS_SQL = """
-WITH RECURSIVE entities AS (SELECT entity_id AS id, min(kind) AS kind, min(name) AS name, min(repository) AS repo, min(path) AS path FROM causal_entities WHERE entity_id IS NOT NULL GROUP BY 1),
-facts AS (SELECT fact_id, min(from_id) AS src, min(to_id) AS dst, min(relation) AS rel, min(evidence) AS ev, min(confidence) AS conf, min(cond) AS cond, min(timestamp_ms) AS ms
-  FROM causal_facts WHERE confidence >= 0 AND confidence <= 1 AND fact_id IS NOT NULL GROUP BY 1
-  HAVING min(from_id) IN (SELECT id FROM entities) AND min(to_id) IN (SELECT id FROM entities))"""
+FACTS_SQL = f"""
+WITH RECURSIVE entities AS (SELECT entity_id AS id, kind, name, repository AS repo, path FROM causal_entities WHERE entity_id IS NOT NULL {_first_sql('entity_id', 'kind, name, repository, path')}),
+facts AS (SELECT * FROM (SELECT fact_id, from_id AS src, to_id AS dst, relation AS rel, evidence AS ev, confidence AS conf, cond, timestamp_ms AS ms
+  FROM causal_facts WHERE confidence >= 0 AND confidence <= 1 AND fact_id IS NOT NULL {_first_sql('fact_id', 'from_id, to_id, relation, evidence, confidence, cond, timestamp_ms')})
+  WHERE src IN (SELECT id FROM entities) AND dst IN (SELECT id FROM entities))"""

@@ -58,7 +58,7 @@ def test_asof_against_brute_force(spark):
 def test_paths(spark):
     df = spark.createDataFrame([("src/a/b.ts", "./c"), ("src/a/b.ts", "../d/./e"), ("b.ts", "../../x"), ("s\\a\\b.py", ".c"), ("m.rs", "crate::x::y"), ("m.py", "x.y"), ("m.ts", "@s/p/q")], "path string, source string")
     got = [r.c[0] for r in df.select(paths.candidates(F.col("path"), F.col("source")).alias("c")).collect()]
-    assert got == ["src/a/c", "src/d/e", "x", "s/a/.c", "x/y", "x/y", "@s/p/q"]
+    assert got == ["src/a/c", "src/d/e", "x", "s/a/.c", "src/x/y", "x/y", "@s/p/q"]
     assert [r.p for r in df.select(paths.external_root(F.col("source")).alias("p")).collect()] == [None, None, None, None, None, "x", "@s/p"]
 
 
@@ -100,11 +100,11 @@ def test_constraints(spark, rows):
 def test_taint_stops_at_sanitisers(spark, rows):
     f = spark.createDataFrame([(1, "s", "a", "calls", 1.0), (2, "a", "k", "writes", 1.0), (3, "s", "b", "sanitizes", 1.0), (4, "b", "m", "writes", 1.0), (5, "s", "t", "trust_boundary", 1.0), (6, "t", "k", "calls", 1.0), (7, "k", "z", "writes", 1.0)], "fact_id int, src string, dst string, rel string, conf double")
     one = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
-    assert rows(causality.taint(f, one("s"), one("k", "m", "z"), 8), "source", "sink", "depth", "boundary") == [("s", "k", 2, True)]
+    assert rows(causality.taint(f, one("s"), one("k", "m", "z"), 8), "sink", "depth", "boundary") == [("k", 2, True)]
 
 
 def test_hotspots_merge_and_history_facts(spark, rows):
-    h = spark.createDataFrame([("a", {"cpu_ms": "100", "error_rate": "0.1"}), ("b", {"cpu_ms": "0"}), ("c", {"latency_ms": "x"}), ("d", None)], "id string, attributes map<string,string>")
+    h = spark.createDataFrame([("a", {"runtime.cpu_ms": "100", "runtime.error_rate": "0.1"}), ("b", {"runtime.cpu_ms": "0"}), ("c", {"runtime.latency_ms": "x"}), ("d", None)], "id string, attributes map<string,string>")
     assert rows(causality.runtime_hotspots(h)) == [("a", 3.0)]
     b = spark.createDataFrame([(2, "x", "k2", None, "r", None, {"p": "2", "q": "2"}), (1, "x", None, "n1", None, None, {"p": "1"}), (3, "y", "k", None, None, None, None)], "ord int, id string, kind string, name string, repo string, path string, attributes map<string,string>")
     got = {r.id: r for r in causality.merge_entities(b).collect()}
