@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from stratalens.llm import quality
@@ -72,9 +73,58 @@ def test_empty_and_tiny_tables(spark):
     assert quality.quality(one, words.limit(0)).count() == 2
 
 
-def test_hash_of_pairs_is_stable():
-    facts = [quality.token_facts(t)[1] for t in "Of the, (of a/b the) the".split()]
-    near, first = quality.word_pairs(facts)
-    assert facts[0] == facts[2] and facts[3] == 0 and len(near) == 3 and near[0] != near[1] and first[1] == first[2] and max(near) < quality.PAIR_BUCKETS
-    assert len(quality.word_pairs([])[0]) == len(quality.word_pairs([5])[0]) == 0
+def test_pairs_of_words_within_segments():
+    tokens = quality.Tokens({"en": frozenset(["of", "the"])})
+    numbers = tokens.of("Of the, (of a/b the) the".split())[:, 1]
+    at, pair, first = quality.word_pairs(numbers, np.array([0]))
+    assert numbers[0] == numbers[2] and numbers[3] == 0 and list(at) == [0, 1, 4] and pair[0] != pair[1] and first[1] == first[2]
+    assert list(quality.word_pairs(numbers, np.array([0, 1, 1]))[0]) == [1, 4]
+    assert len(quality.word_pairs(numbers[:0], np.array([], int))[0]) == len(quality.word_pairs(numbers[:1], np.array([0]))[0]) == 0
     assert abs(quality.chi_squared(0.995, 12) - 28.2995) < 0.1
+
+
+def test_pairs_never_seen_stay_near_zero_in_full_tables():
+    """With eight times as many pairs as cells, what was never seen still counts next to nothing, and a frequent pair keeps its count."""
+    rng = np.random.default_rng(1)
+    size = 1 << 12
+    hashes = quality.mixed(np.arange(1, 8 * size + 1, dtype=np.uint64))
+    counts = rng.integers(1, 4, len(hashes))
+    counts[0] = 5000
+    rows = quality.expected([np.bincount(cells, counts, size) for cells in quality.buckets(hashes, size)])
+    of = lambda h: np.minimum(*[row[c] for row, c in zip(rows, quality.buckets(h, size))])
+    unseen = of(quality.mixed(np.arange(10**6, 10**6 + 2000, dtype=np.uint64)))
+    assert np.median(np.maximum(unseen, 0)) == 0 and np.quantile(unseen, 0.9) < 10 and abs(of(hashes[:1])[0] - 5000) < 50
+
+
+def test_short_segments_are_joined():
+    short, long = (9, ["Home page"]), (50, ["x" * 50])
+    assert quality.joined([short, short, long]) == [(18, ["Home page", "Home page"]), long]
+    assert quality.joined([short, long, short]) == [(68, long[1])] and quality.joined([short]) == [short] and quality.joined([]) == []
+    assert sum(n for n, _ in quality.joined([short, long, short, short, long, short])) == 136
+
+
+def test_lists_in_short_blocks_weigh_in(spark):
+    """A menu of short blocks isn't outvoted by one sentence of forty characters."""
+    rng = random.Random(8)
+    docs = [(i, prose(rng, 4)) for i in range(200)] + [(900, "\n\n".join(f"{n} > {m} | {i}" for i, (n, m) in enumerate(zip(NOUNS * 3, WORDS))) + "\n\nThis is what we know about it now, as they say.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    words = spark.createDataFrame([("en", w) for w in WORDS], "lang string, word string")
+    assert {r.doc_id for r in quality.quality(df, words).where("outside_share > 0.5").collect()} == {900}
+
+
+def test_covariance_outweighs_its_floor(spark):
+    """Where prose varies, its own variance is the larger part of what deviations are measured by."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, prose(rng, 2 + i % 5) if i % 9 else junk(rng, "table")) for i in range(400)], "doc_id long, text string")
+    words = spark.createDataFrame([("en", w) for w in WORDS], "lang string, word string")
+    fits = {}
+    real = quality.fit_prose
+    quality.fit_prose = lambda *a: fits.update(real(*a)) or fits
+    try:
+        quality.quality(df, words).count()
+    finally:
+        quality.fit_prose = real
+    variance = np.diag(np.linalg.inv(fits["en"][1])) - quality.FLOOR**2
+    for name in ("common_words", "sentence_length", "word_count"):
+        assert variance[quality.NAMES.index(name)] > quality.FLOOR[quality.NAMES.index(name)] ** 2
+    assert {"word_count", "punctuated_lines", "word_length", "symbols", "common_words"} <= set(quality.NAMES)
