@@ -1,12 +1,18 @@
 """Evaluation texts leaking into training text.
 
-All runs of `words` consecutive words of the held-out items go, normalised, into one Aho-Corasick automaton; each
-document is normalised and scanned once. For documents with hits the scan is repeated over a text whose characters
-remember where they came from, so every leak is reported with its offsets in the original.
+All runs of `words` consecutive words of the held-out items go, normalised and without what parts their words, into
+one Aho-Corasick automaton; each document is normalised in the same way and scanned once. A hit's word boundaries are
+then held against the document's: whatever certainly parts words there must part them in the item, and where the item
+parts words the document must, or may, do so too.
 
-A word is a run of letters or digits after compatibility normalisation and case folding. Tags, character references
-and hyphens at line ends are layout: a text that has any is scanned a second time without them, and counts as
-leaking if either reading does.
+A word is a run of letters or digits after compatibility normalisation and case folding. What layout puts into a text
+may or may not part words, and is decided hit by hit and place by place: tags, hyphens at line ends, invisible
+characters. Character references stand for their characters. Whether something in angle brackets is a tag can't be
+told by itself, so a text that has any is scanned with all of them taken as tags, with only those of known elements
+or with attributes, and with none.
+
+For documents with hits, characters of the scanned form are traced back piece by piece, a piece being the shortest
+stretch that normalises by itself, so every leak is reported with its offsets in the original.
 
 The automaton's texts are sent to every worker, so their size is checked: beyond `block_chars` characters the items
 are split by hash into blocks, each of which is scanned for over all documents in its turn.
@@ -17,6 +23,7 @@ document or item count once; rows with a null id are left out; documents are nev
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -33,10 +40,22 @@ WORDS = 10
 BLOCK_CHARS = 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_LAYOUT = re.compile(
-    r"</?[A-Za-z!][^<>]*+>|&(?:[A-Za-z]{2,8}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});"
-    r"|(?<=[^\W\d_])[-‐­][ \t]*\r?\n[\s>*#|/;\-]*(?=[^\W\d_])|[­​-‍⁠﻿]"
-)
+#: Stands in scanned texts where layout may part words; texts that hold it themselves get a blank in its place.
+SOFT = ""
+_HYPHEN = r"(?<=[^\W\d_])[-‐­][ \t]*\r?\n[\s>*#|/;\-]*(?=[^\W\d_])"
+_INVISIBLE = "[­​-‍⁠﻿]"
+_REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]*+|#\d++|#[xX][0-9A-Fa-f]++);"
+_TAG = r"</?[A-Za-z!][^<>]*+>"
+#: Elements whose tags are markup for certain.
+ELEMENTS = (
+    "a abbr article aside b blockquote body br code dd del div dl dt em figure font footer h1 h2 h3 h4 h5 h6 head header hr html i img ins kbd li "
+    "link main mark meta nav ol p pre q s section small span strong style sub sup svg table tbody td th thead title tr tt u ul"
+).split()
+_MARKUP = rf"<(?:!(?:--)?|/?(?i:{'|'.join(ELEMENTS)})(?=[\s/>])|/|[A-Za-z][\w:-]*\s+[\w:-]+\s*=)[^<>]*+>"
+_SURE = f"{_REFERENCE}|{_HYPHEN}|{_INVISIBLE}"
+#: What is layout in each reading of a text.
+_READINGS = [re.compile(f"{tags}|{_SURE}" if tags else _SURE) for tags in (_TAG, _MARKUP, "")]
+_ANY = re.compile(f"<(?=[/A-Za-z!])|{SOFT}|{_SURE}")
 
 
 def fold(text: str) -> str:
@@ -45,100 +64,155 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
 
-def normal(text: str) -> str:
-    """The words in lower case, one blank before, between and after them."""
-    return " " + " ".join(_WORD.findall(fold(text))) + " "
-
-
 def _layout_as(m: re.Match) -> str:
     s = m.group()
-    if s[0] == "&":
-        return html.unescape(s)
-    return " " if s[0] == "<" else ""
+    return html.unescape(s) if s[0] == "&" else SOFT
+
+
+def forms(text: str) -> list[re.Pattern | None]:
+    """What to take as layout in each reading of the text that differs from those before; None for a text without any."""
+    if not _ANY.search(text):
+        return [None]
+    if "<" not in text:
+        return [_READINGS[2]]
+    found, out = [], []
+    for reading in _READINGS:
+        spans = [m.span() for m in reading.finditer(text)]
+        if spans not in found:
+            found.append(spans)
+            out.append(reading)
+    return out
 
 
-def readings(text: str) -> list[tuple[str, bool]]:
-    """Normal forms of the text: as it is and, if that differs, without layout."""
-    out = [(normal(text), False)]
-    if _LAYOUT.search(text):
-        out.append((normal(_LAYOUT.sub(_layout_as, text)), True))
-    return out
+def form(text: str, layout: re.Pattern | None) -> str:
+    """The folded text with marks where layout is."""
+    if layout is None:
+        return fold(text)
+    return fold(layout.sub(_layout_as, text.replace(SOFT, " ")))
 
 
-def mapped(text: str, loose: bool) -> tuple[str, list[tuple[int, int]]]:
-    """The normal form, and for each of its words the span in the original."""
-    pieces: list[tuple[str, int, int]] = []
+def letters(folded: str) -> str:
+    return "".join(_WORD.findall(folded))
 
-    def plain(a: int, b: int) -> None:
-        i = a
-        while i < b:
-            j = i + 1
-            while j < b and unicodedata.combining(text[j]):
-                j += 1
-            pieces.append((fold(text[i:j]), i, j))
-            i = j
 
-    at = 0
-    for m in _LAYOUT.finditer(text) if loose else ():
-        plain(at, m.start())
-        pieces.append((fold(_layout_as(m)), m.start(), m.end()))
-        at = m.end()
-    plain(at, len(text))
-    flat = "".join(p for p, _, _ in pieces)
-    start = [a for p, a, _ in pieces for _ in p]
-    end = [b for p, _, b in pieces for _ in p]
-    words, spans = [], []
-    for m in _WORD.finditer(flat):
-        words.append(m.group())
-        spans.append((start[m.start()], end[m.end() - 1]))
-    return " " + " ".join(words) + " ", spans
+def borders(folded: str) -> tuple[dict[int, bool], int]:
+    """Places in the letters where words are parted, for certain (True) or maybe; and the number of letters."""
+    at, last, out = 0, 0, {0: True}
+    for m in _WORD.finditer(folded):
+        if at:
+            out[at] = folded[last : m.start()].strip(SOFT) != ""
+        at += m.end() - m.start()
+        last = m.end()
+    out[at] = True
+    return out, at
+
+
+def runs(text: str, words: int) -> Iterator[list[str]]:
+    """Every run of `words` consecutive words of an item, in each of its readings, layout parting words or not."""
+    for layout in forms(text):
+        folded = form(text, layout)
+        for flat in {folded.replace(SOFT, " "), folded.replace(SOFT, "")}:
+            ws = _WORD.findall(flat)
+            for i in range(len(ws) - words + 1):
+                yield ws[i : i + words]
 
 
 def automaton(items: list[tuple[int, str]], words: int):
-    """Every run of `words` words -> the items that have it."""
+    """Letters of each run -> how it is parted into words, and the items that have it so."""
     import ahocorasick
 
-    owners: dict[str, set[int]] = {}
+    owners: dict[str, dict[tuple[int, ...], set[int]]] = {}
     for item, text in items:
-        for form in {f for f, _ in readings(text or "")}:
-            ws = form.split()
-            for i in range(len(ws) - words + 1):
-                owners.setdefault(" " + " ".join(ws[i : i + words]) + " ", set()).add(item)
+        for ws in runs(text or "", words):
+            inner, at = [], 0
+            for w in ws[:-1]:
+                at += len(w)
+                inner.append(at)
+            owners.setdefault("".join(ws), {}).setdefault(tuple(inner), set()).add(item)
     auto = ahocorasick.Automaton()
-    for run, ids in owners.items():
-        auto.add_word(run, tuple(sorted(ids)))
+    for run, ways in owners.items():
+        auto.add_word(run, (len(run), [(inner, sorted(ids)) for inner, ids in sorted(ways.items())]))
     auto.make_automaton()
     return auto if owners else None
 
 
-def leaks(text: str, auto, words: int) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, words) for every maximal run of leaked words, as offsets in the text."""
-    found: list[tuple[int, int, int, int]] = []
-    for form, loose in readings(text):
-        if not any(True for _ in auto.iter(form)):
+def hits(folded: str, auto) -> Iterator[tuple[int, int, tuple[int, ...], list[int]]]:
+    """(start, end, places between words, items) of every run whose words the text parts in the same way, in letters."""
+    where = sorted_ = None
+    for stop, (n, ways) in auto.iter(letters(folded)):
+        if where is None:
+            where, _ = borders(folded)
+            sorted_ = sorted(b for b, sure in where.items() if sure)
+        end, start = stop + 1, stop + 1 - n
+        if start not in where or end not in where:
             continue
-        form, spans = mapped(text, loose)
-        index = {}
-        k = 0
-        for n, ch in enumerate(form):
-            if ch == " ":
-                index[n] = k  # number of words that end before here
-                k += 1
-        runs: dict[int, list[list[int]]] = {}
-        for stop, ids in auto.iter(form):
-            last = index[stop]
+        sure = sorted_[bisect.bisect_right(sorted_, start) : bisect.bisect_left(sorted_, end)]
+        for inner, ids in ways:
+            places = {start + i for i in inner}
+            if places.issuperset(sure) and all(p in where for p in places):
+                yield start, end, tuple(sorted(places)), ids
+
+
+def traced(text: str, layout: re.Pattern | None) -> list[tuple[int, int]]:
+    """Of each letter of the form: the stretch of the original that it comes from."""
+    spans: list[tuple[int, int]] = []
+
+    def add(folded: str, a: int, b: int) -> None:
+        for m in _WORD.finditer(folded):
+            spans.extend([(a, b)] * (m.end() - m.start()))
+
+    def plain(a: int, b: int) -> None:
+        i = a
+        while i < b:
+            j, got = i + 1, fold(text[i])
+            while j < b and not text[j].isascii() and fold(text[i : j + 1]) != got + fold(text[j]):
+                j += 1
+                got = fold(text[i:j])
+            add(got, i, j)
+            i = j
+
+    at = 0
+    for m in layout.finditer(text) if layout else ():
+        plain(at, m.start())
+        add(fold(_layout_as(m)), m.start(), m.end())
+        at = m.end()
+    plain(at, len(text))
+    return spans
+
+
+def leaks(text: str, auto) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, words) of every maximal run of leaked words, as offsets in the text."""
+    found: list[tuple[int, int, int, int]] = []
+    for layout in forms(text):
+        folded = form(text, layout)
+        mine: dict[int, list] = {}
+        for start, end, places, ids in hits(folded, auto):
             for item in ids:
-                mine = runs.setdefault(item, [])
-                if mine and mine[-1][1] == last - 1:
-                    mine[-1][1] = last
+                mine.setdefault(item, []).append((start, end, {*places, end}))
+        if not mine:
+            continue
+        spans = traced(text, layout)
+        if len(spans) != len(letters(folded)):  # letters that normalise only across more than neighbours: the text as a whole
+            spans = [(0, len(text))] * len(letters(folded))
+        for item, rows in mine.items():
+            merged: list[list] = []
+            for start, end, places in sorted(rows, key=lambda r: r[:2]):
+                if merged and start < merged[-1][1]:
+                    merged[-1][1] = max(end, merged[-1][1])
+                    merged[-1][2] |= places
                 else:
-                    mine.append([last - words, last])
-        found += [(item, spans[a][0], spans[b - 1][1], b - a) for item, mine in runs.items() for a, b in mine]
-    # what one reading finds inside a span of the other adds nothing
+                    merged.append([start, end, set(places)])
+            found += [(item, spans[a][0], spans[b - 1][1], len(places)) for a, b, places in merged]
+    # what one reading finds inside a span of another adds nothing
     found = sorted(set(found))
     return [x for x in found if not any(y != x and y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and (y[2] - y[1], y[3]) > (x[2] - x[1], x[3]) for y in found)]
 
 
+def leaked(text: str, auto) -> set[int]:
+    """Items of which the text has a run."""
+    return {item for layout in forms(text) for *_, ids in hits(form(text, layout), auto) for item in ids}
+
+
 _CACHE: dict[str, object] = {}
 
 
@@ -154,13 +228,8 @@ def _scanner(shared, words: int, spans: bool):
             out: list[tuple] = []
             if auto is not None:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if not text:
-                        continue
-                    if spans:
-                        out += [(doc, *leak) for leak in leaks(text, auto, words)]
-                    else:
-                        ids = {i for form, _ in readings(text) for _, found in auto.iter(form) for i in found}
-                        out += [(doc, i) for i in ids]
+                    if text:
+                        out += [(doc, *leak) for leak in leaks(text, auto)] if spans else [(doc, i) for i in leaked(text, auto)]
             names = ["doc_id", "item_id", "start", "stop", "n_words"][: 5 if spans else 2]
             cols = zip(*out) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
@@ -181,6 +250,6 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, spans
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.toLocalIterator()))
-        hits = docs.mapInArrow(_scanner(shared, words, spans), schema)
-        out = hits if out is None else out.unionAll(hits)
+        found = docs.mapInArrow(_scanner(shared, words, spans), schema)
+        out = found if out is None else out.unionAll(found)
     return out.distinct()
