@@ -87,10 +87,11 @@ MOST_COMMON_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"[\"'(¿¡“„«`*_]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"')”»`*_]*[.,;:!?…]*[\"')”»`*_]*")
 _MARK = re.compile(r"[ \t]*(?:(?://+|#+|\*+|>+|\||;+|--+|•|-|\+)(?:[ \t]+|$))?")
-_MARKUP = re.compile(r"[*~`]{1,3}(?=\w)|(?<=[\w.,;:!?)])[*~`]{1,3}|(?<![^\W_])_{1,2}(?=[^\W_])|(?<=[^\W_])_{1,2}(?![^\W_])")
+_EMPHASIS_RUN = re.compile(r"[*~`]+|_+")
 _EMPHASIS = re.compile(r"[*~`]|_")
 _BLANK = re.compile(r"\n[ \t]*\n")
-_ODD_BLANK = re.compile(r"[^\S\n\t ]")
+#: Blanks that compatibility forms leave as they are.
+_ODD_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\u1680\u180e\u2028\u2029"
 _ITEM = re.compile(r"\(?\d+[.)]\s|\[[ xX]\]")
 _STOP = re.compile(r"[.!?][\"”)]?$")
 _FIRST = re.compile(r"[\"“(]?([^\W\d_])")
@@ -101,10 +102,21 @@ def plain(text: str) -> str:
     """Compatibility forms, line ends, blanks and emphasis made one."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if not text.isprintable():
-        text = _ODD_BLANK.sub(" ", text)
-    return _MARKUP.sub("", text) if _EMPHASIS.search(text) else text
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    for c in _ODD_BLANKS:
+        if c in text:
+            text = text.replace(c, " ")
+    return _EMPHASIS_RUN.sub(_emphasis, text) if _EMPHASIS.search(text) else text
+
+
+def _emphasis(m: re.Match) -> str:
+    """Nothing for marks around words, the marks themselves elsewhere."""
+    run, text, a, b = m.group(), m.string, m.start(), m.end()
+    before, after = text[a - 1] if a else " ", text[b] if b < len(text) else " "
+    if run[0] == "_":
+        return "" if len(run) < 3 and before.isalnum() != after.isalnum() else run
+    return "" if len(run) < 4 and (after == "_" or after.isalnum() or before.isalnum() or before in "_.,;:!?)") else run
 
 
 def _mark(line: str) -> str:
