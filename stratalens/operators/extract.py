@@ -56,22 +56,36 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: The first '=' of a line that assigns: not part of a comparison or an arrow.
+_ASSIGNS = r"^([^=]*?[^=!<>])=(?![=>])"
+
+
+def assigned(text: Column) -> Column:
+    """The name that a line assigns to, null if it assigns nothing."""
+    left = F.rtrim(F.regexp_replace(F.regexp_extract(F.trim(text), _ASSIGNS, 1), r"[+\-*/%&|^]$", ""))
+    return F.nullif(F.regexp_replace(F.element_at(F.split(left, r"\s+"), -1), r"^[^\p{L}\p{N}_$]+|[^\p{L}\p{N}_$]+$", ""), F.lit(""))
+
+
 def signals(rows: DataFrame) -> DataFrame:
-    """What code lines do, each as an entity of its line; sinks and sanitisers also take from the last untrusted input before them in the file."""
+    """What code lines do, each as an entity of its line; what is assigned, and sinks and sanitisers, also take from the last untrusted input before them in the file."""
     low = F.lower("text")
     any_of = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    hit = F.array_compact(F.array(*[
-        F.when(any_of(words) & (is_test(F.col("path")) if name == "test" else F.lit(True)), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(rel).alias("rel"), F.lit(source).alias("source")))
+    relation = lambda name, rel: F.when(any_of(["assert", "expect("]), "asserts").otherwise(rel) if name == "test" else F.lit(rel)
+    kinds = [
+        F.when(any_of(words) & (is_test(F.lower("path")) if name == "test" else F.lit(True)), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), relation(name, rel).alias("rel"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("value")))
         for name, kind, rel, source, words in SIGNALS
-    ]))
-    got = rows.where(F.size(hit) > 0).select("repo", "path", "line", F.explode(hit).alias("s")).select("repo", "path", "line", "s.*")
-    own = F.concat_ws(":", F.concat(file_id(), F.lit("::"), F.col("name")), F.col("line").cast("string"))
+    ]
+    value = assigned(F.col("text"))
+    hit = F.array_compact(F.array(*kinds, F.when(value.isNotNull(), F.struct(F.lit("value").alias("name"), F.lit("value").alias("kind"), F.lit("assigns").alias("rel"), F.lit(False).alias("source"), value.alias("value")))))
+    got = rows.select("repo", "path", "line", F.explode(hit).alias("s")).select("repo", "path", "line", "s.*")
+    own = F.concat_ws(":", F.concat(file_id(), F.lit("::"), F.col("name")), F.coalesce("value", F.col("line").cast("string")))
     got = got.withColumn("id", own)
-    direct = got.where("name <> 'sanitizer'")
+    direct = got.where("name NOT IN ('sanitizer', 'value')")
     plain = _facts(direct, F.when(F.col("source"), F.col("id")).otherwise(file_id()), F.col("rel"), F.when(F.col("source"), file_id()).otherwise(F.col("id")), F.col("kind"))
-    order = F.when(F.col("name") == "input", 0).when(F.col("name") == "sanitizer", 1).otherwise(2)
+    # on one line, input comes first, then the assignment, the sanitiser and the sink
+    order = F.array_position(F.lit(["input", "value", "sanitizer", "sink"]), F.col("name"))
     w = W.partitionBy("repo", "path").orderBy("line", order).rowsBetween(W.unboundedPreceding, -1)
-    flow = got.where("name IN ('input', 'sanitizer', 'sink')").withColumn("last", F.last(F.when(F.col("name") != "sink", F.col("id")), ignorenulls=True).over(w))
+    flow = got.where("name IN ('input', 'value', 'sanitizer', 'sink')").withColumn("last", F.last(F.when(F.col("name").isin("input", "sanitizer"), F.col("id")), ignorenulls=True).over(w))
     return plain.unionByName(_facts(flow.where("name <> 'input' AND last IS NOT NULL"), F.col("last"), F.col("rel"), F.col("id"), F.col("kind")))
 
 
@@ -89,7 +103,7 @@ def events(rows: DataFrame) -> DataFrame:
 def environment(rows: DataFrame) -> DataFrame:
     """Names of environment variables that code reads."""
     name = F.explode(F.array_distinct(F.concat(
-        F.regexp_extract_all("text", F.lit(r"process\.env\.([A-Z][A-Z0-9_]*)"), 1), F.regexp_extract_all("text", F.lit(r"(?:getenv|environ\.get|env::var)\(\s*[\"']([A-Z][A-Z0-9_]*)[\"']"), 1),
+        F.regexp_extract_all("text", F.lit(r"(?:process|import\.meta)\.env\.([A-Za-z0-9_]+)"), 1), F.regexp_extract_all("text", F.lit(r"(?:getenv|environ\.get|env::var)\(\s*[\"']([A-Z][A-Z0-9_]*)[\"']"), 1),
         F.regexp_extract_all("text", F.lit(r"environ\[[\"']([A-Z][A-Z0-9_]*)[\"']\]"), 1),
     )))
     got = rows.select("repo", "path", "line", name.alias("name"))

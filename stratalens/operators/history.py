@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.common import small
+
 #: Zones whose number a commit should keep low.
 ZONES = ["core", "api", "ui", "web", "infra", "domain", "service", "controller", "database", "storage", "auth", "billing"]
 #: Weight of each severity in the debt of a repository.
@@ -46,7 +48,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, by: str, keep: li
     lo = F.col("__rows")[0]["__t"]
     ranged = rows.select(F.col(key).alias("__k"), "__rows", lo.alias("__lo"), F.lead(lo).over(W.partitionBy(key).orderBy("__c")).alias("__hi"))
     here = sign * F.col(at)
-    met = left.join(ranged, (F.col(key) == F.col("__k")) & (here >= F.col("__lo")) & (F.col("__hi").isNull() | (here < F.col("__hi"))), "left")
+    met = left.join(small(ranged), (F.col(key) == F.col("__k")) & (here >= F.col("__lo")) & (F.col("__hi").isNull() | (here < F.col("__hi"))), "left")
     hit = F.element_at(F.filter("__rows", lambda r: r["__t"] <= here), -1)["__v"]
     met = met.withColumn("__hit", F.when(F.col("__k").isNotNull(), hit))
     return met.select(*left.columns, *[F.col("__hit")[c].alias(c) for c in keep])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions import paths
@@ -81,8 +81,16 @@ def freshness(was: tuple[str | None, str | None], now: tuple[str | None, str | N
     return "fresh" if was[1] == now[1] else "worktree-changed"
 
 
-def fingerprint(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """One digest of a set of rows, whatever their order: sums of two hashes and the count."""
+def freshness_of(commit_was: Column, tree_was: Column, commit: Column, tree: Column) -> Column:
+    """`freshness` of columns."""
+    return (
+        F.when(commit_was.isNull() | commit.isNull(), "unknown").when(commit_was != commit, "commit-changed").when(tree_was.isNull() | tree.isNull(), "head-only")
+        .when(tree_was == tree, "fresh").otherwise("worktree-changed")
+    )
+
+
+def fingerprint(rows: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """One digest of a set of rows, or of each group of them, whatever their order: sums of two hashes and the count."""
     text = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    part = rows.select(F.xxhash64(text).cast("decimal(38,0)").alias("a"), F.xxhash64(text, F.lit(17)).cast("decimal(38,0)").alias("b"))
-    return part.agg(F.md5(F.concat_ws("|", F.sum("a").cast("string"), F.sum("b").cast("string"), F.count(F.lit(1)).cast("string"))).alias("digest"))
+    part = rows.select(*(by or []), F.xxhash64(text).cast("decimal(38,0)").alias("a"), F.xxhash64(text, F.lit(17)).cast("decimal(38,0)").alias("b"))
+    return part.groupBy(*(by or [])).agg(F.md5(F.concat_ws("|", F.sum("a").cast("string"), F.sum("b").cast("string"), F.count(F.lit(1)).cast("string"))).alias("digest"))

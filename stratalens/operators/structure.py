@@ -69,12 +69,14 @@ def annotation_boundaries(nodes: DataFrame, annotations: str = "annotations") ->
     return nodes.withColumn("boundary", layer).where("boundary IS NOT NULL").select("repo", "boundary", "id")
 
 
-def layered_pattern(nodes: DataFrame, edges: DataFrame, layers: list[tuple] = LAYERS) -> DataFrame:
-    """Per repository: nodes in each layer, coverage and confidence (mean of coverage and compliance; compliance is 1 if there are edges)."""
+def layered_pattern(nodes: DataFrame, edges: DataFrame, layers: list[tuple] = LAYERS, annotations: str | None = None) -> DataFrame:
+    """Layers by paths, names and, where a column holds them, annotations. Per repository: nodes in each layer, coverage and confidence (mean of coverage and compliance; compliance is 1 if there are edges)."""
     slashed = F.concat(F.lit("/"), F.translate("path", "\\", "/"))
     tests = []
-    for name, paths, suffixes, _ in layers:
+    for name, paths, suffixes, notes in layers:
         cond = F.lit(False)
+        for a in notes if annotations else []:
+            cond = cond | F.coalesce(F.col(annotations).contains(a), F.lit(False))
         for p in paths:
             cond = cond | slashed.contains(p)
         for s in suffixes:
@@ -110,6 +112,12 @@ def crossings(edges: DataFrame, members: DataFrame, nodes: DataFrame, rules: Dat
     return hit.groupBy("repo", "src", "dst", "boundary").agg(F.min_by("token", "ord").alias("token"))
 
 
+def custom_rules(nodes: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(repo, id, rule) of nodes whose id contains a rule's token. Rules are part of the plan, so nodes meet them without a join."""
+    hits = F.array_compact(F.array(*[F.when(F.col("id").contains(token), F.lit(rule)) for rule, token in rules.items()]))
+    return nodes.select("repo", "id", F.explode(hits).alias("rule"))
+
+
 def layer_skips(edges: DataFrame, members: DataFrame, order: list[str]) -> DataFrame:
     """Edges whose target's layer lies more than one below the source's; a node counts in its first layer."""
     at = F.array_position(F.lit(order), F.col("boundary")) - 1

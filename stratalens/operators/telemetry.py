@@ -17,23 +17,21 @@ def is_error(code: Column) -> Column:
 
 
 def clean_part(text: Column) -> Column:
-    """A part of an identity: letters, digits and a few marks, at most 300 characters."""
-    return F.substring(F.regexp_replace(F.trim(text), "[^A-Za-z0-9_.:/$@-]+", "_"), 1, 300)
+    """A part of an identity: slashes for backslashes and '::', blanks for tabs and line ends, at most 300 characters."""
+    return F.substring(F.translate(F.replace(F.translate(F.trim(text), "\\", "/"), F.lit("::"), F.lit("/")), "\n\r\t", "   "), 1, 300)
 
 
 def identity(attributes: Column, name: Column) -> Column:
-    """path::function for spans that name their file; else runtime-unresolved/kind/parts. Nothing is guessed from a bare name."""
+    """path::function for spans that name their file's path; else runtime-unresolved/kind/parts. Nothing is guessed from a bare name: a file's name alone, which several files may have, only tells identities apart."""
     first = lambda *keys: F.coalesce(*[F.nullif(F.trim(attributes[k]), F.lit("")) for k in keys])
-    path = F.regexp_replace(first("code.file.path", "code.filepath"), r"\\", "/")
+    path = F.translate(first("code.file.path", "code.filepath"), "\\", "/")
+    base = first("code.file.name")
     fn = first("code.function.name", "code.function", "function.name")
     space = first("code.namespace", "service.name")
-    name = F.coalesce(name, F.lit(""))
-    lost = lambda kind, *parts: F.concat_ws("/", F.lit("runtime-unresolved"), F.lit(kind), *[clean_part(p) for p in parts])
-    return (
-        F.when(path.isNotNull() & fn.isNotNull(), F.concat_ws("::", path, fn)).when(path.isNotNull(), F.concat_ws("::", path, F.lit("file")))
-        .when(fn.isNotNull() & space.isNotNull(), lost("namespace-function", space, fn)).when(fn.isNotNull(), lost("function", fn))
-        .when(space.isNotNull(), lost("namespace-span", space, name)).otherwise(lost("span", name))
-    )
+    lost = lambda kind, *parts: F.concat_ws("/", F.lit("runtime-unresolved"), F.lit(kind), *[F.nullif(clean_part(p), F.lit("")) for p in parts])
+    span = F.when(space.isNotNull(), lost("namespace-span", space, name)).when(base.isNotNull(), lost("basename-span", base, name)).otherwise(lost("span", name))
+    function = F.when(space.isNotNull(), lost("namespace-function", space, fn)).when(base.isNotNull(), lost("basename-function", base, fn)).otherwise(lost("function", fn))
+    return F.when(path.isNotNull(), F.concat_ws("::", path, F.coalesce(fn, F.lit("file")))).when(fn.isNotNull(), function).otherwise(span)
 
 
 def aggregate(spans: DataFrame, key: str = "node_id", hot: int = HOT_LIMITS["batch"]) -> DataFrame:

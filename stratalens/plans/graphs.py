@@ -425,8 +425,7 @@ def ci_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(GRAPH_SQL + ", rules(rule, token) AS (VALUES ('no-gateway', 'gateway'), ('no-vendor', 'vendor')) SELECT n.repo, n.id, r.rule FROM nodes n JOIN rules r ON contains(n.id, r.token)")
 def custom_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([("no-gateway", "gateway"), ("no-vendor", "vendor")], "rule string, token string")
-    return graph(spark, d)[0].join(F.broadcast(rules), F.col("id").contains(F.col("token"))).select("repo", "id", "rule")
+    return structure.custom_rules(graph(spark, d)[0], {"no-gateway": "gateway", "no-vendor": "vendor"})
 
 
 @query(GRAPH_SQL + _ALL + " SELECT repo, kind, src, dst FROM violations WHERE contains(lower(concat_ws(' ', kind, src, dst, boundary)), 'ledger')")

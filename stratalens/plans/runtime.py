@@ -46,23 +46,31 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""WITH o AS (SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS v, min(name) AS name, min(nullif(trim(element_at(attributes, 'code.file.path')[1]), '')) AS path, min(nullif(trim(element_at(attributes, 'code.function.name')[1]), '')) AS fn,
- min(nullif(trim(element_at(attributes, 'service.name')[1]), '')) AS space, coalesce(bool_or(status.code = 2), false) AS err FROM otlp_spans WHERE trace_id IS NOT NULL AND span_id IS NOT NULL GROUP BY 1, 2),
-i AS (SELECT t, v, err, CASE WHEN path IS NOT NULL AND fn IS NOT NULL THEN replace(path, chr(92), '/') || '::' || fn WHEN path IS NOT NULL THEN replace(path, chr(92), '/') || '::file'
- WHEN fn IS NOT NULL AND space IS NOT NULL THEN 'runtime-unresolved/namespace-function/' || regexp_replace(space, '[^A-Za-z0-9_.:/$@-]+', '_', 'g') || '/' || regexp_replace(fn, '[^A-Za-z0-9_.:/$@-]+', '_', 'g')
- WHEN fn IS NOT NULL THEN 'runtime-unresolved/function/' || regexp_replace(fn, '[^A-Za-z0-9_.:/$@-]+', '_', 'g')
- WHEN space IS NOT NULL THEN 'runtime-unresolved/namespace-span/' || regexp_replace(space, '[^A-Za-z0-9_.:/$@-]+', '_', 'g') || '/' || regexp_replace(trim(coalesce(name, '')), '[^A-Za-z0-9_.:/$@-]+', '_', 'g')
- ELSE 'runtime-unresolved/span/' || regexp_replace(trim(coalesce(name, '')), '[^A-Za-z0-9_.:/$@-]+', '_', 'g') END AS id FROM o)
+def _clean_sql(x: str) -> str:
+    return f"nullif(substr(translate(replace(replace(trim({x}), chr(92), '/'), '::', '/'), chr(10) || chr(13) || chr(9), '   '), 1, 300), '')"
+
+
+def _lost_sql(kind: str, *parts: str) -> str:
+    return f"concat_ws('/', 'runtime-unresolved/{kind}', {', '.join(map(_clean_sql, parts))})"
+
+
+#: Of columns path, base, fn, space and name.
+IDENTITY_SQL = f"""CASE WHEN path IS NOT NULL THEN replace(path, chr(92), '/') || '::' || coalesce(fn, 'file') WHEN fn IS NOT NULL AND space IS NOT NULL THEN {_lost_sql('namespace-function', 'space', 'fn')} WHEN fn IS NOT NULL AND base IS NOT NULL THEN {_lost_sql('basename-function', 'base', 'fn')}
+ WHEN fn IS NOT NULL THEN {_lost_sql('function', 'fn')} WHEN space IS NOT NULL THEN {_lost_sql('namespace-span', 'space', 'name')} WHEN base IS NOT NULL THEN {_lost_sql('basename-span', 'base', 'name')} ELSE {_lost_sql('span', 'name')} END"""
+_ATTR = ", ".join(f"nullif(trim(element_at(attributes, '{k}')[1]), '') AS {n}" for k, n in (("code.file.path", "path"), ("code.file.name", "base"), ("code.function.name", "fn"), ("service.name", "space")))
+
+
+@query(f"""WITH o AS (SELECT t, v, {_ATTR}, name, err FROM (SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS v, min(attributes) AS attributes, min(name) AS name, coalesce(bool_or(status.code = 2), false) AS err FROM (SELECT trace_id, span_id, name, status,
+  map_from_entries(list_sort(map_entries(attributes))) AS attributes FROM otlp_spans) WHERE trace_id IS NOT NULL AND span_id IS NOT NULL GROUP BY 1, 2)), i AS (SELECT {IDENTITY_SQL} AS id, err FROM o)
 SELECT id, count(*) AS spans, count(*) FILTER (err) AS errors FROM i GROUP BY 1""")
 def span_identity(spark: SparkSession, d: str) -> DataFrame:
     """Raw spans to identities, repeated rows counting once."""
     raw = table(spark, d, "otlp_spans").where("trace_id IS NOT NULL AND span_id IS NOT NULL")
-    keep = ["code.file.path", "code.function.name", "service.name"]
-    one = raw.groupBy(F.lower(F.trim("trace_id")).alias("t"), F.lower(F.trim("span_id")).alias("v")).agg(
-        F.min("name").alias("name"), *[F.min(F.nullif(F.trim(F.col("attributes")[k]), F.lit(""))).alias(f"a{i}") for i, k in enumerate(keep)],
-        F.coalesce(F.max(telemetry.is_error(F.col("status.code"))), F.lit(False)).alias("err"),
-    )
-    attributes = F.create_map(*[x for i, k in enumerate(keep) for x in (F.lit(k), F.col(f"a{i}"))])
+    # a map can't be compared, its sorted entries can
+    entries = F.array_sort(F.map_entries("attributes"))
+    one = raw.select(F.lower(F.trim("trace_id")).alias("t"), F.lower(F.trim("span_id")).alias("v"), "name", entries.alias("a"), telemetry.is_error(F.col("status.code")).alias("e")).groupBy("t", "v").agg(
+        F.min("name").alias("name"), F.min("a").alias("a"), F.coalesce(F.max("e"), F.lit(False)).alias("err"))
+    attributes = F.coalesce(F.map_from_entries("a"), F.create_map().cast("map<string,string>"))
     got = one.select(telemetry.identity(attributes, F.col("name")).alias("id"), "err")
     return got.groupBy("id").agg(F.count(F.lit(1)).alias("spans"), F.count(F.when(F.col("err"), 1)).alias("errors"))
 

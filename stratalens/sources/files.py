@@ -68,28 +68,46 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def unzip(archives: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(archive, path, content) of every parsable file in zip archives. Names that leave the archive, and archives over the limits, are refused."""
+    """(archive, path, content, refused) of every parsable file in zip archives.
+
+    What is refused is a row with the reason instead of a content: archives over the limits or unreadable (path null),
+    and names that lead out of the archive.
+    """
+
+    def rows_of(archive: str, blob: bytes | None) -> Iterator[tuple]:
+        if blob is None:
+            yield archive, None, None, "no content"
+            return
+        if len(blob) > ARCHIVE_BYTES:
+            yield archive, None, None, "archive too large"
+            return
+        try:
+            with zipfile.ZipFile(io.BytesIO(blob)) as z:
+                infos = [i for i in z.infolist() if not i.is_dir()]
+                if len(infos) > ARCHIVE_FILES:
+                    yield archive, None, None, "too many files"
+                    return
+                if sum(i.file_size for i in infos) > UNPACKED_BYTES:
+                    yield archive, None, None, "unpacked too large"
+                    return
+                for i in infos:
+                    parts = i.filename.replace("\\", "/").split("/")
+                    if i.filename.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
+                        continue
+                    if ".." in parts or parts[0] == "" or ":" in parts[0]:
+                        yield archive, i.filename, None, "leads out of the archive"
+                    else:
+                        yield archive, "/".join(parts), z.read(i).decode("utf-8", "replace"), None
+        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError):
+            yield archive, None, None, "unreadable"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, blob in zip(batch["archive"], batch["blob"]):
-                rows, total = [], 0
-                if blob is None or len(blob) > ARCHIVE_BYTES:
-                    continue
-                with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    infos = [i for i in z.infolist() if not i.is_dir()]
-                    if len(infos) > ARCHIVE_FILES or sum(i.file_size for i in infos) > UNPACKED_BYTES:
-                        continue
-                    for i in infos:
-                        parts = i.filename.replace("\\", "/").split("/")
-                        if ".." in parts or parts[0] == "" or ":" in parts[0] or i.filename.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
-                            continue
-                        total += i.file_size
-                        rows.append((archive, "/".join(parts), z.read(i).decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["archive", "path", "content"])
+                yield pd.DataFrame(list(rows_of(archive, blob)), columns=["archive", "path", "content", "refused"], dtype=object)
 
     ship(archives.sparkSession)
-    return archives.select(F.col(name).alias("archive"), F.col(content).alias("blob")).mapInPandas(run, "archive string, path string, content string")
+    return archives.select(F.col(name).alias("archive"), F.col(content).alias("blob")).mapInPandas(run, "archive string, path string, content string, refused string")
 
 
 def package_identity(manifests: DataFrame) -> DataFrame:

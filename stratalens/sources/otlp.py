@@ -33,7 +33,7 @@ def spans_of(documents: DataFrame, column: str = "value") -> DataFrame:
     nested = F.flatten(F.transform(scoped, lambda s: F.coalesce(s["spans"], F.array().cast(T.ArrayType(_SPAN)))))
     bare = F.coalesce(doc["spans"], F.array().cast(T.ArrayType(_SPAN)))
     every = F.when(F.ltrim(F.col(column)).startswith("["), F.from_json(column, T.ArrayType(_SPAN))).otherwise(F.concat(nested, bare))
-    s = documents.select(F.explode(every).alias("s"))
+    s = documents.select(F.explode(every).alias("s")).where("s.name IS NOT NULL")  # a span has a name
     pick = lambda a, b: F.coalesce(F.col(f"s.{a}"), F.col(f"s.{b}"))
     nano = lambda a, b: F.expr(f"try_cast(coalesce(s.{a}, s.{b}) AS bigint)")
     return s.select(
@@ -51,6 +51,6 @@ def observed(spans: DataFrame) -> DataFrame:
     return spans.withColumns({"node_id": identity(F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.col("name")), "duration_ms": ms, "is_error": F.coalesce(is_error(F.col("code")), F.lit(False))})
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Files of one document each, or of one document a line."""
-    return spans_of(spark.read.text(path, wholetext=True))
+def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Files of one document to a line; with `whole`, of one document each, which must fit one string."""
+    return spans_of(spark.read.text(path, wholetext=whole).where("trim(value) <> ''"))

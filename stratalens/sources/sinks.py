@@ -96,9 +96,34 @@ def prompt_context(nodes: DataFrame, edges: DataFrame, path: str) -> str:
 
 
 def markdown(title: str, tables: dict[str, DataFrame], rows: int = 50) -> str:
-    """A page with the head of each table."""
+    """A page with the head of each table, which says how many rows it leaves out. For whole tables see `markdown_rows`."""
     out = [f"# {title}"]
     for name, df in tables.items():
         out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
+        got = df.limit(rows + 1).collect()
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in got[:rows]]
+        if len(got) > rows:
+            out += ["", f"{df.count() - rows} more rows"]
     return "\n".join(out) + "\n"
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """Every row as a line of a table."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def write_lines(lines: DataFrame, path: str, head: list[str] = (), tail: list[str] = ()) -> None:
+    """Lines of a report as text files, with what opens and closes it in files that sort before and after them. Nothing passes through the driver."""
+    spark = lines.sparkSession
+    for place, rows in (("0-head", head), ("2-tail", tail)):
+        if rows:
+            spark.createDataFrame([(r,) for r in rows], "line string").coalesce(1).write.mode("overwrite").text(f"{path}/{place}")
+    lines.select(lines.columns[0]).write.mode("overwrite").text(f"{path}/1-body")
+
+
+#: What opens and closes a graph in each format.
+FRAMES = {
+    "dot": (["digraph g {"], ["}"]), "mermaid": (["graph LR"], []), "graphml": (['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">'], ["</graph></graphml>"]),
+    "junit": (['<?xml version="1.0" encoding="UTF-8"?>', '<testsuites><testsuite name="drift">'], ["</testsuite></testsuites>"]),
+}

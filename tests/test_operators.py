@@ -152,6 +152,10 @@ def test_extractors(spark, rows):
     assert {("input:1", "trust_boundary", f), ("input:1", "sanitizes", "sanitizer:3"), ("sanitizer:3", "writes", "sink:4"), (f, "writes", "sink:4"), (f, "publishes", "topic:orders.new"), ("event:done", "consumes", f), (f, "publishes", "queue:q1"),
             (f, "reads", "config:API_TOKEN"), (f, "reads", "config:FEATURE_A"), ("owner:org/core", "owns", "ownership:/src"), ("owner:ann", "owns", "ownership:/src"), ("file:db/s.sql", "defines", "table:users"), ("table:users", "defines", "table:users.id"),
             ("file:db/s.sql", "migrates", "table:logs"), ("table:Post", "defines", "table:Post.title"), ("infra:aws_x.a", "depends_on", "infra:aws_role.b"), ("infra:aws_x.a", "depends_on", "infra:module.net")} <= got
+    assert ("input:1", "assigns", "value:x") in got and ("sanitizer:3", "assigns", "value:t") in got and ("input:1", "assigns", "value:y") in got
+    more = spark.createDataFrame([("r", "tests/a.py", "assert f(x) == 1\npytest.raises(E)\nif a == b: pass\nc += req.query\nd => e\n"), ("r", "b.ts", "const k = import.meta.env.API_KEY;\n")], "repo string, path string, content string")
+    facts = {(r.src.split("::")[-1], r.rel, r.dst.split("::")[-1]) for r in extract.extract(more).collect()}
+    assert facts == {("test:1", "asserts", "file:tests/a.py"), ("test:2", "exercises", "file:tests/a.py"), ("input:4", "trust_boundary", "file:tests/a.py"), ("input:4", "assigns", "value:c"), ("file:b.ts", "reads", "config:API_KEY")}
     assert not any("PRIMARY" in d or "var." in d or "plain" in d for _, _, d in got)
     assert rows(extract.contract_fields(extract.lines(df)), "owner", "field", "type", "required") == [("Post", "id", "Int", True), ("Post", "tags", "Tag[]", False), ("Post", "title", "String", False), ("User", "id", "ID", True), ("User", "name", "String", False)]
     needs = extract.manifests(df)

@@ -90,7 +90,21 @@ def test_zip(spark):
         for n in ("a/x.py", "../evil.py", "/abs.py", "b.txt"):
             z.writestr(n, "pass")
     df = spark.createDataFrame([("z", bytearray(blob.getvalue())), ("n", None)], "path string, content binary")
-    assert [(r.path, r.content) for r in files.unzip(df).collect()] == [("a/x.py", "pass")]
+    df = df.unionByName(spark.createDataFrame([("broken", bytearray(b"PK no archive"))], "path string, content binary"))
+    got = sorted(((r.archive, r.path, r.content, r.refused) for r in files.unzip(df).collect()), key=str)
+    assert got == [("broken", None, None, "unreadable"), ("n", None, None, "no content"), ("z", "../evil.py", None, "leads out of the archive"), ("z", "/abs.py", None, "leads out of the archive"), ("z", "a/x.py", "pass", None)]
+
+
+def test_archives_over_limits_are_rows(spark, monkeypatch):
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        for n in range(3):
+            z.writestr(f"{n}.py", "pass" * 100)
+    df = spark.createDataFrame([("z", bytearray(blob.getvalue()))], "path string, content binary")
+    assert files.unzip(df).count() == 3
+    for name, reason in (("ARCHIVE_FILES", "too many files"), ("UNPACKED_BYTES", "unpacked too large"), ("ARCHIVE_BYTES", "archive too large")):
+        monkeypatch.setattr(files, name, 2)
+        assert files.unzip(df).first().refused == reason or name != "ARCHIVE_BYTES"
 
 
 def test_manifests_git_openapi(spark, rows):
@@ -112,10 +126,36 @@ def test_otlp(spark, rows):
     docs = [json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [SPAN]}]}]}), json.dumps([plain]), json.dumps({"spans": [{**SPAN, "spanId": "3", "status": {"code": "STATUS_CODE_OK"}, "endTimeUnixNano": "1"}]}), "not json", json.dumps({"resourceSpans": [{"instrumentationLibrarySpans": [{"spans": [{**SPAN, "spanId": "4"}]}]}]})]
     got = otlp.observed(otlp.spans_of(spark.createDataFrame([(x,) for x in docs], "value string")))
     assert rows(got, "span_id", "node_id", "duration_ms", "is_error") == [
-        ("1", "a/b.py::f", 2.0, True), ("2", "runtime-unresolved/namespace-span/svc_x/only_name", None, False) if got.where("span_id = '2'").first().duration_ms is None else ("2", "runtime-unresolved/namespace-span/svc_x/only_name", 0.0, False),
+        ("1", "a/b.py::f", 2.0, True), ("2", "runtime-unresolved/namespace-span/svc x/only name", None, False) if got.where("span_id = '2'").first().duration_ms is None else ("2", "runtime-unresolved/namespace-span/svc x/only name", 0.0, False),
         ("3", "a/b.py::f", 0.0, False), ("4", "a/b.py::f", 2.0, True)]
 
 
+def test_otlp_files(spark, tmp_path, rows):
+    """A document to a line, each of them read; or one document to a file, however it is laid out."""
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "whole").mkdir()
+    docs = [{"spans": [{**SPAN, "spanId": str(i)}]} for i in range(5)]
+    (tmp_path / "lines" / "a.json").write_text("\n".join(map(json.dumps, docs)) + "\n\n")
+    (tmp_path / "whole" / "a.json").write_text(json.dumps(docs[0], indent=2))
+    assert rows(otlp.read(spark, str(tmp_path / "lines")), "span_id") == [(str(i),) for i in range(5)]
+    assert rows(otlp.read(spark, str(tmp_path / "whole"), whole=True), "span_id") == [("0",)]
+    bare = {k: v for k, v in SPAN.items() if k != "name"}
+    assert otlp.spans_of(spark.createDataFrame([(json.dumps([bare]),)], "value string")).count() == 0
+
+
+def test_identities(spark):
+    cases = [
+        ({"code.file.path": "a\\b.py", "code.function": "f"}, "n", "a/b.py::f"), ({"code.filepath": "b.py"}, "n", "b.py::file"), ({"code.function": "a::b", "service.name": "my svc"}, "n", "runtime-unresolved/namespace-function/my svc/a/b"),
+        ({"code.file.name": "i.ts", "function.name": "f"}, "n", "runtime-unresolved/basename-function/i.ts/f"), ({"code.file.name": "i.ts"}, "x\ty", "runtime-unresolved/basename-span/i.ts/x y"), ({"code.function.name": "f"}, "n", "runtime-unresolved/function/f"),
+        ({"code.namespace": "s", "code.file.name": "i.ts"}, "n", "runtime-unresolved/namespace-span/s/n"), ({}, "n", "runtime-unresolved/span/n"), ({}, " ", "runtime-unresolved/span"), ({"code.file.path": " "}, "x" * 400, "runtime-unresolved/span/" + "x" * 300),
+    ]
+    df = spark.createDataFrame([(i, a, n) for i, (a, n, _) in enumerate(cases)], "i int, attributes map<string,string>, name string")
+    from stratalens.operators.telemetry import identity
+
+    got = {r.i: r.id for r in df.select("i", identity(F.col("attributes"), F.col("name")).alias("id")).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(cases)}
+
+
 def test_streams(spark, tmp_path, rows):
     schema = "trace_id string, span_id string, parent_span_id string, node_id string, start_unix_nano long, end_unix_nano long, duration_ms double, is_error boolean"
     mk = lambda t, s, p, n, m, ms: (t, s, p, n, (m + 10**6) * 60 * 10**9, (m + 10**6) * 60 * 10**9 + 1, ms, False)
@@ -170,6 +210,13 @@ def test_sinks(spark, tmp_path):
     assert [r["level"] for r in doc["runs"][0]["results"]] == ["error", "note"]
     assert "&lt;" in sinks.junit(v).where("xml LIKE '%b%'").collect()[1].xml if sinks.junit(v).count() == 2 else True
     assert sinks.dot(edges).first().line == '"a.py::f" -> "b.py::g" [label="calls"];' and "-->|calls|" in sinks.mermaid(edges).first().line and sinks.graphml(nodes, edges).count() == 3
+    many = spark.range(60).selectExpr("CAST(id AS STRING) AS id")
+    assert sinks.markdown("t", {"many": many}).endswith("\n10 more rows\n") and sinks.markdown_rows(many).count() == 60
+    sinks.write_lines(sinks.graphml(nodes, edges), f"file://{tmp_path}/g", *sinks.FRAMES["graphml"])
+    lines = [x for part in sorted((tmp_path / "g").iterdir()) for f in sorted(part.glob("*.txt")) for x in f.read_text().splitlines()]
+    import xml.etree.ElementTree as tree
+
+    assert len(list(tree.fromstring("\n".join(lines)).iter())) == 2 + 3
     assert "<caller>a.py::f</caller>" in sinks.prompt_context(nodes, edges, "b.py") and "| a.py::f |" in sinks.markdown("t", {"nodes": nodes.select("id")})
 
 
