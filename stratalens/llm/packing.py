@@ -11,6 +11,10 @@ plan's length depends on the capacity, not on the number of items. What is distr
 sort, the ranks (positions in the sorted partitions plus the partitions' offsets; no window over a size, of which
 one may hold a third of all items), and the assignment of each item by its size and rank.
 
+The sweeps themselves run on the driver, over at most as many entries as the capacity has units. At a capacity of a
+million with ten million items of 825,275 sizes they take 19 s and make 2.3 million segments, at 1,024 with a thousand
+million items 0.01 s; they are the same for any number of items of these sizes.
+
 Defined results: an item larger than the capacity is split into full pieces and a rest, others never; null, negative
 and zero sizes need no space and are dealt round the containers in turn; repeated rows are items of their own; an
 empty table needs no container, and items without size alone need one; extra columns are ignored, whatever their names.

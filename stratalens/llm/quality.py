@@ -554,6 +554,17 @@ def _judge(fits: dict, limit: float):
     return run
 
 
+def common_table(common_words: DataFrame) -> dict[str, set[str]]:
+    """Language -> its common words in lower case. The table goes to every worker, so its size is checked."""
+    words = common_words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", F.lower("word").alias("word")).distinct()
+    if words.limit(MOST_COMMON_WORDS + 1).count() > MOST_COMMON_WORDS:
+        raise ValueError("the table of common words is too large to be sent to the workers")
+    common: dict[str, set[str]] = {}
+    for r in words.orderBy("lang", "word").collect():
+        common.setdefault(r.lang, set()).add(r.word)
+    return common
+
+
 def quality(documents: DataFrame, common_words: DataFrame, quantile: float = 0.995) -> DataFrame:
     """(doc_id, language, outside_share, distance, contributions) of every row with text.
 
@@ -563,12 +574,7 @@ def quality(documents: DataFrame, common_words: DataFrame, quantile: float = 0.9
     spark = documents.sparkSession
     ship(spark)
     limit = chi_squared(quantile, K)
-    words = common_words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", F.lower("word").alias("word")).distinct()
-    if words.limit(MOST_COMMON_WORDS + 1).count() > MOST_COMMON_WORDS:
-        raise ValueError("the table of common words is too large to be sent to the workers")
-    common: dict[str, set[str]] = {}
-    for r in words.orderBy("lang", "word").collect():
-        common.setdefault(r.lang, set()).add(r.word)
+    common = common_table(common_words)
     texts = documents.where("text IS NOT NULL AND text RLIKE '\\\\S'").select("doc_id", "text")
     kind = dict(texts.dtypes)["doc_id"]
     known = spark.sparkContext.broadcast({k: frozenset(v) for k, v in common.items()})

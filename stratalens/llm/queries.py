@@ -83,6 +83,30 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d))
 
 
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers have how much unused space, which doesn't depend on which of equal gaps an item goes to."""
+    return p7_fill(spark, d).groupBy("unused").agg(F.count(F.lit(1)).alias("containers"))
+
+
+def p7_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What of each document has a place: its pieces, their tokens, and the containers they are in."""
+    return p7_containers(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), F.countDistinct("container").alias("containers"))
+
+
+#: Best fit item by item, over the list of gaps.
+P7_UNUSED_SQL = """
+WITH RECURSIVE n AS (SELECT greatest(coalesce(n_tokens, 0), 0) AS n FROM documents),
+p AS (SELECT unnest(list_concat(list_transform(range(n // 1024), lambda x: 1024), CASE WHEN n % 1024 > 0 THEN [n % 1024] ELSE [] END)) AS size FROM n),
+it AS (SELECT row_number() OVER (ORDER BY size DESC) AS i, CAST(size AS INT) AS size FROM p),
+go(i, gaps) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INT[]) UNION ALL
+  SELECT i, CASE WHEN g IS NULL THEN list_append(gaps, 1024 - size) ELSE list_append(list_concat(gaps[1:list_position(gaps, g) - 1], gaps[list_position(gaps, g) + 1:]), g - size) END
+  FROM (SELECT it.i, it.size, go.gaps, list_min(list_filter(go.gaps, lambda x: x >= it.size)) AS g FROM go JOIN it ON it.i = go.i + 1)),
+last AS (SELECT CASE WHEN len(gaps) = 0 AND (SELECT count(*) FROM n) > 0 THEN [1024] ELSE gaps END AS gaps FROM go ORDER BY i DESC LIMIT 1)
+SELECT unused, count(*) AS containers FROM (SELECT CAST(unnest(gaps) AS BIGINT) AS unused FROM last) GROUP BY 1
+"""
+P7_PLACED_SQL = "SELECT doc_id, greatest((n + 1023) // 1024, 1) AS pieces, n AS tokens, greatest((n + 1023) // 1024, 1) AS containers FROM (SELECT doc_id, CAST(greatest(coalesce(n_tokens, 0), 0) AS BIGINT) AS n FROM documents)"
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -104,9 +128,9 @@ def p9_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The plain statistics of every document, without leaving the JVM: words, mean word length, symbols, line ends, common words."""
-    # A fixed list; it becomes part of the plan.
-    common = F.lit(sorted(r.word for r in table(spark, d, "common_words").select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().collect()))
+    """The plain statistics of every document, without leaving the JVM: words, mean word length, symbols, line ends, and common words of the language that has most of them in the text."""
+    # A fixed list; it becomes part of the plan, as sets in which each word is looked up.
+    common = quality.common_table(table(spark, d, "common_words"))
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = F.regexp_extract_all("text", F.lit("(\\p{L}+)"), 1)
     lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
@@ -119,6 +143,8 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     )
     letters = F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w))
     n = F.size("words")
+    among = lambda known: lambda w: w.isin(known)
+    hits = [F.size(F.filter("words", among(sorted(known)))) for known in common.values()]
     share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
     return out.select(
         "doc_id",
@@ -126,26 +152,27 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
         share(letters, n).alias("mean_word_length"),
         share(F.col("symbols"), F.col("chars")).alias("symbol_ratio"),
         share(F.size(F.filter("lines", lambda x: F.rtrim(x).rlike("[.!?:;,]$"))), F.size("lines")).alias("punctuated_lines"),
-        share(F.size(F.filter("words", lambda w: F.array_contains(common, w))), n).alias("common_word_share"),
+        share(F.greatest(F.lit(0), F.lit(0), *hits), n).alias("common_word_share"),
     )
 
 
 P9_STATISTICS_SQL = """
-WITH c AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words),
+WITH c AS (SELECT lang, list(DISTINCT lower(word)) AS common FROM common_words WHERE lang IS NOT NULL AND word IS NOT NULL GROUP BY 1),
 t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x)) AS words, common,
+w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x)) AS words,
         list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '') AS lines,
-        length(regexp_replace(text, '\\s', '', 'g')) AS chars, length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '', 'g')) AS symbols FROM t, c)
+        length(regexp_replace(text, '\\s', '', 'g')) AS chars, length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '', 'g')) AS symbols FROM t),
+h AS (SELECT doc_id, max(hits) AS hits FROM (SELECT doc_id, len(list_filter(words, lambda x: list_contains(common, x))) AS hits FROM w, c) GROUP BY 1)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS word_count,
   round(CASE WHEN len(words) > 0 THEN list_sum(list_transform(words, lambda x: length(x))) / len(words) ELSE 0.0 END, 6) AS mean_word_length,
   round(CASE WHEN chars > 0 THEN symbols / chars ELSE 0.0 END, 6) AS symbol_ratio,
   round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(rtrim(x), '[.!?:;,]$'))) / len(lines) ELSE 0.0 END, 6) AS punctuated_lines,
-  round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: list_contains(common, x))) / len(words) ELSE 0.0 END, 6) AS common_word_share
-FROM w
+  round(CASE WHEN len(words) > 0 THEN hits / len(words) ELSE 0.0 END, 6) AS common_word_share
+FROM w JOIN h USING (doc_id)
 """
 
 QUERIES = {
-    "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_percentiles": p6_percentiles, "p6_sketches": p6_sketches, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans,
+    "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_percentiles": p6_percentiles, "p6_sketches": p6_sketches, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_unused": p7_unused, "p7_placed": p7_placed, "p8_found": p8_found, "p8_spans": p8_spans,
     "p9_found": p9_found, "p9_outliers": p9_outliers, "p9_statistics": p9_statistics,
 }
-SQL: dict[str, str] = {"p6_percentiles": P6_PERCENTILES_SQL, "p6_sketches": P6_SKETCHES_SQL, "p9_statistics": P9_STATISTICS_SQL}
+SQL: dict[str, str] = {"p6_percentiles": P6_PERCENTILES_SQL, "p6_sketches": P6_SKETCHES_SQL, "p7_unused": P7_UNUSED_SQL, "p7_placed": P7_PLACED_SQL, "p9_statistics": P9_STATISTICS_SQL}
