@@ -169,3 +169,24 @@ def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, ou
     w = W.partitionBy("__pid", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     running = placed.withColumn(out, F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(w), F.lit(0)))
     return running.join(before, ["__pid", *group]).withColumn(out, F.col(out) + F.col("__before")).drop("__pid", "__before")
+
+
+#: Groups of up to so many rows are sorted in one task each.
+HOT_ROWS = 1_000_000
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Each row's place in its group by `order`, from 1, nulls first; `order` must be total within the group.
+
+    Larger groups are range-partitioned over many tasks instead of being sorted in one.
+    """
+    from pyspark.sql import Window as W
+
+    df = stage(df, "numbered")
+    hot = stage(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*group), "hot")
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_first() for c in order])).cast("long")
+    if hot.isEmpty():
+        return df.withColumn(out, place)
+    few, many = df.join(hot, group, "left_anti").withColumn(out, place), df.join(hot, group, "left_semi")
+    spread = prefix_sum(many.withColumn("__one", F.lit(1).cast("long")), group, order, "__one", out)
+    return few.unionByName(spread.withColumn(out, F.col(out) + 1).drop("__one"))

@@ -36,12 +36,33 @@ def strategies(outcomes: DataFrame) -> DataFrame:
     return got.select("strategy", "attempts", "successes", F.round("mean_reward", 6).alias("mean_reward"), F.round(sure, 6).alias("confidence"), F.round(score, 6).alias("score"))
 
 
-def policy(ranked: DataFrame, pressure: float) -> DataFrame:
-    """Risk threshold, depth bias and weights from strong and weak strategies and the share of recent rollbacks."""
+def rollback_pressure(outcomes: DataFrame, order: list[Column], last: int = 50) -> DataFrame:
+    """One row: the share of rollbacks among the last outcomes, of which there count `last` even if there are fewer."""
+    return outcomes.orderBy(*order).limit(last).agg((F.count(F.when(F.col("rollback"), 1)) / last).alias("pressure"))
+
+
+def policy(ranked: DataFrame, pressure: DataFrame, invariants: int = 0, runtime: bool = False) -> DataFrame:
+    """Risk threshold, depth bias and weights from strong and weak strategies, the share of recent rollbacks, and what else is known: stable invariants, runtime episodes."""
     strong, weak = F.count(F.when((F.col("attempts") >= 3) & (F.col("score") >= 0.55), 1)), F.count(F.when((F.col("attempts") >= 3) & (F.col("score") <= 0.05), 1))
-    got = ranked.agg(strong.alias("strong"), weak.alias("weak"))
-    risk = F.greatest(F.lit(0.5), F.least(F.lit(0.9), F.lit(0.65 + 0.2 * pressure) + 0.01 * F.col("weak") - 0.005 * F.col("strong")))
-    return got.select("strong", "weak", F.round(risk, 6).alias("risk_threshold"), F.when(F.col("weak") > F.col("strong"), 1).otherwise(0).alias("depth_bias"), F.lit(round(min(1.5, 1 + 0.5 * pressure), 6)).alias("validation_weight"))
+    # each side is one row
+    got = ranked.agg(strong.alias("strong"), weak.alias("weak")).withColumn("one", F.lit(1)).join(F.broadcast(pressure.withColumn("one", F.lit(1))), "one")
+    risk = F.greatest(F.lit(0.5), F.least(F.lit(0.9), 0.65 + 0.2 * F.col("pressure") + 0.01 * F.col("weak") - 0.005 * F.col("strong")))
+    bias = F.lit(-1) if invariants > 20 else F.when(F.col("weak") > F.col("strong"), 1).otherwise(0)
+    return got.select(
+        "strong", "weak", F.round(risk, 6).alias("risk_threshold"), bias.alias("depth_bias"), F.round(F.least(F.lit(1.5), 1 + 0.5 * F.col("pressure")), 6).alias("validation_weight"),
+        F.lit(1.15 if runtime else 1.0).alias("runtime_weight"),
+    )
+
+
+def calibration(episodes: DataFrame) -> DataFrame:
+    """One row: episodes, and the mean distance of predicted and observed scores where both are known."""
+    return episodes.agg(F.count(F.lit(1)).alias("episodes"), F.round(F.avg(F.abs(F.col("predicted") - F.col("observed"))), 6).alias("mean_error"))
+
+
+def evidence(weak: DataFrame, episodes: DataFrame, order: list[Column], last: int = 12) -> DataFrame:
+    """(strategy, id, place): of each weak strategy the ids of its last episodes."""
+    place = F.row_number().over(W.partitionBy("strategy").orderBy(*order))
+    return episodes.join(weak.select("strategy"), "strategy", "left_semi").withColumn("place", place).where(F.col("place") <= last).select("strategy", "id", "place")
 
 
 def reflection(ranked: DataFrame, top: float = 0.45, low: float = 0.15, n: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.common import small, stage
 from stratalens.functions.numbers import settle
 
 
@@ -19,9 +20,10 @@ def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def with_most(df: DataFrame, **most: Column) -> DataFrame:
-    """Adds maxima over each repository, null counting as 0."""
-    w = W.partitionBy("repo")
-    return df.select("*", *[F.coalesce(F.max(c).over(w), F.lit(0)).alias(n) for n, c in most.items()])
+    """Adds maxima over each repository and its number of nodes, null counting as 0. Maxima combine on the map side."""
+    df = stage(df, "measured")
+    top = df.groupBy("repo").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(n) for n, c in most.items()], F.count(F.lit(1)).alias("repo_nodes"))
+    return df.join(small(top), "repo")
 
 
 def measured(degrees: DataFrame, metrics: DataFrame, cyclic: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def boundary_rollup(scores: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def code_dna(m: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1)).over(W.partitionBy("repo"))
+    n = F.col("repo_nodes")
     weight = 2 * F.col("fan_in") + F.col("fan_out")
     central = F.least(F.lit(1.0), weight / F.greatest(F.lit(0.35) * n, F.lit(1.0)))
     degree = F.col("fan_in") + F.col("fan_out")
@@ -155,7 +157,7 @@ def recall_scores(prioritised: DataFrame, question: str) -> DataFrame:
     return prioritised.where(kept).select("repo", "id", F.round(score, 6).alias("score"), "priority")
 
 
-def recall_neighbourhood(scores: DataFrame, prioritised: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 12) -> DataFrame:
+def recall_neighbourhood(scores: DataFrame, prioritised: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 12, beyond: bool = False) -> DataFrame:
     """Roots by score, then what lies around them in either direction, up to a cap that the best-connected fill first."""
     from stratalens.operators.traverse import reach
 
@@ -165,7 +167,30 @@ def recall_neighbourhood(scores: DataFrame, prioritised: DataFrame, edges: DataF
     cap = min(2500, max(200, max(limit, 12) * 40))
     ranked = got.join(prioritised.select("repo", "id", "priority", (F.col("fan_in") + F.col("fan_out")).alias("degree")), ["repo", "id"])
     o = F.row_number().over(W.partitionBy("repo").orderBy("depth", F.col("degree").desc(), "id"))
-    return ranked.withColumn("ordinal", o).where(F.col("ordinal") <= cap).select("repo", "id", "depth", "degree", "priority", "ordinal")
+    # one more than the cap, so that it can be seen whether anything was left out
+    return ranked.withColumn("ordinal", o).where(F.col("ordinal") <= cap + (1 if beyond else 0)).select("repo", "id", "depth", "degree", "priority", "ordinal")
+
+
+def recall_summary(around: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+    """From a neighbourhood with one row beyond the cap: nodes within it, edges among them, and whether it leaves anything out."""
+    kept = around.where(F.col("ordinal") <= cap).select("repo", "id")
+    inner = edges.join(kept.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(kept.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi").groupBy("repo").agg(F.count(F.lit(1)).alias("edges"))
+    return around.groupBy("repo").agg(F.count(F.when(F.col("ordinal") <= cap, 1)).alias("nodes"), (F.max("ordinal") > cap).alias("truncated")).join(inner, "repo", "left").fillna(0, ["edges"])
+
+
+def compiled_context(sections: list[DataFrame], budget: int) -> DataFrame:
+    """(repo, section, ord, text, used) from sections (repo, ord, text), in their order, until the budget of characters: each section stops at its first text that goes beyond what the ones before have left."""
+    out, spent = None, None
+    for n, rows in enumerate(sections):
+        sized = rows.withColumn("length", F.length("text").cast("long"))
+        own = W.partitionBy("repo").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+        run = sized.withColumn("run", F.sum("length").over(own))
+        run = run.join(small(spent), "repo", "left").fillna(0, ["spent"]) if spent is not None else run.withColumn("spent", F.lit(0).cast("long"))
+        kept = stage(run.withColumn("used", F.col("run") + F.col("spent")).where(F.col("used") <= budget).select("repo", F.lit(n).alias("section"), "ord", "text", "used"), "section")
+        last = kept.groupBy("repo").agg(F.max("used").alias("now"))
+        spent = last.withColumnRenamed("now", "spent") if spent is None else stage(spent.join(last, "repo", "full_outer").select("repo", F.greatest("spent", "now").alias("spent")), "spent")
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 def within_budget(rows: DataFrame, key: list[str], order: list, length: str, budget: int) -> DataFrame:

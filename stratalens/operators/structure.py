@@ -55,7 +55,8 @@ def path_boundaries(nodes: DataFrame) -> DataFrame:
     parts = F.split(F.translate("path", "\\", "/"), "/")
     first = F.when(parts[0].isin("", "src", "."), "root").otherwise(parts[0])
     at = nodes.where(F.size(parts) >= 2).select("repo", first.alias("boundary"), "id")
-    return at.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("repo", "boundary"))).where("n > 1").drop("n")
+    several = at.groupBy("repo", "boundary").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return at.join(small(several), ["repo", "boundary"], "left_semi")
 
 
 def naming_boundaries(nodes: DataFrame, suffixes: list[tuple[str, str]] = NAME_SUFFIXES) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.common import numbered
+
 #: Thresholds of the live signals, and when a path counts as hot in each place that merges.
 HOT, SLOW_MS, ERROR_RATE, FAN_OUT = 500, 500.0, 0.05, 6
 HOT_LIMITS = {"batch": 500, "graph": 1000, "server": 500}
@@ -61,9 +63,9 @@ def edges(spans: DataFrame) -> DataFrame:
 
 def trace_steps(spans: DataFrame) -> DataFrame:
     """Spans with their position in the trace by start and span id, their source's node, and whether they have no parent."""
-    pos = F.row_number().over(W.partitionBy("t").orderBy(F.col("start").asc_nulls_first(), "v"))
+    placed = numbered(spans, ["t"], ["start", "v"], "pos")
     up = spans.select("t", F.col("v").alias("p"), F.col("node_id").alias("source"))
-    return spans.join(up, ["t", "p"], "left").withColumn("pos", pos).withColumn("root", F.col("p").isNull())
+    return placed.join(up, ["t", "p"], "left").withColumn("root", F.col("p").isNull())
 
 
 def retained(spans: DataFrame, traces: int, per_trace: int) -> DataFrame:
@@ -88,12 +90,10 @@ def fusion(metrics: DataFrame, links: DataFrame) -> DataFrame:
 
 def neighbourhood(steps: DataFrame, node: str) -> DataFrame:
     """In traces that touch the node: what comes before the first touch, what touches, what comes after."""
-    w = W.partitionBy("t").orderBy("pos")
     touch = (F.col("node_id") == node) | F.coalesce(F.col("source") == node, F.lit(False))
-    sofar = F.max(F.when(touch, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    ever = F.max(F.when(touch, 1).otherwise(0)).over(W.partitionBy("t"))
-    phase = F.when(touch, "touching").when(sofar == 1, "after").otherwise("before")
-    return steps.withColumn("phase", phase).withColumn("ever", ever).where("ever = 1").select("t", "v", "pos", "phase")
+    first = steps.where(touch).groupBy("t").agg(F.min("pos").alias("first"))
+    phase = F.when(touch, "touching").when(F.col("pos") > F.col("first"), "after").otherwise("before")
+    return steps.join(first, "t").withColumn("phase", phase).select("t", "v", "pos", "phase")
 
 
 def critical_path(steps: DataFrame, coverage: float = 0.7) -> DataFrame:

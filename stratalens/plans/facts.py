@@ -476,7 +476,7 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("strategy"), (F.col("l_discount") * 10 - 0.4).alias("reward"), (F.col("l_quantity") > 20).alias("accepted"),
         F.when(F.col("l_linenumber") != 3, F.col("l_tax") < 0.05).alias("validated"), F.when(F.col("l_linenumber") != 4, F.col("l_quantity") > 30).alias("improved"),
-        ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).alias("rollback"), F.when(F.col("l_linestatus") != "O", F.col("l_discount") > 0.03).alias("approved"))
+        F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).alias("rollback"), F.when(F.col("l_linestatus") != "O", F.col("l_discount") > 0.03).alias("approved"))
 
 
 @query(_OUT + " SELECT * FROM s")
@@ -490,9 +490,32 @@ def lane_rank(spark: SparkSession, d: str) -> DataFrame:
     return top.select("strategy", "score", F.row_number().over(W.orderBy(F.col("score").desc(), "strategy")).alias("rank"))
 
 
-@query(_OUT + " SELECT count(*) FILTER (attempts >= 3 AND score >= 0.55) AS strong, count(*) FILTER (attempts >= 3 AND score <= 0.05) AS weak, CAST(round(greatest(0.5, least(0.9, 0.67 + 0.01 * count(*) FILTER (attempts >= 3 AND score <= 0.05) - 0.005 * count(*) FILTER (attempts >= 3 AND score >= 0.55))), 6) AS DOUBLE) AS risk_threshold, CASE WHEN count(*) FILTER (attempts >= 3 AND score <= 0.05) > count(*) FILTER (attempts >= 3 AND score >= 0.55) THEN 1 ELSE 0 END AS depth_bias, CAST(1.05 AS DOUBLE) AS validation_weight FROM s")
+#: Outcomes in the order in which they came in.
+_LATEST = "l_orderkey DESC, l_linenumber DESC"
+
+
+@query(_OUT + f""", k AS (SELECT l_returnflag = 'R' AND l_quantity > 40 AS rollback FROM lineitem ORDER BY {_LATEST} LIMIT 50), u AS (SELECT count(*) FILTER (rollback) / 50 AS p FROM k),
+v AS (SELECT count(*) FILTER (attempts >= 3 AND score >= 0.55) AS strong, count(*) FILTER (attempts >= 3 AND score <= 0.05) AS weak FROM s)
+SELECT strong, weak, round(greatest(0.5, least(0.9, 0.65 + 0.2 * p + 0.01 * weak - 0.005 * strong)), 6) AS risk_threshold, CASE WHEN weak > strong THEN 1 ELSE 0 END AS depth_bias, round(least(1.5, 1 + 0.5 * p), 6) AS validation_weight, CAST(1.0 AS DOUBLE) AS runtime_weight FROM u, v""")
 def lane_policy(spark: SparkSession, d: str) -> DataFrame:
-    return lane.policy(lane.strategies(outcomes(spark, d)), 0.1)
+    recent = lane.rollback_pressure(outcomes(spark, d), [F.col("order").desc(), F.col("line").desc()])
+    return lane.policy(lane.strategies(outcomes(spark, d)), recent)
+
+
+@query(_OUT + " SELECT count(*) AS episodes, round(avg(abs(greatest(-1.0, least(1.0, reward)) - r)), 6) AS mean_error FROM r WHERE reward IS NOT NULL")
+def lane_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """How far outcomes with all their signals lie from what their reward alone predicts."""
+    bare = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("reward")))
+    return lane.calibration(outcomes(spark, d).where("reward IS NOT NULL").select(bare.alias("predicted"), lane.reward(F.col("reward")).alias("observed")))
+
+
+@query(_OUT + f""", w AS (SELECT strategy FROM s WHERE attempts >= 3 AND score < 0.35 ORDER BY score, strategy DESC LIMIT 5), e AS (SELECT l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR) AS strategy, l_orderkey AS id, row_number() OVER (PARTITION BY l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR) ORDER BY {_LATEST}) AS place FROM lineitem)
+SELECT strategy, id, CAST(place AS INT) AS place FROM e WHERE strategy IN (SELECT strategy FROM w) AND place <= 12""")
+def lane_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The last twelve outcomes of each weak strategy, on which a proposal rests."""
+    rows = outcomes(spark, d)
+    weak = lane.reflection(lane.strategies(rows), low=0.35).where("role = 'weak'")
+    return lane.evidence(weak, rows.select("strategy", F.col("order").alias("id"), "line"), [F.col("id").desc(), F.col("line").desc()])
 
 
 @query(_OUT + """, t AS (SELECT 'top' AS role, strategy, attempts, score, mean_reward FROM s WHERE attempts >= 3 AND score > 0.2 ORDER BY score DESC, strategy LIMIT 5), w AS (SELECT 'weak' AS role, strategy, attempts, score, mean_reward FROM s WHERE attempts >= 3 AND score < 0.15 ORDER BY score, strategy DESC LIMIT 5)

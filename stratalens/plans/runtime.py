@@ -147,7 +147,7 @@ NODE = "services/gateway/src/router.ts::routeRequest"
 @query(_STEPS + f""", k AS (SELECT *, node_id = '{NODE}' OR coalesce(source = '{NODE}', false) AS touch FROM steps), q AS (SELECT *, max(CAST(coalesce(touch, false) AS INT)) OVER (PARTITION BY t ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sofar, max(CAST(coalesce(touch, false) AS INT)) OVER (PARTITION BY t) AS ever FROM k)
 SELECT t, v, pos, CASE WHEN touch THEN 'touching' WHEN sofar = 1 THEN 'after' ELSE 'before' END AS phase FROM q WHERE ever = 1""")
 def trace_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.neighbourhood(telemetry.trace_steps(spans(spark, d)), NODE)
+    return telemetry.neighbourhood(stage(telemetry.trace_steps(spans(spark, d)), "steps"), NODE)
 
 
 @query(_STEPS + """, c AS (SELECT t, v, node_id, greatest(coalesce(ms, 0), 0) AS ms FROM steps), r AS (SELECT *, coalesce(sum(ms) OVER (PARTITION BY t ORDER BY ms DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(ms) OVER (PARTITION BY t) AS total FROM c)

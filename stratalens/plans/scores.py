@@ -139,17 +139,51 @@ def recall_scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.recall_scores(scoring.activity_priority(measured(spark, d)), QUESTION)
 
 
-@query(_RECALL + """, roots AS (SELECT repo, id FROM rec QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, priority DESC, id) <= 12),
+_AROUND = _RECALL + """, roots AS (SELECT repo, id FROM rec QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, priority DESC, id) <= 12),
 un AS (SELECT repo, src AS a, dst AS b FROM edges UNION SELECT repo, dst, src FROM edges),
 walk(repo, id, depth) AS (SELECT repo, id, 0 FROM roots UNION SELECT w.repo, u.b, w.depth + 1 FROM walk w JOIN un u ON u.repo = w.repo AND u.a = w.id WHERE w.depth < 2),
-near AS (SELECT repo, id, min(depth) AS depth FROM walk GROUP BY 1, 2)
-SELECT n.repo, n.id, n.depth, p.fan_in + p.fan_out AS degree, p.priority, row_number() OVER (PARTITION BY n.repo ORDER BY depth, p.fan_in + p.fan_out DESC, n.id) AS ordinal FROM near n JOIN prio p ON p.repo = n.repo AND p.id = n.id
-QUALIFY row_number() OVER (PARTITION BY n.repo ORDER BY depth, p.fan_in + p.fan_out DESC, n.id) <= 480""")
+near AS (SELECT repo, id, min(depth) AS depth FROM walk GROUP BY 1, 2),
+ord AS (SELECT n.repo, n.id, n.depth, p.fan_in + p.fan_out AS degree, p.priority, row_number() OVER (PARTITION BY n.repo ORDER BY depth, p.fan_in + p.fan_out DESC, n.id) AS ordinal FROM near n JOIN prio p ON p.repo = n.repo AND p.id = n.id)"""
+
+
+@query(_AROUND + " SELECT * FROM ord WHERE ordinal <= 480")
 def recall_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     p = stage(scoring.activity_priority(measured(spark, d)), "priority")
     return scoring.recall_neighbourhood(scoring.recall_scores(p, QUESTION), p, graph(spark, d)[1])
 
 
+@query(_AROUND + """, kept AS (SELECT repo, id FROM ord WHERE ordinal <= 480) SELECT o.repo, count(*) FILTER (ordinal <= 480) AS nodes, max(ordinal) > 480 AS truncated,
+ (SELECT count(*) FROM edges e WHERE e.repo = o.repo AND (e.repo, e.src) IN (SELECT repo, id FROM kept) AND (e.repo, e.dst) IN (SELECT repo, id FROM kept)) AS edges FROM ord o GROUP BY o.repo""")
+def recall_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How much a question's neighbourhood holds in each repository, edges among its nodes included, and whether it was cut."""
+    p, edges = stage(scoring.activity_priority(measured(spark, d)), "priority"), graph(spark, d)[1]
+    around = stage(scoring.recall_neighbourhood(scoring.recall_scores(p, QUESTION), p, edges, beyond=True), "around")
+    return scoring.recall_summary(around, edges, 480)
+
+
+BUDGET = 4000
+
+
+@query(_AROUND + f""", kept AS (SELECT repo, id, ordinal FROM ord WHERE ordinal <= 480),
+s0 AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY ordinal) AS ord, 'root ' || id AS text FROM ord WHERE depth = 0 AND ordinal <= 480), s1 AS (SELECT repo, ordinal AS ord, 'node ' || id AS text FROM kept),
+s2 AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY src, dst, kind) AS ord, src || ' ' || kind || ' ' || dst AS text FROM edges e WHERE (e.repo, e.src) IN (SELECT repo, id FROM kept) AND (e.repo, e.dst) IN (SELECT repo, id FROM kept)),
+c0 AS (SELECT *, sum(length(text)) OVER (PARTITION BY repo ORDER BY ord) AS used FROM s0), k0 AS (SELECT * FROM c0 WHERE used <= {BUDGET}), t0 AS (SELECT repo, max(used) AS spent FROM k0 GROUP BY 1),
+c1 AS (SELECT *, sum(length(text)) OVER (PARTITION BY repo ORDER BY ord) + coalesce((SELECT spent FROM t0 WHERE t0.repo = s1.repo), 0) AS used FROM s1), k1 AS (SELECT * FROM c1 WHERE used <= {BUDGET}), t1 AS (SELECT repo, max(used) AS spent FROM (SELECT repo, used FROM k0 UNION ALL SELECT repo, used FROM k1) GROUP BY 1),
+c2 AS (SELECT *, sum(length(text)) OVER (PARTITION BY repo ORDER BY ord) + coalesce((SELECT spent FROM t1 WHERE t1.repo = s2.repo), 0) AS used FROM s2), k2 AS (SELECT * FROM c2 WHERE used <= {BUDGET})
+SELECT repo, section, ord, text, CAST(used AS BIGINT) AS used FROM (SELECT 0 AS section, * FROM k0 UNION ALL SELECT 1, * FROM k1 UNION ALL SELECT 2, * FROM k2)""")
+def context_compiled(spark: SparkSession, d: str) -> DataFrame:
+    """A question's context for each repository, within a budget of characters: roots, then nodes, then edges among them."""
+    p, edges = stage(scoring.activity_priority(measured(spark, d)), "priority"), stage(graph(spark, d)[1], "edges")
+    around = stage(scoring.recall_neighbourhood(scoring.recall_scores(p, QUESTION), p, edges), "around")
+    place = lambda *order: F.row_number().over(W.partitionBy("repo").orderBy(*order)).cast("int")
+    kept = around.select("repo", "id")
+    inner = edges.join(kept.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(kept.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi")
+    return scoring.compiled_context([
+        around.where("depth = 0").select("repo", place("ordinal").alias("ord"), F.concat(F.lit("root "), "id").alias("text")), around.select("repo", F.col("ordinal").alias("ord"), F.concat(F.lit("node "), "id").alias("text")),
+        inner.select("repo", place("src", "dst", "kind").alias("ord"), F.concat_ws(" ", "src", "kind", "dst").alias("text")),
+    ], BUDGET)
+
+
 @query(_PRIO + """, run AS (SELECT repo, id, CAST(length(id) + 40 AS BIGINT) AS chars, sum(length(id) + 40) OVER (PARTITION BY repo ORDER BY priority DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM prio)
 SELECT repo, id, chars, CAST(used AS BIGINT) AS used FROM run WHERE used <= 4000""")
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +193,10 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Words that a question's terms leave out.
-STOP_WORDS = """the a an is are was were does do did why what which how this that these those in on at to for of and or it its with from by as be has have had""".split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "does", "do", "did", "why", "what", "which", "how", "this", "that", "these", "those", "in", "on", "at", "to", "for", "of", "and", "or", "it", "its",
+    "with", "from", "by", "as", "be", "has", "have", "had",
+]
 
 
 def question_terms(text: str) -> list[str]:
