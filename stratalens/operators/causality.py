@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -126,6 +126,38 @@ def runtime_hotspots(rows: DataFrame) -> DataFrame:
     return rows.where((cpu != 0) | (mem != 0) | (lat != 0) | (err != 0)).select("id", F.round(score, 6).alias("score"))
 
 
+#: Kinds of entities by path and name in lower case; the first rule that holds counts.
+KIND_RULES = [
+    ("migration", "path contains", ["/migrations/", "/migration/"]), ("migration", "name contains", ["migration"]),
+    ("schema", "path ends with", ["schema.prisma", ".sql"]), ("schema", "path contains", ["/schema/"]),
+    ("infrastructure", "path ends with", ["docker-compose.yml", "docker-compose.yaml", "dockerfile", "compose.yml", "compose.yaml", ".tf", ".tf.json"]), ("infrastructure", "path contains", ["/k8s/", "/kubernetes/", "/helm/"]),
+    ("deployment", "path contains", ["/.github/workflows/", "/deploy/", "/deployment/"]),
+    ("test", "path contains", ["/test/", "/tests/", "/__tests__/"]), ("test", "path begins with", ["tests/"]), ("test", "path ends with", ["_test.go", "_test.rs", "_test.py", ".test.ts", ".test.tsx", ".spec.ts", ".spec.tsx"]),
+    ("feature_flag", "name begins with", ["feature_"]), ("feature_flag", "name contains", ["featureflag", "feature_flag"]),
+    ("queue", "name contains", ["queue"]), ("topic", "name contains", ["topic"]), ("event", "name ends with", ["event"]), ("event", "name contains", ["event_"]),
+    ("job", "name contains", ["cron", "scheduler"]), ("job", "name ends with", ["job"]), ("transaction", "name contains", ["transaction"]), ("lock", "name contains", ["mutex", "lock"]),
+    ("api", "name ends with", ["controller", "route", "endpoint"]), ("service", "name ends with", ["service"]),
+    ("configuration", "name contains", ["config"]), ("configuration", "name begins with", ["env_"]), ("secret", "name contains", ["secret", "token", "password", "api_key"]),
+]
+#: Kinds of entities by kind of node; others are symbols.
+NODE_KINDS = {"file": "file", "module": "package", "namespace": "package", "variable": "value"}
+
+
+def entity_kind(kind: Column, name: Column, path: Column) -> Column:
+    """What a node of the graph is as an entity: by path and name, else by its kind."""
+    p, n = F.lower(F.translate(path, "\\", "/")), F.lower(name)
+    holds = {"contains": lambda c, x: c.contains(x), "begins with": lambda c, x: c.startswith(x), "ends with": lambda c, x: c.endswith(x)}
+    out = None
+    for result, rule, words in KIND_RULES:
+        what, how = rule.split(" ", 1)
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.coalesce(holds[how](p if what == "path" else n, w), F.lit(False))
+        out = F.when(hit, result) if out is None else out.when(hit, result)
+    plain = F.create_map(*[F.lit(x) for kv in NODE_KINDS.items() for x in kv])[F.lower(kind)]
+    return out.otherwise(F.coalesce(plain, F.lit("symbol")))
+
+
 def fan(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, fan_in, fan_out, instability) of every entity, also those without facts."""
     ends = facts.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("into")))).alias("e")).select("e.*")

@@ -52,6 +52,27 @@ def external_dependencies(rows: DataFrame) -> DataFrame:
     return rows.select("repo", paths.external_root(F.col("source")).alias("package")).where("package IS NOT NULL").distinct()
 
 
+def identity_path(path: Column) -> Column:
+    """A file's path as its identity: normalised, a leading slash kept."""
+    return F.concat(F.when(paths.slashed(path).startswith("/"), "/").otherwise(""), paths.normalise(path))
+
+
+def completed_scan(analyses: DataFrame) -> DataFrame:
+    """The state that a whole scan (path, ...) leaves, paths as identities; refused if a path is empty or there twice."""
+    state = analyses.withColumn("path", identity_path(F.col("path")))
+    if not state.where("path IS NULL OR path = ''").isEmpty():
+        raise ValueError("the scan has an empty path")
+    if not state.groupBy("path").count().where("count > 1").isEmpty():
+        raise ValueError("the scan has a path twice")
+    return state
+
+
+def require_snapshot(anchored: str | None, expected: str) -> None:
+    """Parsed evidence may be changed in place only if it describes the snapshot that is current."""
+    if anchored != expected:
+        raise ValueError(f"a whole scan is required: the evidence describes {anchored or 'no snapshot'}, current is {expected}")
+
+
 def apply_delta(state: DataFrame, delta: DataFrame) -> DataFrame:
     """State (path, ...) after a batch of file changes (path, kind add|modify|delete, same other columns).
 

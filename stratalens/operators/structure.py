@@ -160,17 +160,17 @@ def all_violations(nodes: DataFrame, edges: DataFrame, members: DataFrame, rules
     return out.withColumn("severity", severity).withColumn("rank", _cases([(F.col("severity") == k, F.lit(v)) for k, v in RANK.items()]).cast("int"))
 
 
-#: Advice for each kind of violation, by priority.
-ADVICE = {
-    "circular_dependency": (1, "break the cycle behind an interface"), "forbidden_dependency": (2, "depend on the layer below through its contract"),
-    "layer_skip": (3, "go through the layer between"), "god_object": (4, "split by responsibility"), "unstable_dependency": (5, "depend on something more stable"),
-}
+#: Priority of each piece of advice, with what it is about; the highest comes first.
+ADVICE = {"circular_dependency": (9.0, "break the cycle behind an interface"), "no_pattern": (8.0, "organise the code in layers"), "god_object": (7.0, "split by responsibility")}
 
 
-def suggestions(violations: DataFrame, n: int = 5) -> DataFrame:
+def suggestions(violations: DataFrame, patterns: DataFrame, n: int = 5) -> DataFrame:
+    """(kind, n, priority, advice): what to do about violations, and about code in which no pattern was found, most urgent first."""
     known = F.create_map(*[x for k, (p, t) in ADVICE.items() for x in (F.lit(k), F.struct(F.lit(p).alias("priority"), F.lit(t).alias("advice")))])
-    count = violations.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return count.withColumn("a", known[F.col("kind")]).select("kind", "n", "a.priority", "a.advice").orderBy("priority").limit(n)
+    count = violations.where(F.col("kind").isin("circular_dependency", "god_object")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    one = violations.sparkSession.range(1).select(F.lit("no_pattern").alias("kind"), F.lit(1).cast("long").alias("n"))
+    none = one.join(patterns.limit(1).select(F.lit("no_pattern").alias("kind")), "kind", "left_anti")
+    return count.unionByName(none).withColumn("a", known[F.col("kind")]).select("kind", "n", "a.priority", "a.advice").orderBy(F.col("priority").desc()).limit(n)
 
 
 def gate(violations: DataFrame, threshold: str = "error") -> DataFrame:

@@ -454,13 +454,46 @@ def manifest_links(spark: SparkSession, d: str) -> DataFrame:
 EDGE_RELATION = {"import": "imports", "calls": "calls", "returns": "returns", "parameter": "assigns"}
 
 
-@query(GRAPH_SQL + " SELECT repo, repo || '/' || src AS src, repo || '/' || dst AS dst, CASE kind WHEN 'import' THEN 'imports' WHEN 'calls' THEN 'calls' WHEN 'returns' THEN 'returns' WHEN 'parameter' THEN 'assigns' ELSE 'depends_on' END AS rel FROM edges")
+def _entity_id(file: bool) -> str:
+    return "'repo:' || repo || '::file:' || replace(path, chr(92), '/')" if file else "'repo:' || repo || '::node:' || id"
+
+
+def _kind_sql() -> str:
+    test = {"contains": "contains({c}, '{x}')", "begins with": "starts_with({c}, '{x}')", "ends with": "ends_with({c}, '{x}')"}
+    column = {"path": "lower(replace(path, chr(92), '/'))", "name": "lower(name)"}
+    arms = []
+    for kind, rule, words in c.KIND_RULES:
+        what, how = rule.split(" ", 1)
+        arms.append("WHEN " + " OR ".join(test[how].format(c=column[what], x=w) for w in words) + f" THEN '{kind}'")
+    return "CASE " + " ".join(arms) + " " + " ".join(f"WHEN lower(kind) = '{k}' THEN '{v}'" for k, v in c.NODE_KINDS.items()) + " ELSE 'symbol' END"
+
+
+_ENT = f", ent AS (SELECT repo, id AS raw, CASE WHEN lower(kind) = 'file' THEN {_entity_id(True)} ELSE {_entity_id(False)} END AS id, {_kind_sql()} AS kind, name FROM nodes)"
+
+
+def graph_ids(nodes: DataFrame) -> DataFrame:
+    """Nodes with their id and kind as entities, ids within their repository."""
+    own = F.when(F.lower("kind") == "file", F.concat(F.lit("repo:"), "repo", F.lit("::file:"), F.translate("path", "\\", "/"))).otherwise(F.concat(F.lit("repo:"), "repo", F.lit("::node:"), "id"))
+    return nodes.select("repo", F.col("id").alias("raw"), own.alias("id"), c.entity_kind(F.col("kind"), F.col("name"), F.col("path")).alias("kind"), "name")
+
+
+@query(GRAPH_SQL + _ENT + " SELECT id, kind, name FROM ent")
+def graph_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the graph as entities."""
+    return graph_ids(graph(spark, d)[0]).select("id", "kind", "name")
+
+
+@query(GRAPH_SQL + _ENT + " SELECT e.repo, a.id AS src, b.id AS dst, CASE e.kind WHEN 'import' THEN 'imports' WHEN 'calls' THEN 'calls' WHEN 'returns' THEN 'returns' WHEN 'parameter' THEN 'assigns' ELSE 'depends_on' END AS rel, greatest(0.0, least(1.0, e.weight)) AS conf FROM edges e JOIN ent a ON a.repo = e.repo AND a.raw = e.src JOIN ent b ON b.repo = e.repo AND b.raw = e.dst")
 def graph_facts(spark: SparkSession, d: str) -> DataFrame:
-    """The property graph as facts, ids within their repository."""
+    """Edges of the graph as facts, as sure as their weight within 0..1."""
     rel = F.lit("depends_on")
     for k, v in EDGE_RELATION.items():
         rel = F.when(F.col("kind") == k, v).otherwise(rel)
-    return graph(spark, d)[1].select("repo", F.concat_ws("/", "repo", "src").alias("src"), F.concat_ws("/", "repo", "dst").alias("dst"), rel.alias("rel"))
+    nodes, edges = graph(spark, d)
+    ids = graph_ids(nodes).select("repo", "raw", "id")
+    rows = edges.select("repo", "src", "dst", rel.alias("rel"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "weight")).alias("conf"))
+    rows = rows.join(ids.select("repo", F.col("raw").alias("src"), F.col("id").alias("a")), ["repo", "src"]).join(ids.select("repo", F.col("raw").alias("dst"), F.col("id").alias("b")), ["repo", "dst"])
+    return rows.select("repo", F.col("a").alias("src"), F.col("b").alias("dst"), "rel", "conf")
 
 
 # learning: order lines stand for outcomes

@@ -133,6 +133,14 @@ def impact_bfs(spark: SparkSession, d: str) -> DataFrame:
     return impact(nodes, edges, hubs(nodes, edges))
 
 
+@query(GRAPH_SQL + _IMPACT + " SELECT repo, id, depth FROM near")
+def impact_by_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The impact of each hub by the frontier loop, which graphs too large to be walked whole take."""
+    nodes, edges = graph(spark, d)
+    seeds = hubs(nodes, edges).select(F.col("repo").alias("key"), F.col("id").alias("node"))
+    return traverse.reach(edges.select(F.col("repo").alias("key"), "src", "dst"), seeds, reverse=True, group_edges=0).select(F.col("key").alias("repo"), F.col("node").alias("id"), "depth")
+
+
 @query(GRAPH_SQL + _IMPACT + _SUMMARY.format(key="repo") + " FROM imp GROUP BY repo")
 def impact_summary(spark: SparkSession, d: str) -> DataFrame:
     return impact_summary_of(impact_bfs(spark, d))
@@ -413,9 +421,10 @@ def drift_severity(spark: SparkSession, d: str) -> DataFrame:
     return violations(spark, d)
 
 
-@query(GRAPH_SQL + _ALL + ", advice(kind, priority, advice) AS (VALUES " + ", ".join(f"('{k}', {p}, '{t}')" for k, (p, t) in structure.ADVICE.items()) + ") SELECT kind, n, priority, advice FROM (SELECT kind, count(*) AS n FROM violations GROUP BY 1) JOIN advice USING (kind) ORDER BY priority LIMIT 5")
+@query(GRAPH_SQL + _ALL + f", pat AS (SELECT 1 FROM nodes WHERE {_layer_case()} IS NOT NULL LIMIT 1), advice(kind, priority, advice) AS (VALUES " + ", ".join(f"('{k}', CAST({p} AS DOUBLE), '{t}')" for k, (p, t) in structure.ADVICE.items())
+ + ") SELECT kind, n, priority, advice FROM (SELECT kind, count(*) AS n FROM violations GROUP BY 1 UNION ALL SELECT 'no_pattern', 1 WHERE NOT EXISTS (SELECT 1 FROM pat)) JOIN advice USING (kind) ORDER BY priority DESC LIMIT 5")
 def drift_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return structure.suggestions(violations(spark, d))
+    return structure.suggestions(violations(spark, d), structure.layered_pattern(*graph(spark, d), LAYER_PATHS))
 
 
 @query(GRAPH_SQL + _ALL + " SELECT count(*) FILTER (rank >= 2) AS blocking, count(*) FILTER (rank >= 2) = 0 AS passed FROM violations")

@@ -137,6 +137,11 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(normal_spans(table(spark, d, "otlp_spans")), intervals=True)
 
 
+def hierarchy_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    """Root and depth of every span by joins, the way that traces too large to be solved whole take."""
+    return hierarchy(normal_spans(table(spark, d, "otlp_spans")), intervals=False, scope_rows=0)
+
+
 _P5 = """
 WITH RECURSIVE n AS (SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS v, min(nullif(lower(trim(parent_span_id)), '')) AS p
   FROM otlp_spans WHERE trace_id IS NOT NULL AND span_id IS NOT NULL GROUP BY 1, 2),
@@ -147,6 +152,10 @@ P5_FOUND_SQL = _P5 + """
 SELECT t AS trace_id, v AS span_id, root AS root_span_id, depth FROM w WHERE depth >= 8
 UNION ALL SELECT t, v, '', CAST(-1 AS BIGINT) FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.t = n.t AND w.v = n.v)
 """
+HIERARCHY_BY_JOINS_SQL = _P5 + """
+SELECT t AS trace_id, v AS span_id, root AS root_span_id, depth FROM w
+UNION ALL SELECT t, v, '', CAST(-1 AS BIGINT) FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.t = n.t AND w.v = n.v)
+"""
 P5_HIERARCHY_SQL = _P5.rstrip() + """,
 z AS (SELECT w.*, n.p FROM w JOIN n USING (t, v)),
 up AS (SELECT t, v, v AS anc FROM w UNION ALL SELECT up.t, up.v, z.p FROM up JOIN z ON z.t = up.t AND z.v = up.anc WHERE z.depth > 0),
@@ -164,9 +173,9 @@ UNION ALL SELECT t, v, '', CAST(-1 AS BIGINT), NULL, NULL, NULL, NULL, NULL FROM
 
 QUERIES = {
     "p1_found": p1_found, "p1_messages": p1_messages, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report,
-    "p5_found": p5_found, "p5_hierarchy": p5_hierarchy,
+    "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "hierarchy_by_joins": hierarchy_by_joins,
 }
 SQL = {
     "p1_found": P1_FOUND_SQL, "p1_messages": P1_MESSAGES_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_FOUND_SQL,
-    "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL, "p5_hierarchy": P5_HIERARCHY_SQL,
+    "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL, "p5_hierarchy": P5_HIERARCHY_SQL, "hierarchy_by_joins": HIERARCHY_BY_JOINS_SQL,
 }

@@ -17,7 +17,7 @@ def latest_snapshots(spark: SparkSession, d: str, back: int = 0) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str, back: int = 0) -> tuple[DataFrame, DataFrame]:
-    """nodes(repo, id, kind, name, path, line, owner) and edges(repo, src, dst, kind, eid) of the latest snapshots.
+    """nodes(repo, id, kind, name, path, line, owner) and edges(repo, src, dst, kind, eid, call_line, weight) of the latest snapshots.
 
     One whole row per node id, and per edge (src, dst, kind); edges with both ends present.
     """
@@ -27,7 +27,7 @@ def graph(spark: SparkSession, d: str, back: int = 0) -> tuple[DataFrame, DataFr
     )
     ends = nodes.select("repo", "id")
     edges = first_rows(
-        table(spark, d, "snapshot_edges").join(snap, "snapshot_id").select("repo", F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lower("kind").alias("kind"), F.col("edge_id").alias("eid"), F.col("metadata")["line"].alias("call_line")),
+        table(spark, d, "snapshot_edges").join(snap, "snapshot_id").select("repo", F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lower("kind").alias("kind"), F.col("edge_id").alias("eid"), F.col("metadata")["line"].alias("call_line"), "weight"),
         ["repo", "src", "dst", "kind"],
     ).join(ends.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(ends.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi")
     return nodes, edges
@@ -50,8 +50,8 @@ snap{suffix} AS (SELECT snapshot_id, repo FROM (SELECT snapshot_id, min(reposito
   QUALIFY row_number() OVER (PARTITION BY repo ORDER BY t DESC NULLS LAST, snapshot_id DESC) = {back + 1}),
 nodes{suffix} AS (SELECT repo, node_id AS id, kind, name, path, line, element_at(metadata, 'owner')[1] AS owner FROM snapshot_nodes JOIN snap{suffix} USING (snapshot_id) WHERE node_id IS NOT NULL
   {_first_sql('repo, node_id', "kind, name, path, line, element_at(metadata, 'owner')[1]")}),
-edges{suffix} AS (SELECT * FROM (SELECT repo, from_id AS src, to_id AS dst, lower(e.kind) AS kind, edge_id AS eid, element_at(metadata, 'line')[1] AS call_line FROM snapshot_edges e JOIN snap{suffix} USING (snapshot_id)) x
-  WHERE EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = x.repo AND n.id = x.src) AND EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = x.repo AND n.id = x.dst) {_first_sql('repo, src, dst, kind', 'eid, call_line')})"""
+edges{suffix} AS (SELECT * FROM (SELECT repo, from_id AS src, to_id AS dst, lower(e.kind) AS kind, edge_id AS eid, element_at(metadata, 'line')[1] AS call_line, weight FROM snapshot_edges e JOIN snap{suffix} USING (snapshot_id)) x
+  WHERE EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = x.repo AND n.id = x.src) AND EXISTS (SELECT 1 FROM nodes{suffix} n WHERE n.repo = x.repo AND n.id = x.dst) {_first_sql('repo, src, dst, kind', 'eid, call_line, weight')})"""
 
 
 GRAPH_SQL = "WITH RECURSIVE " + _graph_sql(0)

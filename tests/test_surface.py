@@ -229,3 +229,22 @@ def test_delta_is_all_or_nothing(spark, rows):
             resolve.apply_delta(state, d(*bad))
     assert resolve.freshness(("c", "w"), ("c", "w")) == "fresh" and resolve.freshness(("c", "w"), ("c", "x")) == "worktree-changed" and resolve.freshness(("c", None), ("c", "x")) == "head-only"
     assert sinks.content_id(state) == sinks.content_id(state.orderBy(F.col("path").desc())) != sinks.content_id(state.limit(1))
+
+
+def test_guards_of_a_completed_scan(spark, rows):
+    scan = lambda *p: spark.createDataFrame([(x, 1) for x in p], "path string, v int")
+    assert rows(resolve.completed_scan(scan("/a/./b.py", "a\\b.py", "c/../d.py")), "path") == [("/a/b.py",), ("a/b.py",), ("d.py",)]
+    for bad in (("a", "./a"), ("", "b"), (None,), ("a/..",)):
+        with pytest.raises(ValueError):
+            resolve.completed_scan(scan(*bad))
+    resolve.require_snapshot("s1", "s1")
+    for anchored in (None, "s0"):
+        with pytest.raises(ValueError):
+            resolve.require_snapshot(anchored, "s1")
+
+
+def test_places_in_groups_large_and_small(spark, rows):
+    from stratalens.common import numbered
+
+    df = spark.createDataFrame([("a", i % 7 or None, i) for i in range(40)] + [("b", 1, 0), ("b", None, 1)], "g string, o int, v int")
+    assert rows(numbered(df, ["g"], ["o", "v"], "n")) == rows(numbered(df, ["g"], ["o", "v"], "n", hot_rows=3))
