@@ -218,6 +218,13 @@ def weighted_means(samples: DataFrame, key: str, weight: str, values: list[str])
     return samples.groupBy(key).agg(*[(F.sum(F.when(ok(v), F.col(v) * F.col(weight))) / F.sum(F.when(ok(v), F.col(weight)))).alias(v) for v in values])
 
 
+def observations(samples: DataFrame, trace: str, entity: str, at: str) -> DataFrame:
+    """(src, dst, rel, ev, conf, ms): each trace observes an entity once, first seen at the least time in ms; samples without a trace are traces of their own by entity and time."""
+    own = F.coalesce(F.nullif(F.trim(trace), F.lit("")), F.concat_ws(":", F.lit("runtime:observation"), F.col(entity), F.coalesce(F.col(at), F.lit(0)).cast("string")))
+    got = samples.where(F.col(entity).isNotNull()).groupBy(own.alias("src"), F.col(entity).alias("dst")).agg(F.min(at).alias("ms"))
+    return got.select("src", "dst", F.lit("observes").alias("rel"), F.lit("runtime").alias("ev"), F.lit(1.0).alias("conf"), "ms")
+
+
 def contract_snapshots(rows: DataFrame) -> DataFrame:
     """From (owner, field, kind): each owner's sorted fields, complete if none lacks a name or kind."""
     return rows.groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "field", "kind"))), ",").alias("fields"), (F.count(F.when(F.col("field").isNull() | F.col("kind").isNull(), 1)) == 0).alias("complete"))

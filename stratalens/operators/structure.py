@@ -97,6 +97,16 @@ def rule_table(spark, rules: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "boundary string, token string, ord int")
 
 
+def guidelines(members: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
+    """(repo, boundary, place, line): a heading for each boundary, its members, and the tokens it must not depend on."""
+    sized = members.groupBy("repo", "boundary").agg(F.count(F.lit(1)).alias("members"))
+    tokens = None
+    for b, ts in rules.items():
+        tokens = (F.when if tokens is None else tokens.when)(F.col("boundary") == b, ", ".join(ts))
+    lines = [F.concat(F.lit("### Boundary: "), "boundary"), F.concat(F.lit("- Members: "), F.col("members").cast("string")), F.concat(F.lit("- Forbidden dependency tokens: "), tokens) if rules else F.lit(None).cast("string")]
+    return sized.select("repo", "boundary", F.posexplode(F.array(*lines)).alias("place", "line")).where("line IS NOT NULL").withColumn("place", F.col("place") + 1)
+
+
 def forbidden(edges: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
     """Per edge, boundary of its source and token: the target's id contains the token, letter case counting."""
     of = members.withColumnRenamed("id", "src")
@@ -173,6 +183,14 @@ def suggestions(violations: DataFrame, patterns: DataFrame, n: int = 5) -> DataF
     return count.unionByName(none).withColumn("a", known[F.col("kind")]).select("kind", "n", "a.priority", "a.advice").orderBy(F.col("priority").desc()).limit(n)
 
 
+def search(violations: DataFrame, patterns: DataFrame, word: str) -> DataFrame:
+    """(repo, type, what): patterns by the name of a layer, violations by kind, ends or boundary, that contain the word, letter case aside."""
+    w = word.lower()
+    text = F.lower(F.concat_ws(" ", "kind", "src", "dst", "boundary"))
+    found = patterns.where(F.lower("layer").contains(w)).select("repo", F.lit("pattern").alias("type"), F.col("layer").alias("what"))
+    return found.unionByName(violations.where(text.contains(w)).select("repo", F.lit("drift").alias("type"), F.concat_ws(" ", "kind", "src", "dst").alias("what")))
+
+
 def gate(violations: DataFrame, threshold: str = "error") -> DataFrame:
     return violations.agg(F.count(F.when(F.col("rank") >= RANK[threshold], 1)).alias("blocking")).withColumn("passed", F.col("blocking") == 0)
 

@@ -443,6 +443,13 @@ def drift_search(spark: SparkSession, d: str) -> DataFrame:
     return violations(spark, d).where(text.contains("ledger")).select("repo", "kind", "src", "dst")
 
 
+@query(GRAPH_SQL + _ALL + f""", l AS (SELECT DISTINCT repo, {_layer_case()} AS layer FROM nodes) SELECT repo, 'pattern' AS type, layer AS what FROM l WHERE contains(layer, 'domain')
+ UNION ALL SELECT repo, 'drift', concat_ws(' ', kind, src, dst) FROM violations WHERE contains(lower(concat_ws(' ', kind, src, dst, boundary)), 'domain')""")
+def code_search(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns and violations that mention a word."""
+    return structure.search(violations(spark, d), structure.layered_pattern(*graph(spark, d), LAYER_PATHS), "domain")
+
+
 _INCREMENTAL = "WITH RECURSIVE " + _graph_sql(0, "_all") + "," + CHANGES_SQL + """,
 first AS (SELECT n.repo, arg_min(n.id, (lower(n.kind) <> 'file', n.line, n.id)) AS id FROM nodes_all n JOIN changes c ON c.repo = n.repo AND c.path = n.path GROUP BY n.repo, n.path),
 part(repo, id) AS (SELECT repo, id FROM first UNION SELECT w.repo, e.dst FROM part w JOIN edges_all e ON e.repo = w.repo AND e.src = w.id),

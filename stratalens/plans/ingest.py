@@ -342,6 +342,12 @@ def runtime_hotspots(spark: SparkSession, d: str) -> DataFrame:
     return causality.runtime_hotspots(got.select("id", kv.alias("attributes")))
 
 
+@query("""SELECT coalesce(nullif(trim(trace_id), ''), 'runtime:observation:' || target_node || ':' || coalesce(last_seen_unix_nano // 1000000, 0)) AS src, target_node AS dst, 'observes' AS rel, 'runtime' AS ev, 1.0::DOUBLE AS conf, min(last_seen_unix_nano // 1000000) AS ms FROM runtime_edges WHERE target_node IS NOT NULL GROUP BY 1, 2""")
+def runtime_observations(spark: SparkSession, d: str) -> DataFrame:
+    """Observed calls as facts: which trace observed which node."""
+    return causality.observations(table(spark, d, "runtime_edges").withColumn("ms", F.expr("last_seen_unix_nano div 1000000")), "trace_id", "target_node", "ms")
+
+
 @query(FACTS_SQL + """, ep AS (SELECT fact_id AS id, split_part(src, ':', 1) AS project, ev, conf, coalesce(ms, 0) AS created FROM facts), kept AS (SELECT * FROM ep WHERE project = 'symbol' AND ev <> 'predicted') SELECT CAST(id AS VARCHAR) AS id, conf, created FROM kept ORDER BY created DESC, CAST(id AS VARCHAR) LIMIT 2000""")
 def lane_remember(spark: SparkSession, d: str) -> DataFrame:
     """Facts as episodes of a project: the newest 2,000 of those that carry no prediction."""
@@ -416,6 +422,13 @@ def markdown_nodes(spark: SparkSession, d: str) -> DataFrame:
     return sinks.markdown_rows(graph(spark, d)[0].select("repo", "id", "kind", "name", "path", "line"))
 
 
+@query(GRAPH_SQL + graphs._PATHB + graphs._RULES + """, b AS (SELECT repo, boundary, count(*) AS members FROM pb GROUP BY 1, 2), f AS (SELECT boundary, string_agg(token, ', ' ORDER BY ord) AS tokens FROM rules GROUP BY 1)
+SELECT repo, boundary, 1 AS place, '### Boundary: ' || boundary AS line FROM b UNION ALL SELECT repo, boundary, 2, '- Members: ' || members FROM b UNION ALL SELECT repo, b.boundary, 3, '- Forbidden dependency tokens: ' || tokens FROM b JOIN f USING (boundary)""")
+def guideline_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Guidelines from the inferred boundaries: for each its heading, its size and what it must not depend on."""
+    return structure.guidelines(structure.path_boundaries(graph(spark, d)[0]), graphs.PATH_RULES)
+
+
 @query()
 def snapshot_digests(spark: SparkSession, d: str) -> DataFrame:
     """One digest of the nodes of each repository's latest snapshot, by which equal states are known."""
