@@ -10,20 +10,10 @@ from stratalens.common import small, stage, table
 from stratalens.operators import causality as c
 from stratalens.operators import history, lane, resolve
 from stratalens.plans import graphs, upkeep
+from stratalens.plans.registry import registry
 from stratalens.plans.views import FACTS_SQL, GRAPH_SQL, SPANS_SQL, facts, graph, spans
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = registry()
 
 
 # imports and calls

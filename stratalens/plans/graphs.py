@@ -9,20 +9,10 @@ from pyspark.sql import functions as F
 
 from stratalens.common import stage, table
 from stratalens.operators import structure, traverse
+from stratalens.plans.registry import registry
 from stratalens.plans.views import CHANGES_SQL, GRAPH_SQL, TWO_GRAPHS_SQL, _graph_sql, changes, graph
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = registry()
 
 
 #: Rules for the test tables' paths and names.

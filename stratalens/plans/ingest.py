@@ -12,22 +12,12 @@ from stratalens.operators import causality, extract, lane, resolve, structure, t
 from stratalens.plans import graphs, runtime
 from stratalens.plans.facts import _FILES, import_rows
 from stratalens.plans.scores import _DNA
+from stratalens.plans.registry import registry
 from stratalens.plans.views import FACTS_SQL, GRAPH_SQL, facts, graph
 from stratalens.sources import files as sources
 from stratalens.sources import otlp, parse, sinks
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = registry()
 
 
 # parsers
@@ -365,6 +355,38 @@ def infrastructure_observations(spark: SparkSession, d: str) -> DataFrame:
 
 # boundaries by annotation, relations of types
 
+_SUFFIXED = [s for s, _ in structure.NAME_SUFFIXES] + ["", "Thing"]
+_SUFFIXED_SQL = "name || (['" + "', '".join(_SUFFIXED) + f"'])[length(id) % {len(_SUFFIXED)} + 1]"
+
+
+@query(GRAPH_SQL + f", n AS (SELECT repo, id, {_SUFFIXED_SQL} AS name FROM nodes), b AS (SELECT repo, CASE " + " ".join(f"WHEN ends_with(name, '{s}') THEN '{b}'" for s, b in structure.NAME_SUFFIXES) + " END AS boundary, id FROM n) SELECT * FROM b WHERE boundary IS NOT NULL")
+def naming_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Layers by the usual endings of names, which nodes get by the length of their id."""
+    name = F.concat("name", F.element_at(F.lit(_SUFFIXED), (F.length("id") % len(_SUFFIXED) + 1).cast("int")))
+    return structure.naming_boundaries(graph(spark, d)[0].withColumn("name", name))
+
+
+_TEST_PATHS = ["{p}", "tests/{p}", "a/__tests__/{p}", "{d}/test_{n}", "{d}/spec_{n}", "{d}/{s}_test.go", "{d}/{s}Test.java", "{d}/{s}_spec.rb", "{d}/{s}.test.ts", "{d}/{s}.spec.tsx", "attest/{p}", "{d}/latest_{n}", "contest\\{p}", "test\\{p}"]
+
+
+def _test_path_sql() -> str:
+    part = {"p": "path", "n": "n", "s": "s", "d": "d"}
+    texts_ = ["'" + re.sub(r"\{(\w)\}", lambda m: f"' || {part[m[1]]} || '", t) + "'" for t in _TEST_PATHS]
+    return GRAPH_SQL + f""", f AS (SELECT DISTINCT path, string_split(path, '/')[-1] AS n, string_split(string_split(path, '/')[-1], '.')[1] AS s, regexp_replace(path, '/[^/]*$', '') AS d FROM nodes WHERE path LIKE '%/%'),
+x AS (SELECT DISTINCT unnest([{', '.join(texts_)}]) AS path FROM f), y AS (SELECT path, string_split(replace(path, chr(92), '/'), '/') AS parts FROM x), z AS (SELECT *, parts[-1] AS n, string_split(parts[-1], '.')[1] AS s FROM y)
+SELECT path, list_has_any(parts, ['test', 'tests', 'spec', 'specs', '__tests__', '__test__']) OR starts_with(s, 'test_') OR starts_with(s, 'spec_') OR ends_with(s, '_test') OR ends_with(s, 'Test') OR ends_with(s, '_spec') OR contains(n, '.test.') OR contains(n, '.spec.') AS test FROM z"""
+
+
+@query(_test_path_sql())
+def test_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Which paths are those of tests: files' own paths, and variants of them that look like tests or nearly so."""
+    path = graph(spark, d)[0].where("path LIKE '%/%'").select("path").distinct()
+    name = F.element_at(F.split("path", "/"), -1)
+    parts = {"{p}": F.col("path"), "{n}": name, "{s}": F.split(name, r"\.")[0], "{d}": F.regexp_replace("path", "/[^/]*$", "")}
+    variants = [F.concat(*[parts[x] if x in parts else F.lit(x) for x in re.split(r"(\{\w\})", t) if x]) for t in _TEST_PATHS]
+    return path.select(F.explode(F.array(*variants)).alias("path")).distinct().select("path", structure.is_test(F.col("path")).alias("test"))
+
+
 _NOTES = {"service": "@Service", "api": "@RestController", "data": "@Repository", "domain": "@Entity", "ui": "@Controller", "core": "@Injectable", "infra": "@Component"}
 _NOTE_SQL = "CASE element_at(metadata, 'layer')[1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NOTES.items()) + " END"
 _LAYER_SQL = "CASE " + " ".join(f"WHEN contains(note, '{s}') THEN '{b}'" for s, b in structure.ANNOTATIONS) + " END"

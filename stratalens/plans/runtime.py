@@ -10,20 +10,10 @@ from pyspark.sql import functions as F
 from stratalens.common import stage, table
 from stratalens.functions.numbers import settle, settle_sql
 from stratalens.operators import telemetry
+from stratalens.plans.registry import registry
 from stratalens.plans.views import GRAPH_SQL, SPANS_SQL, graph, spans
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = re.sub("<<(.+?)>>", lambda m: settle_sql(m[1]), sql)
-        return f
-
-    return keep
+QUERIES, SQL, query = registry(lambda sql: re.sub("<<(.+?)>>", lambda m: settle_sql(m[1]), sql))
 
 
 _MET = SPANS_SQL + """, met AS (SELECT node_id AS id, count(*) AS calls, avg(greatest(ms, 0)) AS ms, avg(CASE WHEN err THEN 1.0 ELSE 0.0 END) AS errors, count(*) > 500 AS hot FROM spans WHERE node_id IS NOT NULL GROUP BY 1)"""

@@ -10,20 +10,10 @@ from stratalens.common import stage, table
 from stratalens.operators import scoring, structure, traverse
 from stratalens.plans.graphs import _DEGREE, _scc_sql
 from stratalens.plans.runtime import metrics
+from stratalens.plans.registry import registry
 from stratalens.plans.views import GRAPH_SQL, SPANS_SQL, graph
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = registry()
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:

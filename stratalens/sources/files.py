@@ -68,7 +68,7 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def unzip(archives: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(archive, path, content, refused) of every parsable file in zip archives.
+    """(archive, path, content, refused) of every parsable file in zip archives, given as bytes or as base64 texts.
 
     What is refused is a row with the reason instead of a content: archives over the limits or unreadable (path null),
     and names that lead out of the archive.
@@ -107,7 +107,8 @@ def unzip(archives: DataFrame, name: str = "path", content: str = "content") ->
                 yield pd.DataFrame(list(rows_of(archive, blob)), columns=["archive", "path", "content", "refused"], dtype=object)
 
     ship(archives.sparkSession)
-    return archives.select(F.col(name).alias("archive"), F.col(content).alias("blob")).mapInPandas(run, "archive string, path string, content string, refused string")
+    blob = F.unbase64(content) if dict(archives.dtypes)[content] == "string" else F.col(content)
+    return archives.select(F.col(name).alias("archive"), blob.alias("blob")).mapInPandas(run, "archive string, path string, content string, refused string")
 
 
 def package_identity(manifests: DataFrame) -> DataFrame:

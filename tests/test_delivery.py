@@ -159,3 +159,10 @@ def test_hot_identifier(spark, rows):
     data = spark.range(30_000).selectExpr("'t' AS trace_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS STRING) END AS span_id", "id AS end_unix_nano")
     got = collapse(data, ["trace_id", "span_id"], ["end_unix_nano"], copies="n").where("n > 1")
     assert rows(got) == [("t", "hot", 29_997, 10_000)]
+
+
+def test_compaction_that_broke_off_leaves_nothing_behind(spark, rows, two_runs):
+    """Files of a compaction that never came to its end belong to no generation."""
+    batch(spark, [row("zz", "9", 1, 0)]).select("trace_id", "span_id", "end_unix_nano").write.parquet(f"{two_runs.path}/gen=1/run_id=-1")
+    again = RunStore(spark, KEYS, ["end_unix_nano"], fold_case=True, path=two_runs.path)
+    assert rows(again.read()) == BOTH == rows(again.compact())

@@ -70,3 +70,16 @@ def test_hot_parent_beyond_the_bound(spark, rows):
     hot = spark.range(3000).selectExpr("'t' AS t", "lpad(CAST(id AS STRING), 5, '0') AS v", "CASE WHEN id = 0 THEN NULL WHEN id % 3 = 0 THEN '00001' ELSE lpad(CAST(id div 2 AS STRING), 5, '0') END AS p")
     a, b = rows(hierarchy(hot, scope_rows=100), *COLS), rows(hierarchy(hot), *COLS)
     assert a == b and len(a) == 3000
+
+
+def test_depth_comes_from_chains(monkeypatch):
+    """Without the decomposition there is no depth: where sizes are missing, no chain has a head."""
+    import numpy as np
+    import pandas as pd
+
+    from stratalens.operators import hierarchy as module
+
+    rows = pd.DataFrame({"t": ["t"] * 4, "v": list("abcd"), "p": [None, "a", "b", "a"]})
+    assert list(module.solve(rows, False)["depth"]) == [0, 1, 2, 1]
+    monkeypatch.setattr(module, "subtree_sizes", lambda parent: np.zeros(len(parent), np.int64))
+    assert list(module.solve(rows, False)["depth"]) == [-1] * 4

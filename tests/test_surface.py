@@ -1,3 +1,4 @@
+import base64
 import io
 import json
 import os
@@ -93,6 +94,8 @@ def test_zip(spark):
     df = df.unionByName(spark.createDataFrame([("broken", bytearray(b"PK no archive"))], "path string, content binary"))
     got = sorted(((r.archive, r.path, r.content, r.refused) for r in files.unzip(df).collect()), key=str)
     assert got == [("broken", None, None, "unreadable"), ("n", None, None, "no content"), ("z", "../evil.py", None, "leads out of the archive"), ("z", "/abs.py", None, "leads out of the archive"), ("z", "a/x.py", "pass", None)]
+    text = spark.createDataFrame([("z", base64.b64encode(blob.getvalue()).decode())], "path string, content string")
+    assert [r.path for r in files.unzip(text).where("refused IS NULL").collect()] == ["a/x.py"]
 
 
 def test_archives_over_limits_are_rows(spark, monkeypatch):
